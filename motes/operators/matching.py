@@ -30,9 +30,9 @@ def _same_spot(left: DataFrame, right: DataFrame, keys: list[str], coords: list[
         *keys, "left_id", "right_id", F.lit(0.0).alias("distance"))
 
 
-def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], limit: float,
+def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], limit: float | None,
                  coords: list[str] = XY) -> DataFrame:
-    """One-to-one matches with ``distance <= limit``: keys, left_id, right_id, distance.
+    """One-to-one matches with ``distance <= limit`` (no limit: None): keys, left_id, right_id, distance.
 
     Neighbour lists hold the ``LIST`` nearest objects only, so a dense field costs
     no more than a sparse one.  An object whose list is used up gets a new one made
