@@ -50,7 +50,8 @@ def clamped_params(params: DataFrame, keys: list[str], ranges: DataFrame | None
     clean = (F.when(F.col("type").isNull(), F.col("value")).when(error.isNotNull(), None)
              .when(F.col("type") == "str", F.col("value")).otherwise(text))
     return j.select(*keys, "name", "value", clean.alias("clean"), error.alias("error"),
-                    F.col("type").isNotNull().alias("known"), bound.alias("number"))
+                    F.col("type").isNotNull().alias("known"),
+                    F.when(F.col("type").isin("int", "float"), bound).alias("number"))
 
 
 def params_long(df: DataFrame, keys: list[str], params: str = "params") -> DataFrame:

@@ -7,6 +7,8 @@ one for both of its ends.  The second form runs in rounds over all images at onc
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,52 +50,49 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], limit: floa
 
     left, right = free(left, "left_id", matched), free(right, "right_id", matched)
     while True:
-        def listed(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
+        def listed(a: DataFrame, b: DataFrame, a_id: str, b_id: str, mark: str) -> DataFrame:
             n = k_nearest(a, b, keys, k=LIST, bound=limit, inclusive=True, coords=coords)
-            return checkpoint(n.select(*keys, F.col("id").alias(a_id), F.col("ref_id").alias(b_id), "distance"))
-        l_list = listed(left, right, "left_id", "right_id")
-        r_list = listed(right, left, "right_id", "left_id")
-        if l_list.isEmpty():
+            return n.select(*keys, F.col("id").alias(a_id), F.col("ref_id").alias(b_id), "distance",
+                            F.lit(True).alias(mark))
+        # an edge knows in whose list it stands
+        edges = checkpoint(
+            listed(left, right, "left_id", "right_id", "_l").unionByName(
+                listed(right, left, "right_id", "left_id", "_r"), allowMissingColumns=True)
+            .groupBy(*keys, "left_id", "right_id").agg(
+                F.first("distance").alias("distance"), F.bool_or("_l").alias("_l"), F.bool_or("_r").alias("_r")))
+        if edges.isEmpty():
             break
-        found = _rounds(l_list, r_list, keys)
+        found = _rounds(edges, keys)
         parts.extend(found)
-        new = found[0]
-        for f in found[1:]:
-            new = new.unionByName(f)
+        new = reduce(DataFrame.unionByName, found)
         # only objects with a full list may still have unseen partners
-        full = (l_list.groupBy(*keys, "left_id").count().where(F.col("count") >= LIST)
-                .select(*keys, F.col("left_id").alias("id")))
-        full_r = (r_list.groupBy(*keys, "right_id").count().where(F.col("count") >= LIST)
-                  .select(*keys, F.col("right_id").alias("id")))
-        left, right = checkpoint(free(left, "left_id", new)), checkpoint(free(right, "right_id", new))
-        if (left.join(full, [*keys, "id"], "left_semi").isEmpty()
+        full_l = edges.where("_l").groupBy(*keys, F.col("left_id").alias("id")).count().where(F.col("count") >= LIST)
+        full_r = edges.where("_r").groupBy(*keys, F.col("right_id").alias("id")).count().where(F.col("count") >= LIST)
+        left, right = free(left, "left_id", new), free(right, "right_id", new)
+        if (left.join(full_l, [*keys, "id"], "left_semi").isEmpty()
                 and right.join(full_r, [*keys, "id"], "left_semi").isEmpty()):
             break
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        left, right = checkpoint(left), checkpoint(right)
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _rounds(l_list: DataFrame, r_list: DataFrame, keys: list[str]) -> list[DataFrame]:
+def _rounds(edges: DataFrame, keys: list[str]) -> list[DataFrame]:
     """Mutual-best rounds over fixed neighbour lists until no pair is mutual."""
     cols = [*keys, "left_id", "right_id", "distance"]
     found = []
     while True:
-        l_best = (l_list.groupBy(*keys, "left_id").agg(F.min(F.struct("distance", "right_id")).alias("_b"))
+        l_best = (edges.where("_l").groupBy(*keys, "left_id").agg(F.min(F.struct("distance", "right_id")).alias("_b"))
                   .select(*keys, "left_id", "_b.right_id", "_b.distance"))
-        r_best = (r_list.groupBy(*keys, "right_id").agg(F.min(F.struct("distance", "left_id")).alias("_b"))
+        r_best = (edges.where("_r").groupBy(*keys, "right_id").agg(F.min(F.struct("distance", "left_id")).alias("_b"))
                   .select(*keys, "right_id", "_b.left_id"))
         mutual = checkpoint(l_best.join(r_best, [*keys, "left_id", "right_id"]).select(*cols))
         if mutual.isEmpty():
             return found or [mutual]
         found.append(mutual)
-        used_l, used_r = mutual.select(*keys, "left_id"), mutual.select(*keys, "right_id")
-
-        def rest(df: DataFrame) -> DataFrame:
-            return checkpoint(df.join(used_l, [*keys, "left_id"], "left_anti")
-                              .join(used_r, [*keys, "right_id"], "left_anti"))
-        l_list, r_list = rest(l_list), rest(r_list)
+        edges = checkpoint(edges.join(mutual.select(*keys, "left_id"), [*keys, "left_id"], "left_anti")
+                           .join(mutual.select(*keys, "right_id"), [*keys, "right_id"], "left_anti"))
+        if edges.isEmpty():
+            return found
 
 
 def channel_pair_matches(dets: DataFrame, keys: list[str], limit: float,

@@ -224,7 +224,8 @@ def tiled(px: DataFrame, image: list[str], radius: int, kernels: dict[str, Calla
 
     A pixel goes to its own tile and, near a tile's edge, to the neighbours that need
     it as rim.  A task holds (tile + 2 * radius)^2 pixels at most, whatever the image
-    size.  At the image border the tile is padded (numpy mode ``pad``).  The image is
+    size.  At the image border the tile is padded (numpy mode ``pad``, or
+    ``nan`` for kernels that skip the outside).  The image is
     expected to be dense; absent pixels count as 0.
     """
     if radius > tile:
@@ -255,7 +256,8 @@ def tiled(px: DataFrame, image: list[str], radius: int, kernels: dict[str, Calla
         res = pdf.loc[own, [*image, "y", "x"]].copy()
         py, pxx = ys[own] - y0 + rim[0][0], xs[own] - x0 + rim[1][0]
         for name, k in kernels.items():
-            res[name] = k(np.pad(a, rim, mode=pads[name]))[py, pxx]
+            how = {"mode": "constant", "constant_values": np.nan} if pads[name] == "nan" else {"mode": pads[name]}
+            res[name] = k(np.pad(a, rim, **how))[py, pxx]
         return res
 
     fields = [px.schema[c] for c in image]
@@ -318,8 +320,10 @@ def _extreme(a: np.ndarray, r: int, f) -> np.ndarray:
 def opened_background(px: DataFrame, image: list[str], radius: int) -> DataFrame:
     """``background``: opening with a square of the given radius; ``out``: value minus it."""
     def opening(a: np.ndarray) -> np.ndarray:
-        return _extreme(_extreme(a, radius, np.minimum), radius, np.maximum)
-    b = tiled(px, image, 2 * radius, {"background": opening}, "edge")
+        eroded = _extreme(a, radius, np.fmin)
+        eroded[np.isnan(a)] = np.nan
+        return _extreme(eroded, radius, np.fmax)
+    b = tiled(px, image, 2 * radius, {"background": opening}, "nan")
     return b.withColumn("out", F.col("value") - F.col("background"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["objects"]
+MODULES = ["objects", "spatial_queries", "pixel_queries", "record_queries"]
 
 
 def _all() -> dict:

@@ -372,31 +372,31 @@ def bh_adjust(spark, sf):
 
 # -- combinations --------------------------------------------------------------
 
-BIN = """b as (select object_id, m1 > 25 as b0, m2 > 0.05 as b1, m3 > 0.04 as b2, m4 > 1400 as b3 from objects)"""
+BIN = """b as (select object_id, m1 > 25 as b0, m2 > 0.05 as b1, m3 > 0.04 as b2, m4 > 950 as b3 from objects)"""
 
 
 def binary(spark, sf) -> DataFrame:
-    t = matrix.thresholds_manual(spark, MARKERS, {"m1": 25, "m2": .05, "m3": .04, "m4": 1400})
+    t = matrix.thresholds_manual(spark, MARKERS, {"m1": 25, "m2": .05, "m3": .04, "m4": 950})
     return matrix.binarize(objects(spark, sf), MARKERS, t)
 
 
-COMBOS = """k as (select m, list_filter([0, 1, 2, 3], i -> (m >> i) & 1 = 1) as idx from range(16) t(m)),
+COMBOS = """k as (select m, list_filter([0, 1, 2, 3], lambda i: (m >> i) & 1 = 1) as idx from range(16) t(m)),
 n as (select count(*)::double n, [avg(b0::int), avg(b1::int), avg(b2::int), avg(b3::int)] f from b),
 x as (select b0::int + 2 * b1::int + 4 * b2::int + 8 * b3::int as mask, count(*) c from b group by 1),
 o as (select k.m, any_value(idx) idx, coalesce(sum(c) filter ((mask & k.m) = k.m), 0) obs from k, x group by k.m)"""
 
 
 @query(f"""with {OBJECTS}, {BIN}, {COMBOS}
-select array_to_string(list_transform(idx, i -> 'm' || (i + 1)), ' + ') as combination, len(idx)::int as degree,
+select array_to_string(list_transform(idx, lambda i: 'm' || (i + 1)), ' + ') as combination, len(idx)::int as degree,
   obs::bigint as observed_count, round(obs / n, 6) as observed_frequency,
-  round(n * list_product(list_transform(idx, i -> f[i + 1])), 4) as expected_count from o, n where len(idx) >= 2""")
+  round(n * list_product(list_transform(idx, lambda i: f[i + 1])), 4) as expected_count from o, n where len(idx) >= 2""")
 def combo_observed_expected(spark, sf):
     c = cooccur.combinations(binary(spark, sf), MARKERS)
     return c.select("combination", "degree", "observed_count", r("observed_frequency"), r("expected_count", 4))
 
 
-@query(f"""with {OBJECTS}, {BIN}, {COMBOS}, c as (select idx, obs, n * list_product(list_transform(idx, i -> f[i + 1])) e from o, n where len(idx) >= 2)
-select array_to_string(list_transform(idx, i -> 'm' || (i + 1)), ' + ') as combination,
+@query(f"""with {OBJECTS}, {BIN}, {COMBOS}, c as (select idx, obs, n * list_product(list_transform(idx, lambda i: f[i + 1])) e from o, n where len(idx) >= 2)
+select array_to_string(list_transform(idx, lambda i: 'm' || (i + 1)), ' + ') as combination,
   round(log2((obs + 1e-9) / (e + 1e-9)), 6) as x from c where obs >= 10 and len(idx) >= 3 and not list_contains(idx, 0)""")
 def enrichment_axis(spark, sf):
     c = cooccur.combinations(binary(spark, sf), MARKERS).withColumn("fdr_pvalue", F.lit(1.0))
@@ -461,13 +461,13 @@ def pca_coords(spark, sf):
 
 
 @query(f"""with {OBJECTS}, c as (select corr(m1, m2) a, corr(m1, m3) b, corr(m1, m4) c, corr(m2, m3) d, corr(m2, m4) e, corr(m3, m4) f from objects)
-select 4 as components, round(1.0, 6) as total_ratio, round((4 + 2 * (a*a + b*b + c*c + d*d + e*e + f*f)) / 16, 4) as sum_squared_ratio from c""")
+select 4 as components, 1.0::double as total_ratio, round((4 + 2 * (a*a + b*b + c*c + d*d + e*e + f*f)) / 16, 8) as sum_squared_ratio from c""")
 def pca_variance(spark, sf):
     """Explained ratios sum to 1 and their squares to the squared norm of the correlation matrix."""
     t = learn.pca(_features(spark, sf), MARKERS, 2)[1]
     e = F.col("explained_ratio")
     return t.agg(F.count("*").cast("int").alias("components"), F.round(F.max("cumulative_ratio"), 6).alias("total_ratio"),
-                 F.round(F.sum(e * e), 4).alias("sum_squared_ratio"))
+                 F.round(F.sum(e * e), 8).alias("sum_squared_ratio"))
 
 
 @query()
