@@ -31,13 +31,18 @@ def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
 
 
+def clip(c: Column, low: float, high: float) -> Column:
+    """Clipped value; missing stays missing (``least`` and ``greatest`` skip NULLs)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
+
+
 def significance_label(p: Column) -> Column:
     return (F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns"))
 
 
 def neg_log10(p: Column) -> Column:
     """``-log10`` of a p-value clipped to [1e-300, 1]."""
-    return -F.log10(F.greatest(F.lit(1e-300), F.least(F.lit(1.0), p)))
+    return -F.log10(clip(p, 1e-300, 1.0))
 
 
 def combination_label(channels: Column) -> Column:
@@ -103,7 +108,7 @@ def unit_range(value: Column, dtype: Column) -> Column:
     """Scale pixel values to [0, 1] by their storage type."""
     return (F.when(dtype == "uint16", value / 65535.0)
             .when(dtype == "uint32", value / 4294967295.0)
-            .when(dtype == "float32", F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
+            .when(dtype == "float32", clip(value, 0.0, 1.0))
             .when(dtype == "float64", value)
             .otherwise(value / 255.0))
 

@@ -26,16 +26,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     e = checkpoint(e)
     state = _fingerprint(e)
     while True:
-        # small-star: a node and its smaller neighbours point at the smallest of them
-        low = e.groupBy("hi").agg(F.min("lo").alias("m"))
-        j = e.join(low, "hi")
-        e = (j.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where(F.col("hi") != F.col("lo"))
-             .union(low.select("hi", F.col("m").alias("lo"))).distinct())
-        # large-star: larger neighbours of a node point at the smallest node it sees;
-        # a node that sees nothing smaller than itself keeps its edges untouched
-        low = e.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("m"))
-        e = e.join(low, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
-        e = checkpoint(e)
+        e = checkpoint(_stars(_stars(e)))
         now = _fingerprint(e)
         if now == state:
             break
@@ -50,6 +41,19 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     return nodes.select("node").join(out, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def _stars(e: DataFrame) -> DataFrame:
+    """One small-star and one large-star step on edges (hi, lo)."""
+    # a node and its smaller neighbours point at the smallest of them
+    low = e.groupBy("hi").agg(F.min("lo").alias("m"))
+    j = e.join(low, "hi")
+    e = (j.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where(F.col("hi") != F.col("lo"))
+         .union(low.select("hi", F.col("m").alias("lo"))).distinct())
+    # larger neighbours of a node point at the smallest node it sees; a node that
+    # sees nothing smaller than itself keeps its edges untouched
+    low = e.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("m"))
+    return e.join(low, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
+
+
 def _fingerprint(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motes.functions.scalars import lenient_double, short_hash
+from motes.functions.scalars import clip, lenient_double, short_hash
 from motes.session import small_side
 
 # Statuses of a manifest record, and those that are processed by default.
@@ -42,7 +42,7 @@ def clamped_params(params: DataFrame, keys: list[str], ranges: DataFrame | None
     j = params.join(r, "name", "left")
     num = lenient_double(F.col("value"))
     num = F.when(F.col("type") == "int", F.when(num >= 0, F.floor(num)).otherwise(F.ceil(num)).cast("double")).otherwise(num)
-    bound = F.least(F.greatest(num, F.col("low")), F.col("high"))
+    bound = F.when(num.isNotNull(), F.least(F.greatest(num, F.col("low")), F.col("high")))
     text = F.when(F.col("type") == "int", bound.cast("long").cast("string")).otherwise(bound.cast("string"))
     bad_text = (F.col("type") == "str") & ~F.array_contains("allowed", F.col("value"))
     bad_num = F.col("type").isin("int", "float") & num.isNull()
@@ -65,7 +65,7 @@ def clamped_maps(df: DataFrame, params: str = "params") -> DataFrame:
         for n, kind, low, high, _ in PARAMETERS:
             if kind == "str":
                 continue
-            num = F.least(F.greatest(lenient_double(value), F.lit(low)), F.lit(high))
+            num = clip(lenient_double(value), low, high)
             text = num.cast("long").cast("string") if kind == "int" else num.cast("string")
             out = F.when(name == n, text).otherwise(out)
         return out
@@ -195,7 +195,7 @@ def text_parameters(texts: DataFrame, keys: list[str], text: str = "text") -> Da
     for name, (pattern, kind) in TEXT_PARAMETERS.items():
         v = found(F.col("_s"), pattern)
         out.append((F.lower(v) == "yes" if kind == "boolean" else v.try_cast(kind)).alias(name))
-    lines = F.filter(F.transform(F.split(F.regexp_extract(text, DIAGNOSIS, 1), "\n"), F.trim),
+    lines = F.filter(F.transform(F.split(F.regexp_extract(text, DIAGNOSIS, 1), "\n"), lambda s: F.trim(s)),
                      lambda s: F.instr(s, ":") > 0)
     pairs = F.transform(lines, lambda s: F.struct(
         F.replace(F.lower(F.trim(F.substring_index(s, ":", 1))), F.lit(" "), F.lit("_")).alias("k"),

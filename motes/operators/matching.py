@@ -77,21 +77,32 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], limit: floa
 
 
 def _rounds(edges: DataFrame, keys: list[str]) -> list[DataFrame]:
-    """Mutual-best rounds over fixed neighbour lists until no pair is mutual."""
+    """Mutual-best rounds over fixed neighbour lists until no pair is mutual.
+
+    Two rounds run per checkpoint; pairs found stay in the table, marked ``_hit``.
+    """
     cols = [*keys, "left_id", "right_id", "distance"]
+
+    def one_round(e: DataFrame) -> DataFrame:
+        live = e.where(~F.col("_hit"))
+        l_best = (live.where("_l").groupBy(*keys, "left_id").agg(F.min(F.struct("distance", "right_id")).alias("_b"))
+                  .select(*keys, "left_id", "_b.right_id"))
+        r_best = (live.where("_r").groupBy(*keys, "right_id").agg(F.min(F.struct("distance", "left_id")).alias("_b"))
+                  .select(*keys, "right_id", "_b.left_id", "_b.distance"))
+        mutual = l_best.join(r_best, [*keys, "left_id", "right_id"])
+        rest = (live.join(mutual.select(*keys, "left_id"), [*keys, "left_id"], "left_anti")
+                .join(mutual.select(*keys, "right_id"), [*keys, "right_id"], "left_anti"))
+        new = mutual.withColumns({"_l": F.lit(True), "_r": F.lit(True), "_hit": F.lit(True)})
+        return rest.unionByName(new).unionByName(e.where("_hit"))
+
     found = []
+    edges = edges.na.fill(False, ["_l", "_r"]).withColumn("_hit", F.lit(False))
     while True:
-        l_best = (edges.where("_l").groupBy(*keys, "left_id").agg(F.min(F.struct("distance", "right_id")).alias("_b"))
-                  .select(*keys, "left_id", "_b.right_id", "_b.distance"))
-        r_best = (edges.where("_r").groupBy(*keys, "right_id").agg(F.min(F.struct("distance", "left_id")).alias("_b"))
-                  .select(*keys, "right_id", "_b.left_id"))
-        mutual = checkpoint(l_best.join(r_best, [*keys, "left_id", "right_id"]).select(*cols))
-        if mutual.isEmpty():
-            return found or [mutual]
-        found.append(mutual)
-        edges = checkpoint(edges.join(mutual.select(*keys, "left_id"), [*keys, "left_id"], "left_anti")
-                           .join(mutual.select(*keys, "right_id"), [*keys, "right_id"], "left_anti"))
-        if edges.isEmpty():
+        edges = checkpoint(one_round(one_round(edges)))
+        n = edges.agg(F.count_if("_hit").alias("hits"), F.count_if(~F.col("_hit")).alias("left")).first()
+        found.append(edges.where("_hit").select(*cols))
+        edges = edges.where(~F.col("_hit"))
+        if not n["hits"] or not n["left"]:
             return found
 
 

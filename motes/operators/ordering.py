@@ -28,8 +28,14 @@ def with_pieces(df: DataFrame, keys: list[str], value: str, pieces: int = PIECES
     edges = df.groupBy(*by).agg(F.percentile_approx(value, probs, 1000).alias("_edges"))
     edges = small_side(edges, 20_000)
     found = df.join(edges, by, "left") if by else df.join(edges, F.lit(True), "left")
-    below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    return found.withColumn("_piece", F.coalesce(below, F.lit(0))).drop("_edges")
+
+    def place(lo: int, hi: int) -> Column:
+        """Binary search over the edges as one expression, which Spark compiles."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(value) > F.get("_edges", mid), place(mid + 1, hi)).otherwise(place(lo, mid))
+    return found.withColumn("_piece", place(0, pieces - 1)).drop("_edges")
 
 
 def piece_offsets(df: DataFrame, keys: list[str], weight: Column) -> DataFrame:
@@ -91,44 +97,63 @@ def row_numbers(df: DataFrame, keys: list[str], order: str, out: str = "row_numb
     return rest.unionByName(heavy.select(*rest.columns))
 
 
+#: percentile_approx accuracy and the margin around a quantile that is searched exactly.
+ACCURACY = 2000
+MARGIN = 3.0 / ACCURACY
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
                     discrete: bool = False) -> DataFrame:
     """Exact quantiles per group, linearly interpolated, one output column per entry of ``probs``.
 
-    Only the pieces that hold a wanted rank are sorted; all other rows stop at a
-    map-side count.  With ``discrete`` the value at rank ``floor(n * p)`` is taken.
-    Groups without any value are absent from the result.
+    An approximate pass brackets every quantile; a second pass counts what lies below
+    and inside each bracket; only values inside a bracket are shuffled and sorted.
+    A bracket that turns out to miss its rank is opened to the whole group.  With
+    ``discrete`` the value at rank ``floor(n * p)`` is taken.  Groups without any value
+    are absent from the result.
     """
-    spark = df.sparkSession
-    names = {n: float(p) for n, p in probs.items()}
+    names, ps = list(probs), [float(p) for p in probs.values()]
     key = keys or ["_all"]
     clean = df.where(F.col(value).isNotNull())
     clean = clean.select(*keys, value) if keys else clean.select(F.lit(1).alias("_all"), value)
-    cut = with_pieces(clean, key, value)
-    per_piece = small_side(piece_offsets(cut, key, F.lit(1)))
-
-    n = F.sum("_in").over(Window.partitionBy(*key))
-    wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in names.items()
-    ])
-    asked = (per_piece.withColumn("_n", n).withColumn("_q", F.explode(wanted))
-             .withColumn("_pos", F.least(F.floor(F.col("_n") * F.col("_q.p")), F.col("_n") - 1).cast("double")
-                         if discrete else (F.col("_n") - 1) * F.col("_q.p")))
-    asked = asked.withColumn("_r", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
-    asked = asked.where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_in")))
-    asked = asked.select(*key, "_piece", "_before", F.col("_q.name").alias("_name"), "_pos", "_r")
-    asked = small_side(asked)
-
-    values = (cut.join(asked.select(*key, "_piece").distinct(), [*key, "_piece"], "left_semi")
-              .groupBy(*key, "_piece", value).agg(F.count("*").alias("_c")))
-    inside = Window.partitionBy(*key, "_piece").orderBy(value)
-    values = values.withColumn("_upto", F.sum("_c").over(inside))
-    at = F.col("_r") - F.col("_before")
-    hit = (values.join(asked, [*key, "_piece"])
-           .where((at < F.col("_upto")) & (at >= F.col("_upto") - F.col("_c"))))
-    share = 1 - F.abs(F.col("_pos") - F.col("_r"))
-    per_prob = hit.groupBy(*key, "_name").agg(F.sum(F.col(value) * share).alias("_v"))
-    out = per_prob.groupBy(*key).agg(*[
-        F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in names
-    ])
+    sides = [x for p in ps for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    near = small_side(clean.groupBy(*key).agg(F.percentile_approx(value, sides, ACCURACY).alias("_b")))
+    v = F.col(value)
+    cut = clean.join(near, key)
+    low = [F.get("_b", 2 * i) for i in range(len(ps))]
+    high = [F.get("_b", 2 * i + 1) for i in range(len(ps))]
+    counted = cut.groupBy(*key).agg(
+        F.count("*").alias("_n"), F.first("_b").alias("_b"),
+        *[F.count_if(v < low[i]).alias(f"_u{i}") for i in range(len(ps))],
+        *[F.count_if(v.between(low[i], high[i])).alias(f"_i{i}") for i in range(len(ps))])
+
+    def bracket(i: int) -> Column:
+        n = F.col("_n")
+        pos = F.least(F.floor(n * ps[i]), n - 1).cast("double") if discrete else (n - 1) * F.lit(ps[i])
+        first, last = F.floor(pos), F.ceil(pos)
+        hit = (first >= F.col(f"_u{i}")) & (last < F.col(f"_u{i}") + F.col(f"_i{i}"))
+        return F.struct(
+            F.lit(i).alias("i"), pos.alias("pos"), F.when(hit, low[i]).alias("low"), F.when(hit, high[i]).alias("high"),
+            F.when(hit, F.col(f"_u{i}")).otherwise(F.lit(0)).alias("under"))
+    table = small_side(counted.select(*key, F.array(*[bracket(i) for i in range(len(ps))]).alias("_k")))
+
+    # a row goes to every bracket it lies in; almost all rows lie in none
+    inside = F.filter("_k", lambda k: k["low"].isNull() | v.between(k["low"], k["high"]))
+    rough = F.lit(False)
+    for i in range(len(ps)):
+        k = F.get("_k", i)
+        rough = rough | k["low"].isNull() | v.between(k["low"], k["high"])
+    picked = clean.join(table, key).where(rough).select(*key, value, F.explode(inside).alias("_q"))
+    values = picked.groupBy(*key, "_q", value).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*key, "_q").orderBy(value)) + F.col("_q.under")
+    pos = F.col("_q.pos")
+    at = values.withColumn("_upto", upto)
+
+    def covers(r: Column) -> Column:
+        return (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_c"))
+    share = F.when(covers(F.floor(pos)), 1 - (pos - F.floor(pos))).otherwise(0.0) \
+        + F.when(covers(F.ceil(pos)) & (F.ceil(pos) > F.floor(pos)), pos - F.floor(pos)).otherwise(0.0)
+    got = at.withColumn("_share", share).where(F.col("_share") > 0)
+    out = got.groupBy(*key).agg(*[
+        F.sum(F.when(F.col("_q.i") == i, v * F.col("_share"))).alias(n) for i, n in enumerate(names)])
     return out if keys else out.drop("_all")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from motes.functions.scalars import clip
 from motes.operators.graph import connected_components
 from motes.operators.matrix import histogram, otsu
 from motes.operators.ordering import exact_quantiles
@@ -72,20 +73,16 @@ def snr(px: DataFrame, image: list[str]) -> DataFrame:
 
 # -- point operations --------------------------------------------------------
 
-def _clip(c: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
-
-
 def stretch(px: DataFrame, image: list[str], method: str = "percentile") -> DataFrame:
     """``out`` in 0..255: percentile (p0.5-p99.5), minmax or 16bit; a flat image becomes 0."""
     if method == "16bit":
-        return px.withColumn("out", F.floor(_clip(F.col("value") / 65535.0, 0.0, 1.0) * 255.0).cast("int"))
+        return px.withColumn("out", F.floor(clip(F.col("value") / 65535.0, 0.0, 1.0) * 255.0).cast("int"))
     if method == "minmax":
         ends = px.groupBy(*image).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     else:
         ends = exact_quantiles(px, image, "value", {"_lo": .005, "_hi": .995})
     span = F.col("_hi") - F.col("_lo")
-    unit = _clip((F.col("value") - F.col("_lo")) / F.nullif(span, F.lit(0.0)), 0.0, 1.0)
+    unit = clip((F.col("value") - F.col("_lo")) / F.nullif(span, F.lit(0.0)), 0.0, 1.0)
     out = F.when(span > 0, F.floor(unit * 255.0)).otherwise(0).cast("int")
     return px.join(small_side(ends), image).withColumn("out", out).drop("_lo", "_hi")
 
@@ -95,7 +92,7 @@ def linear_stretch(px: DataFrame, image: list[str]) -> DataFrame:
     s = exact_quantiles(px, image, "value", {"_a": .01, "_b": .99}).join(
         px.groupBy(*image).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi")), image)
     span = F.col("_b") - F.col("_a")
-    unit = _clip((F.col("value") - F.col("_a")) / F.nullif(span, F.lit(0.0)), 0.0, 1.0)
+    unit = clip((F.col("value") - F.col("_a")) / F.nullif(span, F.lit(0.0)), 0.0, 1.0)
     out = F.when(span > 0, unit * (F.col("_hi") - F.col("_lo")) + F.col("_lo")).otherwise(F.col("value"))
     return px.join(small_side(s), image).withColumn("out", out).drop("_a", "_b", "_lo", "_hi")
 
@@ -107,7 +104,7 @@ def gamma(px: DataFrame, g: float) -> DataFrame:
 
 def contrast(px: DataFrame, alpha: float, beta: float) -> DataFrame:
     """|alpha * v + beta| saturated to 0..255."""
-    return px.withColumn("out", F.bround(_clip(F.abs(F.col("value") * alpha + beta), 0.0, 255.0)).cast("int"))
+    return px.withColumn("out", F.bround(clip(F.abs(F.col("value") * alpha + beta), 0.0, 255.0)).cast("int"))
 
 
 def fixed_threshold(px: DataFrame, t: float) -> DataFrame:

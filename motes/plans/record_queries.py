@@ -67,11 +67,12 @@ def transforms(spark, sf) -> DataFrame:
         F.array(top, low).alias("transform"))
 
 
-@query(f"""with {TRANSFORMS} select frame, round(dx, 6) as dx, round(dy, 6) as dy, round(sqrt(dx * dx + dy * dy), 6) as magnitude,
+@query(f"""with {TRANSFORMS} select frame, round(dx, 8) as dx, round(dy, 8) as dy, round(sqrt(dx * dx + dy * dy), 6) as magnitude,
   case when sqrt(dx * dx + dy * dy) < 1 then 'low' when sqrt(dx * dx + dy * dy) < 5 then 'medium' else 'high' end as movement_class from mv""")
 def movement(spark, sf):
     m = geometry.movements(transforms(spark, sf), kind="type")
-    return rounded(m.select("frame", "dx", "dy", "magnitude", "movement_class"), ["dx", "dy", "magnitude"])
+    return rounded(m.select("frame", "dx", "dy", "magnitude", "movement_class").withColumns(
+        {"dx": F.round("dx", 8), "dy": F.round("dy", 8)}), ["magnitude"])
 
 
 @query(f"""with {TRANSFORMS} select sample, count(*) as n, round(avg(sqrt(dx * dx + dy * dy)), 6) as avg_magnitude,
@@ -98,9 +99,9 @@ def shift_rows(spark, sf) -> DataFrame:
     return geometry.shift_table(chan, first, ["sample"], "signup")
 
 
-@query(f"""with {SHIFTS} select sample, channel, type, round(dx, 6) as dx, round(dy, 6) as dy, round(sqrt(dx * dx + dy * dy), 6) as magnitude, residual_error from sh""")
+@query(f"""with {SHIFTS} select sample, channel, type, round(dx, 8) as dx, round(dy, 8) as dy, round(sqrt(dx * dx + dy * dy), 6) as magnitude, residual_error from sh""")
 def shift_table(spark, sf):
-    return rounded(shift_rows(spark, sf), ["dx", "dy", "magnitude"])
+    return rounded(rounded(shift_rows(spark, sf), ["dx", "dy"], 8), ["magnitude"])
 
 
 @query(f"""with {SHIFTS} select sample, round(max(sqrt(dx * dx + dy * dy)), 6) as max_shift, count(*) filter (type not in ('reference', 'identity')) as aligned,
