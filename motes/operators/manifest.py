@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motes.functions.scalars import clip, lenient_double, short_hash
+from motes.operators.ordering import carried
 from motes.session import small_side
 
 # Statuses of a manifest record, and those that are processed by default.
@@ -87,10 +88,9 @@ def current_state(events: DataFrame, key: list[str] = ["image_id"], ts: str = "t
 def recommendation_history(events: DataFrame, key: list[str] = ["image_id"], ts: str = "ts",
                            params: str = "recommended_params") -> DataFrame:
     """Earlier recommendations that were replaced by a different one, with the time of the change."""
-    w = Window.partitionBy(*key).orderBy(ts)
     e = events.where(F.col(params).isNotNull())
     text = F.to_json(params) if events.schema[params].dataType.typeName() in ("map", "struct") else F.col(params)
-    e = e.withColumn("_text", text).withColumn("_prev", F.lag("_text", 1).over(w))
+    e = carried(e.withColumn("_text", text), key, ts, "_text", "_prev", include_self=False)
     return e.where(F.col("_prev").isNotNull() & (F.col("_prev") != F.col("_text"))).select(
         *key, F.col(ts).alias("changed_at"), F.col("_prev").alias("previous"), F.col("_text").alias("current"))
 
@@ -98,8 +98,7 @@ def recommendation_history(events: DataFrame, key: list[str] = ["image_id"], ts:
 def approvals(events: DataFrame, key: list[str] = ["image_id"], ts: str = "ts",
               recommended: str = "recommended_params", final: str = "final_params") -> DataFrame:
     """Status of each approval: ``edited`` when it differs from the latest recommendation."""
-    w = Window.partitionBy(*key).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    e = events.withColumn("_rec", F.last(recommended, True).over(w)).where(F.col(final).isNotNull())
+    e = carried(events, key, ts, recommended, "_rec", include_self=True).where(F.col(final).isNotNull())
     same = F.col(final).eqNullSafe(F.col("_rec"))
     return e.select(*key, ts, F.col(final), F.col("_rec").alias("latest_recommended"),
                     F.when(same, "approved").otherwise("edited").alias("status"))

@@ -20,13 +20,22 @@ from motes.session import checkpoint
 LIST = 6
 
 
-def _same_spot(left: DataFrame, right: DataFrame, keys: list[str], coords: list[str]) -> DataFrame:
-    """Pairs at distance zero: copies at one point pair up by rank of their ids."""
+def _crowded_spots(left: DataFrame, right: DataFrame, keys: list[str], coords: list[str]) -> DataFrame:
+    """Points that hold more copies on either side than a neighbour list can show."""
+    at = [*keys, *coords]
+
+    def spots(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*at).agg(F.count("*").alias(name))
+    return (spots(left, "_a").join(spots(right, "_b"), at)
+            .where(F.greatest("_a", "_b") > LIST).select(*at))
+
+
+def _same_spot(left: DataFrame, right: DataFrame, spots: DataFrame, keys: list[str], coords: list[str]) -> DataFrame:
+    """Pairs at distance zero on crowded points: copies pair up by rank of their ids."""
     at = [*keys, *coords]
-    both = left.select(*at).distinct().join(right.select(*at).distinct(), at)
 
     def ranked(df: DataFrame, name: str) -> DataFrame:
-        here = df.select(*at, F.col("id").alias(name)).join(both, at, "left_semi")
+        here = df.select(*at, F.col("id").alias(name)).join(spots, at, "left_semi")
         return row_numbers(here, at, name, "_rank")
     return ranked(left, "left_id").join(ranked(right, "right_id"), [*at, "_rank"]).select(
         *keys, "left_id", "right_id", F.lit(0.0).alias("distance"))
@@ -42,13 +51,16 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], limit: floa
     """
     left = checkpoint(left.select(*keys, "id", *coords))
     right = checkpoint(right.select(*keys, "id", *coords))
-    matched = checkpoint(_same_spot(left, right, keys, coords))
-    parts = [matched]
+    parts = []
 
     def free(df: DataFrame, side: str, done: DataFrame) -> DataFrame:
         return df.join(done.select(*keys, F.col(side).alias("id")), [*keys, "id"], "left_anti")
 
-    left, right = free(left, "left_id", matched), free(right, "right_id", matched)
+    spots = _crowded_spots(left, right, keys, coords)
+    if not spots.isEmpty():
+        parts.append(checkpoint(_same_spot(left, right, spots, keys, coords)))
+        left = checkpoint(free(left, "left_id", parts[0]))
+        right = checkpoint(free(right, "right_id", parts[0]))
     while True:
         def listed(a: DataFrame, b: DataFrame, a_id: str, b_id: str, mark: str) -> DataFrame:
             n = k_nearest(a, b, keys, k=LIST, bound=limit, inclusive=True, coords=coords)
@@ -59,49 +71,46 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], limit: floa
             listed(left, right, "left_id", "right_id", "_l").unionByName(
                 listed(right, left, "right_id", "left_id", "_r"), allowMissingColumns=True)
             .groupBy(*keys, "left_id", "right_id").agg(
-                F.first("distance").alias("distance"), F.bool_or("_l").alias("_l"), F.bool_or("_r").alias("_r")))
-        if edges.isEmpty():
-            break
+                F.first("distance").alias("distance"), F.bool_or("_l").alias("_l"), F.bool_or("_r").alias("_r"))
+            .na.fill(False, ["_l", "_r"]).withColumn("_hit", F.lit(False)))
         found = _rounds(edges, keys)
         parts.extend(found)
         new = reduce(DataFrame.unionByName, found)
-        # only objects with a full list may still have unseen partners
-        full_l = edges.where("_l").groupBy(*keys, F.col("left_id").alias("id")).count().where(F.col("count") >= LIST)
-        full_r = edges.where("_r").groupBy(*keys, F.col("right_id").alias("id")).count().where(F.col("count") >= LIST)
-        left, right = free(left, "left_id", new), free(right, "right_id", new)
-        if (left.join(full_l, [*keys, "id"], "left_semi").isEmpty()
-                and right.join(full_r, [*keys, "id"], "left_semi").isEmpty()):
+        # only a free object with a full list may still have unseen partners
+        if _stalled(edges, new, keys).isEmpty():
             break
-        left, right = checkpoint(left), checkpoint(right)
+        left, right = checkpoint(free(left, "left_id", new)), checkpoint(free(right, "right_id", new))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _stalled(edges: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame:
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*keys, F.lit(name).alias("_side"), F.col(name).alias("_id"))
+    lists = side(edges.where("_l"), "left_id").union(side(edges.where("_r"), "right_id"))
+    full = lists.groupBy(*keys, "_side", "_id").count().where(F.col("count") >= LIST)
+    return full.join(side(matched, "left_id").union(side(matched, "right_id")), [*keys, "_side", "_id"], "left_anti")
+
+
 def _rounds(edges: DataFrame, keys: list[str]) -> list[DataFrame]:
     """Mutual-best rounds over fixed neighbour lists until no pair is mutual.
 
-    Two rounds run per checkpoint; pairs found stay in the table, marked ``_hit``.
+    Pairs found stay in the round's table, marked ``_hit``, so a round is one job.
     """
     cols = [*keys, "left_id", "right_id", "distance"]
-
-    def one_round(e: DataFrame) -> DataFrame:
-        live = e.where(~F.col("_hit"))
-        l_best = (live.where("_l").groupBy(*keys, "left_id").agg(F.min(F.struct("distance", "right_id")).alias("_b"))
+    found = []
+    while True:
+        l_best = (edges.where("_l").groupBy(*keys, "left_id").agg(F.min(F.struct("distance", "right_id")).alias("_b"))
                   .select(*keys, "left_id", "_b.right_id"))
-        r_best = (live.where("_r").groupBy(*keys, "right_id").agg(F.min(F.struct("distance", "left_id")).alias("_b"))
+        r_best = (edges.where("_r").groupBy(*keys, "right_id").agg(F.min(F.struct("distance", "left_id")).alias("_b"))
                   .select(*keys, "right_id", "_b.left_id", "_b.distance"))
         mutual = l_best.join(r_best, [*keys, "left_id", "right_id"])
-        rest = (live.join(mutual.select(*keys, "left_id"), [*keys, "left_id"], "left_anti")
+        rest = (edges.join(mutual.select(*keys, "left_id"), [*keys, "left_id"], "left_anti")
                 .join(mutual.select(*keys, "right_id"), [*keys, "right_id"], "left_anti"))
         new = mutual.withColumns({"_l": F.lit(True), "_r": F.lit(True), "_hit": F.lit(True)})
-        return rest.unionByName(new).unionByName(e.where("_hit"))
-
-    found = []
-    edges = edges.na.fill(False, ["_l", "_r"]).withColumn("_hit", F.lit(False))
-    while True:
-        edges = checkpoint(one_round(one_round(edges)))
-        n = edges.agg(F.count_if("_hit").alias("hits"), F.count_if(~F.col("_hit")).alias("left")).first()
-        found.append(edges.where("_hit").select(*cols))
-        edges = edges.where(~F.col("_hit"))
+        done = checkpoint(rest.unionByName(new))
+        n = done.agg(F.count_if("_hit").alias("hits"), F.count_if(~F.col("_hit")).alias("left")).first()
+        found.append(done.where("_hit").select(*cols))
+        edges = done.where(~F.col("_hit"))
         if not n["hits"] or not n["left"]:
             return found
 

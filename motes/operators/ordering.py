@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from motes.session import small_side
 
 PIECES = 64
+#: Rows one piece should not exceed; larger groups are cut again inside their pieces.
+PIECE_ROWS = 4_000_000
 
 
 def with_pieces(df: DataFrame, keys: list[str], value: str, pieces: int = PIECES,
@@ -21,21 +23,32 @@ def with_pieces(df: DataFrame, keys: list[str], value: str, pieces: int = PIECES
     """Add ``_piece``: how many of the group's approximate quantiles lie below the value.
 
     The edges need not be exact, any edges give a correct (if less even) split.
+    A group whose pieces would still be large is cut a second time, and so on.
     ``edge_keys`` may name fewer keys than the later window uses.
     """
     by = keys if edge_keys is None else edge_keys
     probs = [i / pieces for i in range(1, pieces)]
-    edges = df.groupBy(*by).agg(F.percentile_approx(value, probs, 1000).alias("_edges"))
-    edges = small_side(edges, 20_000)
-    found = df.join(edges, by, "left") if by else df.join(edges, F.lit(True), "left")
 
     def place(lo: int, hi: int) -> Column:
         """Binary search over the edges as one expression, which Spark compiles."""
         if lo == hi:
-            return F.lit(lo)
+            return F.lit(lo).cast("long")
         mid = (lo + hi) // 2
         return F.when(F.col(value) > F.get("_edges", mid), place(mid + 1, hi)).otherwise(place(lo, mid))
-    return found.withColumn("_piece", place(0, pieces - 1)).drop("_edges")
+
+    out, level, last = df, list(by), None
+    while True:
+        edges = small_side(out.groupBy(*level).agg(
+            F.count(value).alias("_n"), F.percentile_approx(value, probs, 1000).alias("_edges")), 20_000)
+        most = edges.agg(F.max("_n")).first()[0] or 0
+        found = out.join(edges, level, "left") if level else out.join(edges, F.lit(True), "left")
+        piece = place(0, pieces - 1)
+        out = found.withColumn("_piece", F.col("_piece") * pieces + piece if last is not None else piece)
+        out = out.drop("_edges", "_n")
+        # equal values cannot be parted, so stop once cutting no longer helps
+        if most / pieces <= PIECE_ROWS or (last is not None and most > last / 2):
+            return out
+        level, last = [*by, "_piece"], most
 
 
 def piece_offsets(df: DataFrame, keys: list[str], weight: Column) -> DataFrame:
@@ -135,7 +148,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         return F.struct(
             F.lit(i).alias("i"), pos.alias("pos"), F.when(hit, low[i]).alias("low"), F.when(hit, high[i]).alias("high"),
             F.when(hit, F.col(f"_u{i}")).otherwise(F.lit(0)).alias("under"))
-    table = small_side(counted.select(*key, F.array(*[bracket(i) for i in range(len(ps))]).alias("_k")))
+    most = F.greatest(*[F.col(f"_i{i}") for i in range(len(ps))]) if len(ps) > 1 else F.col("_i0")
+    table = small_side(counted.select(*key, F.array(*[bracket(i) for i in range(len(ps))]).alias("_k"), most.alias("_most")))
 
     # a row goes to every bracket it lies in; almost all rows lie in none
     inside = F.filter("_k", lambda k: k["low"].isNull() | v.between(k["low"], k["high"]))
@@ -145,9 +159,13 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         rough = rough | k["low"].isNull() | v.between(k["low"], k["high"])
     picked = clean.join(table, key).where(rough).select(*key, value, F.explode(inside).alias("_q"))
     values = picked.groupBy(*key, "_q", value).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*key, "_q").orderBy(value)) + F.col("_q.under")
     pos = F.col("_q.pos")
-    at = values.withColumn("_upto", upto)
+    if (table.agg(F.max("_most")).first()[0] or 0) > PIECE_ROWS:
+        at = running_total(with_pieces(values, [*key, "_q"], value), [*key, "_q"], value, "_c", "_upto")
+        at = at.withColumn("_upto", F.col("_upto") + F.col("_q.under"))
+    else:
+        upto = F.sum("_c").over(Window.partitionBy(*key, "_q").orderBy(value)) + F.col("_q.under")
+        at = values.withColumn("_upto", upto)
 
     def covers(r: Column) -> Column:
         return (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_c"))
@@ -157,3 +175,20 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     out = got.groupBy(*key).agg(*[
         F.sum(F.when(F.col("_q.i") == i, v * F.col("_share"))).alias(n) for i, n in enumerate(names)])
     return out if keys else out.drop("_all")
+
+
+def carried(df: DataFrame, keys: list[str], order: str, value: str, out: str, include_self: bool) -> DataFrame:
+    """Add the last known ``value`` before each row (or up to it) in the group's order.
+
+    Like ``last(value, ignoreNulls)`` over the whole group, but a group is cut into
+    pieces of the order column; what a piece ends with is handed to the next ones.
+    """
+    cut = with_pieces(df, keys, order)
+    ends = cut.groupBy(*keys, "_piece").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    ends = small_side(ends.withColumn("_carry", F.last("_end", True).over(before)).drop("_end"))
+    inside = (Window.partitionBy(*keys, "_piece").orderBy(order)
+              .rowsBetween(Window.unboundedPreceding, 0 if include_self else -1))
+    return (cut.join(ends, [*keys, "_piece"])
+            .withColumn(out, F.coalesce(F.last(value, True).over(inside), F.col("_carry"))).drop("_piece", "_carry"))

@@ -107,7 +107,7 @@ def k_nearest(points: DataFrame, refs: DataFrame, keys: list[str], *, k: int = 1
     and no point is ever paired with a whole crowd.
     """
     need = k + 1 if skip_self else k
-    sites = _sites(refs, keys, coords, id, need)
+    sites = refs.select(*keys, *coords, F.col(id).alias("_rid"))
     dims = len(coords)
     if bound is None:
         ends = sites.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(coords)],
@@ -131,11 +131,15 @@ def k_nearest(points: DataFrame, refs: DataFrame, keys: list[str], *, k: int = 1
         return df.withColumns({c: cell(i, level) for i, c in enumerate(cells)})
 
     def crowd(level: int) -> int:
+        """Rows in the fullest cell; an upper bound while copies are not merged."""
         n = on_level(sites, level).groupBy(*keys, *cells).count().agg(F.max("count")).first()[0]
         return n or 0
 
     leaf = max(LEAF_SITES, 4 * need)
     level, most = 0, crowd(0)
+    if most > leaf:
+        sites = _sites(refs, keys, coords, id, need)
+        most = crowd(0)
     while most > leaf and level < DEEPEST:
         level += max(1, math.ceil(math.log2(most / leaf) / dims))
         most = crowd(level)
