@@ -20,25 +20,56 @@ from motes.session import checkpoint
 LIST = 6
 
 
-def _crowded_spots(left: DataFrame, right: DataFrame, keys: list[str], coords: list[str]) -> DataFrame:
-    """Points that hold more copies on either side than a neighbour list can show."""
-    at = [*keys, *coords]
+#: Equally near points looked at around a crowded point.
+TIES = 9
 
-    def spots(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*at).agg(F.count("*").alias(name))
-    return (spots(left, "_a").join(spots(right, "_b"), at)
-            .where(F.greatest("_a", "_b") > LIST).select(*at))
 
+def _crowds(a: DataFrame, b: DataFrame, keys: list[str], limit: float | None, coords: list[str],
+            a_id: str, b_id: str) -> DataFrame | None:
+    """Matches around points of ``a`` that hold more copies than a neighbour list can show.
 
-def _same_spot(left: DataFrame, right: DataFrame, spots: DataFrame, keys: list[str], coords: list[str]) -> DataFrame:
-    """Pairs at distance zero on crowded points: copies pair up by rank of their ids."""
+    Let all points of ``b`` nearest to such a crowd have it as their only nearest
+    point in turn.  Then nothing comes before these pairs and they are equally long, so
+    the crowd's copies and the copies of those points pair up by rank of their ids, all at once.
+    """
     at = [*keys, *coords]
 
-    def ranked(df: DataFrame, name: str) -> DataFrame:
-        here = df.select(*at, F.col("id").alias(name)).join(spots, at, "left_semi")
-        return row_numbers(here, at, name, "_rank")
-    return ranked(left, "left_id").join(ranked(right, "right_id"), [*at, "_rank"]).select(
-        *keys, "left_id", "right_id", F.lit(0.0).alias("distance"))
+    def points(df: DataFrame) -> DataFrame:
+        return df.groupBy(*at).agg(F.count("*").alias("_n"), F.min("id").alias("id"))
+    pa, pb = points(a), points(b)
+    big = pa.where(F.col("_n") > LIST)
+    if big.isEmpty():
+        return None
+    n = k_nearest(big, pb, keys, k=TIES, bound=limit, inclusive=True, coords=coords)
+    first = n.where("place = 1").select(*keys, "id", F.col("distance").alias("_d"))
+    ties = checkpoint(n.join(first, [*keys, "id"]).where(F.col("distance") == F.col("_d")).select(
+        *keys, F.col("id").alias("_a"), F.col("ref_id").alias("_b"), "distance"))
+    # enough partners to be worth it, and all of them seen
+    sized = ties.join(pb.select(*keys, F.col("id").alias("_b"), "_n"), [*keys, "_b"])
+    worth = (sized.groupBy(*keys, "_a").agg(F.sum("_n").alias("_m"), F.count("*").alias("_t"))
+             .where((F.col("_m") > LIST) & (F.col("_t") < TIES)))
+    near_b = ties.join(worth, [*keys, "_a"], "left_semi").select(*keys, F.col("_b").alias("id")).distinct()
+    if near_b.isEmpty():
+        return None
+    back = k_nearest(pb.join(near_b, [*keys, "id"], "left_semi"), pa, keys, k=2, bound=limit, inclusive=True, coords=coords)
+    back = back.groupBy(*keys, F.col("id").alias("_b")).agg(
+        F.min(F.when(F.col("place") == 1, F.col("ref_id"))).alias("_a"),
+        F.min(F.when(F.col("place") == 1, F.col("distance"))).alias("_d1"),
+        F.min(F.when(F.col("place") == 2, F.col("distance"))).alias("_d2"))
+    only = back.where(F.col("_d2").isNull() | (F.col("_d2") > F.col("_d1"))).select(*keys, "_a", "_b")
+    kept = ties.join(only, [*keys, "_a", "_b"]).groupBy(*keys, "_a").agg(F.count("*").alias("_t"))
+    good = worth.join(kept, [*keys, "_a", "_t"], "left_semi").select(*keys, "_a")
+    pairs = checkpoint(ties.join(good, [*keys, "_a"], "left_semi"))
+    if pairs.isEmpty():
+        return None
+
+    def ranked(df: DataFrame, sites: DataFrame, site: str, own: DataFrame, name: str) -> DataFrame:
+        spot = sites.select(*at, F.col("id").alias(site)).join(own, [*keys, site]).drop(*({site} - {"_a"}))
+        here = df.select(*at, F.col("id").alias(name)).join(spot, at).drop(*coords)
+        return row_numbers(here, [*keys, "_a"], name, "_rank")
+    of_a = ranked(a, pa, "_a", pairs.select(*keys, "_a", "distance").distinct(), a_id)
+    of_b = ranked(b, pb, "_b", pairs.select(*keys, "_a", "_b"), b_id)
+    return checkpoint(of_a.join(of_b, [*keys, "_a", "_rank"]).select(*keys, "left_id", "right_id", "distance"))
 
 
 def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], limit: float | None,
@@ -46,7 +77,7 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], limit: floa
     """One-to-one matches with ``distance <= limit`` (no limit: None): keys, left_id, right_id, distance.
 
     Neighbour lists hold the ``LIST`` nearest objects only, so a dense field costs
-    no more than a sparse one.  An object whose list is used up gets a new one made
+    no more than a sparse one; crowds of copies at one point pair up as a whole.  An object whose list is used up gets a new one made
     from the objects still free, hence the result is exact.
     """
     left = checkpoint(left.select(*keys, "id", *coords))
@@ -56,12 +87,18 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], limit: floa
     def free(df: DataFrame, side: str, done: DataFrame) -> DataFrame:
         return df.join(done.select(*keys, F.col(side).alias("id")), [*keys, "id"], "left_anti")
 
-    spots = _crowded_spots(left, right, keys, coords)
-    if not spots.isEmpty():
-        parts.append(checkpoint(_same_spot(left, right, spots, keys, coords)))
-        left = checkpoint(free(left, "left_id", parts[0]))
-        right = checkpoint(free(right, "right_id", parts[0]))
+    def without(done: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return checkpoint(free(left, "left_id", done)), checkpoint(free(right, "right_id", done))
+
     while True:
+        crowd = _crowds(left, right, keys, limit, coords, "left_id", "right_id")
+        if crowd is None:
+            crowd = _crowds(right, left, keys, limit, coords, "right_id", "left_id")
+        if crowd is not None:
+            parts.append(crowd)
+            left, right = without(crowd)
+            continue
+
         def listed(a: DataFrame, b: DataFrame, a_id: str, b_id: str, mark: str) -> DataFrame:
             n = k_nearest(a, b, keys, k=LIST, bound=limit, inclusive=True, coords=coords)
             return n.select(*keys, F.col("id").alias(a_id), F.col("ref_id").alias(b_id), "distance",
@@ -79,7 +116,7 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], limit: floa
         # only a free object with a full list may still have unseen partners
         if _stalled(edges, new, keys).isEmpty():
             break
-        left, right = checkpoint(free(left, "left_id", new)), checkpoint(free(right, "right_id", new))
+        left, right = without(new)
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -81,16 +81,106 @@ def pairs_within(left: DataFrame, right: DataFrame, keys: list[str], limit: floa
     return a.join(b, on).where(near).select(*keys, "left_id", "right_id", F.sqrt(d2).alias("distance"))
 
 
+# -- cells that narrow --------------------------------------------------------
+
+class _Grid:
+    """Nested square cells over point coordinates: level n has cells of side / 2**n.
+
+    Under a bound the top cells have the bound as their side and a point looks at
+    the adjacent ones too; without one a single top cell spans all sites.
+    """
+
+    def __init__(self, sites: DataFrame, keys: list[str], coords: list[str], bound: float | None):
+        self.keys, self.coords, self.bounded = keys, coords, bound is not None
+        self.cells = [f"_c{i}" for i in range(len(coords))]
+        self.lows, self.side = [0.0] * len(coords), float(bound or 1.0)
+        if bound is None:
+            ends = sites.agg(*[F.min(c).cast("double").alias(f"lo{i}") for i, c in enumerate(coords)],
+                             *[F.max(c).cast("double").alias(f"hi{i}") for i, c in enumerate(coords)]).first()
+            if ends["lo0"] is not None:
+                self.lows = [ends[f"lo{i}"] for i in range(len(coords))]
+                widest = max(ends[f"hi{i}"] - lo for i, lo in enumerate(self.lows))
+                self.side = 2.0 ** math.ceil(math.log2(widest * 1.0000001)) if widest > 0 else 1.0
+
+    def on_level(self, df: DataFrame, level: int) -> DataFrame:
+        return df.withColumns({
+            f"_c{i}": F.floor((F.col(c).cast("double") - F.lit(self.lows[i])) / F.lit(self.side) * F.lit(2.0 ** level))
+            for i, c in enumerate(self.coords)})
+
+    def crowd(self, sites: DataFrame, level: int) -> int:
+        """Rows in the fullest cell."""
+        n = self.on_level(sites, level).groupBy(*self.keys, *self.cells).count().agg(F.max("count")).first()[0]
+        return n or 0
+
+    def depth(self, sites: DataFrame, leaf: int) -> int:
+        """First level found on which no cell holds more than ``leaf`` sites."""
+        level, most = 0, self.crowd(sites, 0)
+        while most > leaf and level < DEEPEST:
+            level += max(1, math.ceil(math.log2(most / leaf) / len(self.coords)))
+            most = self.crowd(sites, level)
+        return level
+
+    @property
+    def open_keys(self) -> list[str]:
+        return self.keys + self.cells if self.bounded else self.keys
+
+    def points(self, df: DataFrame, id: str) -> DataFrame:
+        """Points with coordinates ``_p0..`` and one row per top cell they look at."""
+        p = df.select(*self.keys, id, *[F.col(c).cast("double").alias(f"_p{i}") for i, c in enumerate(self.coords)])
+        if self.bounded:
+            near = F.array(*[F.lit(s) for s in (-1, 0, 1)])
+            for i in range(len(self.coords)):
+                home = F.floor((F.col(f"_p{i}") - F.lit(self.lows[i])) / F.lit(self.side))
+                p = p.withColumn("_s", F.explode(near)).withColumn(f"_c{i}", home + F.col("_s")).drop("_s")
+        return p
+
+    def boxes(self, sites: DataFrame, deepest: int, n: Column) -> dict[int, DataFrame]:
+        """Per level the occupied cells with their weight ``_n`` and tight bounds, finest first written once."""
+        ends = range(len(self.coords))
+        deep = checkpoint(self.on_level(sites, deepest).groupBy(*self.keys, *self.cells).agg(
+            F.sum(n).alias("_n"), *[F.min(c).cast("double").alias(f"_lo{i}") for i, c in enumerate(self.coords)],
+            *[F.max(c).cast("double").alias(f"_hi{i}") for i, c in enumerate(self.coords)]))
+        out = {deepest: deep}
+        for lv in range(0, deepest, 2):
+            up = deep.withColumns({c: F.shiftright(c, deepest - lv) for c in self.cells})
+            out[lv] = up.groupBy(*self.keys, *self.cells).agg(
+                F.sum("_n").alias("_n"), *[F.min(f"_lo{i}").alias(f"_lo{i}") for i in ends],
+                *[F.max(f"_hi{i}").alias(f"_hi{i}") for i in ends])
+        return dict(sorted(out.items()))
+
+    def with_reach(self, df: DataFrame) -> DataFrame:
+        """Squared distances ``_near`` and ``_far`` from the point to a cell's bounds."""
+        near, far = F.lit(0.0), F.lit(0.0)
+        for i in range(len(self.coords)):
+            p, lo, hi = F.col(f"_p{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+            d, e = F.greatest(lo - p, p - hi, F.lit(0.0)), F.greatest(F.abs(p - lo), F.abs(hi - p))
+            near, far = near + d * d, far + e * e
+        return df.withColumns({"_near": near, "_far": far})
+
+    @property
+    def stats(self) -> list[str]:
+        return ["_n", *[f"_{e}{i}" for e in ("lo", "hi") for i in range(len(self.coords))]]
+
+    def children(self, front: DataFrame, boxes: DataFrame, up: int, lv: int) -> DataFrame:
+        """Front rows moved from level ``up`` to the occupied cells of level ``lv`` below."""
+        ups = {c: f"_up{i}" for i, c in enumerate(self.cells)}
+        child = boxes.withColumns({u: F.shiftright(c, lv - up) for c, u in ups.items()})
+        return (front.drop(*self.stats).withColumnsRenamed(ups)
+                .join(child, [*self.keys, *ups.values()]).drop(*ups.values()))
+
+    def squared(self) -> Column:
+        return reduce(lambda a, b: a + b, [(F.col(f"_p{i}") - F.col(c)) * (F.col(f"_p{i}") - F.col(c))
+                                           for i, c in enumerate(self.coords)])
+
+
 # -- k nearest -------------------------------------------------------------
 
-def _sites(refs: DataFrame, keys: list[str], coords: list[str], id: str, keep: int) -> DataFrame:
+def _sites(sites: DataFrame, keys: list[str], coords: list[str], keep: int) -> DataFrame:
     """Copies at one point matter only through their ``keep`` smallest ids."""
-    at = refs.select(*keys, *coords, F.col(id).alias("_rid"))
-    at = at.where(reduce(lambda p, r: p & r, [F.col(c).isNotNull() for c in coords]))
     if keep == 1:
-        return at.groupBy(*keys, *coords).agg(F.min("_rid").alias("_rid"))
+        return sites.groupBy(*keys, *coords).agg(F.min("_rid").alias("_rid"))
     w = Window.partitionBy(*keys, *coords).orderBy("_rid")
-    return at.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= keep).drop("_i")
+    return sites.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= keep).drop("_i")
 
 
 def k_nearest(points: DataFrame, refs: DataFrame, keys: list[str], *, k: int = 1,
@@ -107,65 +197,40 @@ def k_nearest(points: DataFrame, refs: DataFrame, keys: list[str], *, k: int = 1
     and no point is ever paired with a whole crowd.
     """
     need = k + 1 if skip_self else k
-    sites = refs.select(*keys, *coords, F.col(id).alias("_rid"))
-    dims = len(coords)
-    if bound is None:
-        ends = sites.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(coords)],
-                         *[F.max(c).alias(f"hi{i}") for i, c in enumerate(coords)]).first()
-        lows = [ends[f"lo{i}"] for i in range(dims)]
-        if lows[0] is None:
-            lows, side = [0.0] * dims, 1.0
-        else:
-            widest = max(float(ends[f"hi{i}"]) - float(ends[f"lo{i}"]) for i in range(dims))
-            side = 2.0 ** math.ceil(math.log2(widest * 1.0000001)) if widest > 0 else 1.0
-    else:
-        lows, side = [0.0] * dims, float(bound)
-
-    def cell(i: int, level: int) -> Column:
-        scaled = (F.col(coords[i]).cast("double") - F.lit(float(lows[i]))) / F.lit(side)
-        return F.floor(scaled * F.lit(2.0 ** level))
-
-    cells = [f"_c{i}" for i in range(dims)]
-
-    def on_level(df: DataFrame, level: int) -> DataFrame:
-        return df.withColumns({c: cell(i, level) for i, c in enumerate(cells)})
-
-    def crowd(level: int) -> int:
-        """Rows in the fullest cell; an upper bound while copies are not merged."""
-        n = on_level(sites, level).groupBy(*keys, *cells).count().agg(F.max("count")).first()[0]
-        return n or 0
-
     leaf = max(LEAF_SITES, 4 * need)
-    level, most = 0, crowd(0)
-    if most > leaf:
-        sites = _sites(refs, keys, coords, id, need)
-        most = crowd(0)
-    while most > leaf and level < DEEPEST:
-        level += max(1, math.ceil(math.log2(most / leaf) / dims))
-        most = crowd(level)
-
-    p = points.select(*keys, id, *[F.col(c).cast("double").alias(f"_p{i}") for i, c in enumerate(coords)])
-
-    def start(df: DataFrame) -> DataFrame:
-        """Level-0 cells a point looks at: its own and the adjacent ones under a bound."""
-        if bound is None:
-            return df
-        near = F.array(*[F.lit(s) for s in (-1, 0, 1)])
-        for i in range(dims):
-            home = F.floor((F.col(f"_p{i}") - F.lit(float(lows[i]))) / F.lit(side))
-            df = (df.withColumn("_s", F.explode(near)).withColumn(f"_c{i}", home + F.col("_s")).drop("_s"))
-        return df
-
-    open_keys = keys if bound is None else keys + cells
+    present = reduce(lambda p, r: p & r, [F.col(c).isNotNull() for c in coords])
+    sites = refs.where(present).select(*keys, *coords, F.col(id).alias("_rid"))
+    grid = _Grid(sites, keys, coords, bound)
+    level = 0
+    if grid.crowd(sites, 0) > leaf:
+        sites = _sites(sites, keys, coords, need)
+        level = grid.depth(sites, leaf)
+
+    p = grid.points(points, id)
     limit2 = None if bound is None else float(bound) * float(bound)
     if level == 0:
-        cand = start(p).join(on_level(sites, 0) if bound is not None else sites, open_keys)
+        cand = p.join(grid.on_level(sites, 0) if bound is not None else sites, grid.open_keys)
     else:
-        cand = _walk_down(start(p), sites, keys, id, coords, cells, open_keys, on_level, level, need, limit2)
+        boxes = grid.boxes(sites, level, F.lit(1))
+        mine = Window.partitionBy(*keys, id)
 
-    d2 = reduce(lambda a, b: a + b, [(F.col(f"_p{i}") - F.col(c)) * (F.col(f"_p{i}") - F.col(c))
-                                     for i, c in enumerate(coords)])
-    cand = cand.withColumn("_d2", d2)
+        def narrowed(df: DataFrame) -> DataFrame:
+            """Drop cells that lie beyond ``need`` sites already sure to be nearer."""
+            df = grid.with_reach(df)
+            if limit2 is not None:
+                df = df.where(F.col("_near") <= limit2)
+            df = df.withColumn("_got", F.sum("_n").over(mine.orderBy("_far")))
+            df = df.withColumn("_reach", F.min(F.when(F.col("_got") >= need, F.col("_far"))).over(mine))
+            # a hair of slack keeps exact ties through rounding
+            return (df.where(F.col("_reach").isNull() | (F.col("_near") <= F.col("_reach") * 1.000000001))
+                    .drop("_near", "_far", "_got", "_reach"))
+        levels = list(boxes)
+        front = narrowed(p.join(boxes[0], grid.open_keys))
+        for up, lv in zip(levels, levels[1:]):
+            front = narrowed(grid.children(front, boxes[lv], up, lv))
+        cand = front.drop(*grid.stats).join(grid.on_level(sites, level), keys + grid.cells)
+
+    cand = cand.withColumn("_d2", grid.squared())
     if limit2 is not None:
         cand = cand.where(F.col("_d2") <= limit2 if inclusive else F.col("_d2") < limit2)
     if skip_self:
@@ -179,53 +244,35 @@ def k_nearest(points: DataFrame, refs: DataFrame, keys: list[str], *, k: int = 1
             .select(*keys, id, F.col("_rid").alias("ref_id"), F.sqrt("_d2").alias("distance"), "place"))
 
 
-def _walk_down(p: DataFrame, sites: DataFrame, keys: list[str], id: str, coords: list[str],
-               cells: list[str], open_keys: list[str], on_level, deepest: int, need: int,
-               limit2: float | None) -> DataFrame:
-    """Candidate (point, site) rows found by narrowing cells level by level."""
-    dims = len(coords)
-    levels = sorted({*range(0, deepest, 2), deepest})
-    deep = on_level(sites, deepest).groupBy(*keys, *cells).agg(
-        F.count("*").alias("_n"),
-        *[F.min(c).cast("double").alias(f"_lo{i}") for i, c in enumerate(coords)],
-        *[F.max(c).cast("double").alias(f"_hi{i}") for i, c in enumerate(coords)])
-    deep = checkpoint(deep)
-    boxes = {deepest: deep}
-    for lv in reversed(levels[:-1]):
-        up = deep.withColumns({c: F.shiftright(c, deepest - lv) for c in cells})
-        boxes[lv] = up.groupBy(*keys, *cells).agg(
-            F.sum("_n").alias("_n"),
-            *[F.min(f"_lo{i}").alias(f"_lo{i}") for i in range(dims)],
-            *[F.max(f"_hi{i}").alias(f"_hi{i}") for i in range(dims)])
-
-    def narrowed(df: DataFrame) -> DataFrame:
-        """Drop cells that lie beyond ``need`` sites already sure to be nearer."""
-        def near(i: int) -> Column:
-            d = F.greatest(F.col(f"_lo{i}") - F.col(f"_p{i}"), F.col(f"_p{i}") - F.col(f"_hi{i}"), F.lit(0.0))
-            return d * d
-
-        def far(i: int) -> Column:
-            d = F.greatest(F.abs(F.col(f"_p{i}") - F.col(f"_lo{i}")), F.abs(F.col(f"_hi{i}") - F.col(f"_p{i}")))
-            return d * d
-        df = df.withColumn("_near", reduce(lambda a, b: a + b, [near(i) for i in range(dims)]))
-        df = df.withColumn("_far", reduce(lambda a, b: a + b, [far(i) for i in range(dims)]))
-        if limit2 is not None:
-            df = df.where(F.col("_near") <= limit2)
-        mine = Window.partitionBy(*keys, id)
-        df = df.withColumn("_got", F.sum("_n").over(mine.orderBy("_far")))
-        df = df.withColumn("_reach", F.min(F.when(F.col("_got") >= need, F.col("_far"))).over(mine))
-        # a hair of slack keeps exact ties through rounding
-        return (df.where(F.col("_reach").isNull() | (F.col("_near") <= F.col("_reach") * 1.000000001))
-                .drop("_near", "_far", "_got", "_reach"))
-
-    stat = ["_n", *[f"_lo{i}" for i in range(dims)], *[f"_hi{i}" for i in range(dims)]]
-    front = narrowed(p.join(boxes[0], open_keys))
-    for up, lv in zip(levels, levels[1:]):
-        child = boxes[lv].withColumns({f"_up{i}": F.shiftright(c, lv - up) for i, c in enumerate(cells)})
-        parent = front.drop(*stat).withColumnsRenamed({c: f"_up{i}" for i, c in enumerate(cells)})
-        front = narrowed(parent.join(child, [*keys, *[f"_up{i}" for i in range(dims)]])
-                         .drop(*[f"_up{i}" for i in range(dims)]))
-    return front.drop(*stat).join(on_level(sites, deepest), keys + cells)
+def counts_within(points: DataFrame, refs: DataFrame, keys: list[str], limit: float, *,
+                  id: str = "id", coords: list[str] = XY) -> DataFrame:
+    """How many ``refs`` lie within ``limit`` (inclusive) of each point: keys, id, ``n``.
+
+    Cells wholly inside the circle add their count at once; only cells on its rim
+    are looked into.  No pairs are made, so a crowd costs no more than its rim.
+    Points without any are absent.
+    """
+    sites = refs.groupBy(*keys, *coords).agg(F.count("*").alias("_copies"))
+    grid = _Grid(sites, keys, coords, limit)
+    level = grid.depth(sites, LEAF_SITES)
+    p, limit2 = grid.points(points, id), float(limit) * float(limit)
+    parts = []
+    if level == 0:
+        rim = p
+    else:
+        boxes = grid.boxes(sites, level, F.col("_copies"))
+        levels = list(boxes)
+        front = p.join(boxes[0], grid.open_keys)
+        for up, lv in zip([None, *levels], levels):
+            if up is not None:
+                front = grid.children(front, boxes[lv], up, lv)
+            front = grid.with_reach(front)
+            parts.append(front.where(F.col("_far") <= limit2).select(*keys, id, F.col("_n").alias("n")))
+            front = front.where((F.col("_near") <= limit2) & (F.col("_far") > limit2)).drop("_near", "_far")
+        rim = front.drop(*grid.stats)
+    at_rim = rim.join(grid.on_level(sites, level), keys + grid.cells).where(grid.squared() <= limit2)
+    parts.append(at_rim.select(*keys, id, F.col("_copies").alias("n")))
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys, id).agg(F.sum("n").alias("n"))
 
 
 def nearest_reference(markers: DataFrame, refs: DataFrame, keys: list[str], limit: float,
@@ -417,15 +464,15 @@ def nested_relations(primary: DataFrame, relations: DataFrame, keys: list[str],
     return primary.select(*keys, "id", *XY, "area").join(maps, [*keys, "id"], "left")
 
 
-def relation_summary(primary: DataFrame, pairs: DataFrame, channels: DataFrame, keys: list[str],
+def relation_summary(primary: DataFrame, per_object: DataFrame, channels: DataFrame,
                      channel: str = "channel") -> DataFrame:
-    """Per channel: objects with a relation, relations, mean per object, mean of best overlaps."""
-    pct = F.round("percent", 2) if "percent" in pairs.columns else F.lit(0.0)
-    per_object = pairs.groupBy(channel, *keys, "left_id").agg(
-        F.count("*").alias("_c"), F.max(pct).alias("_best"))
+    """Per channel: objects with a relation, relations, mean per object, mean of best overlaps.
+
+    ``per_object`` has channel, ``n`` partners and the ``best`` overlap percentage of
+    each primary object with a partner (see :func:`overlaps_per_object` and :func:`counts_within`).
+    """
     found = per_object.groupBy(channel).agg(
-        F.count("*").alias("objects_with_relation"), F.sum("_c").alias("total_relations"),
-        F.avg("_best").alias("_best"))
+        F.count("*").alias("objects_with_relation"), F.sum("n").alias("total_relations"), F.avg("best").alias("_best"))
     n = primary.count()
     total = F.coalesce("total_relations", F.lit(0))
     return channels.join(found, channel, "left").select(
@@ -434,3 +481,17 @@ def relation_summary(primary: DataFrame, pairs: DataFrame, channels: DataFrame,
         total.alias("total_relations"),
         (F.round(total / n, 3) if n else F.lit(0.0)).alias("mean_markers_per_object"),
         F.coalesce(F.round("_best", 2), F.lit(0.0)).alias("mean_max_overlap_pct"))
+
+
+def overlaps_per_object(pairs: DataFrame, keys: list[str], channel: str = "channel") -> DataFrame:
+    """Partners and best overlap percentage of every primary object with an overlap."""
+    return pairs.groupBy(channel, *keys, "left_id").agg(
+        F.count("*").alias("n"), F.max(F.round("percent", 2)).alias("best"))
+
+
+def neighbours_per_object(primary: DataFrame, secondary: DataFrame, keys: list[str], limit: float,
+                          channels: list[str]) -> DataFrame:
+    """Partners within a distance for every primary object and channel; no overlap is measured."""
+    each = primary.select(*keys, "id", *XY, F.explode(F.array(*[F.lit(c) for c in channels])).alias("channel"))
+    n = counts_within(each, secondary, [*keys, "channel"], limit)
+    return n.withColumnRenamed("id", "left_id").withColumn("best", F.lit(0.0))

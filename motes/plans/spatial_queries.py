@@ -311,9 +311,8 @@ select channel, (select count(*) from refs) as total_objects, count(*) as object
   round(sum(c) / (select count(*) from refs), 3) as mean_markers_per_object, 0.0::double as mean_max_overlap_pct from po group by 1""")
 def spatial_relation_summary(spark, sf):
     refs, marks = references(spark, sf), marker_detections(spark, sf)
-    p = spatial.pairs_within(refs, marks, IMG, 10.0).join(
-        marks.select("image", F.col("id").alias("right_id"), "channel"), ["image", "right_id"])
-    return spatial.relation_summary(refs, p, marks.select("channel").distinct(), IMG)
+    per = spatial.neighbours_per_object(refs, marks, IMG, 10.0, CHANNELS)
+    return spatial.relation_summary(refs, per, marks.select("channel").distinct())
 
 
 @query(f"""with {DETECTIONS}, {PCT}, po as (select channel, image, left_id, count(*) c, max(round(percent, 2)) best from pct group by 1, 2, 3)
@@ -323,7 +322,7 @@ def overlap_relation_summary(spark, sf):
     refs, marks = references(spark, sf), marker_detections(spark, sf)
     p = spatial.overlap_percent(refs, marks, IMG).join(
         marks.select("image", F.col("id").alias("right_id"), "channel"), ["image", "right_id"])
-    return spatial.relation_summary(refs, p, marks.select("channel").distinct(), IMG)
+    return spatial.relation_summary(refs, spatial.overlaps_per_object(p, IMG), marks.select("channel").distinct())
 
 
 @query(f"""with {DETECTIONS}, {PCT}, g as (select image, left_id, channel, count(*) c, string_agg(right_id, ',' order by right_id) ids,

@@ -24,6 +24,20 @@ def test_greedy_equals_sequential(spark, seed, grid, crowd):
     assert rows(got, "image", "left_id", "right_id") == sequential(a, b, 4.0)
 
 
+def test_crowds_of_copies_pair_up_at_once(spark, monkeypatch):
+    calls = []
+    real = matching._rounds
+    monkeypatch.setattr(matching, "_rounds", lambda *a: calls.append(1) or real(*a))
+    a, b = field(21, 160, images=1, grid=30), field(22, 150, images=1, grid=30)
+    a.loc[:70, ["centroid_x", "centroid_y"]] = 5.0, 5.0
+    b.loc[:50, ["centroid_x", "centroid_y"]] = 6.0, 6.0
+    b.loc[51:90, ["centroid_x", "centroid_y"]] = 40.0, 40.0
+    a.loc[71:130, ["centroid_x", "centroid_y"]] = 40.0, 40.0
+    got = matching.greedy_match(spark.createDataFrame(a), spark.createDataFrame(b), ["image"], 4.0)
+    assert rows(got, "image", "left_id", "right_id") == sequential(a, b, 4.0)
+    assert len(calls) < 8
+
+
 def test_components(spark):
     r = np.random.default_rng(3)
     e = [(int(x), int(y)) for x, y in r.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 460)]

@@ -56,6 +56,14 @@ def test_k_nearest(spark, k, bound, skip, grid, crowd):
     assert rows(got, "id", "place", "ref_id") == sorted(zip(j.id, j.place, j.id_r))
 
 
+@pytest.mark.parametrize("grid,crowd", [(40, 0), (25, 150), (None, 200)])
+def test_counts_within(spark, grid, crowd):
+    a, b = field(31, 200, grid=grid, crowd=crowd), field(32, 260, grid=grid, crowd=crowd)
+    got = spatial.counts_within(spark.createDataFrame(a), spark.createDataFrame(b), ["image"], 6.0)
+    want = brute(a, b, 6.0).groupby(["image", "id"]).size()
+    assert rows(got, "image", "id", "n") == sorted((i, j, int(n)) for (i, j), n in want.items())
+
+
 def test_nearest_bound_is_exclusive(spark):
     a = spark.createDataFrame([(1, 1, 0.0, 0.0)], "image int, id long, centroid_x double, centroid_y double")
     b = spark.createDataFrame([(1, 9, 3.0, 4.0)], a.schema)
