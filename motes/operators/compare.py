@@ -102,13 +102,17 @@ def mann_whitney(long: DataFrame, group: str = "sample") -> DataFrame:
             .withColumn("effect_size_rbc", effect).drop("_ties"))
 
 
-def compare_samples(long: DataFrame, correction: str = "fdr_bh") -> dict[str, DataFrame]:
-    """Summary, overall tests and pairwise tests; pairs are adjusted within their marker."""
+def pairwise_tests(long: DataFrame, correction: str = "fdr_bh") -> DataFrame:
+    """Mann-Whitney tests of all sample pairs, adjusted within their marker, with labels."""
     pair = adjusted(mann_whitney(long).na.fill(1.0, ["pvalue"]), "pvalue", "adj_pvalue", correction, ["marker"],
                     ["sample_1", "sample_2"])
-    pair = pair.withColumn("significance", significance_label(F.col("adj_pvalue"))).withColumn(
+    return pair.withColumn("significance", significance_label(F.col("adj_pvalue"))).withColumn(
         "sample_pair", F.concat_ws(" vs ", "sample_1", "sample_2"))
-    return {"summary": describe(long), "overall": kruskal(long), "pairwise": pair}
+
+
+def compare_samples(long: DataFrame, correction: str = "fdr_bh") -> dict[str, DataFrame]:
+    """Summary, overall tests and pairwise tests."""
+    return {"summary": describe(long), "overall": kruskal(long), "pairwise": pairwise_tests(long, correction)}
 
 
 def pairwise_matrix(pairwise: DataFrame, pairs: list[str] | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ def r(name: str, places: int = 6):
 
 
 def rounded(df: DataFrame, columns: list[str], places: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), places) for c in columns})
+    return df.withColumns({c: F.round(F.col(f"`{c}`"), places) for c in columns})
 
 
 def long(spark: SparkSession, sf: str) -> DataFrame:
@@ -329,29 +329,40 @@ def kruskal_h(spark, sf):
     return k.select("marker", "groups", F.col("n").cast("long").alias("n"), r("h_statistic", 3), r("pvalue", 5))
 
 
-@query(f"""with {OBJECTS}, {LONG}, c as (select marker, sample, value, count(*)::double n from long group by 1, 2, 3),
+MWU = f"""{OBJECTS}, {LONG}, c as (select marker, sample, value, count(*)::double n from long group by 1, 2, 3),
 p as (select a.marker, a.sample s1, b.s2, value, a.n c1, 0.0 c2 from c a join (select distinct sample s2 from c) b on a.sample < b.s2
   union all select a.marker, b.s1, a.sample, value, 0.0, a.n from c a join (select distinct sample s1 from c) b on a.sample > b.s1),
 v as (select marker, s1, s2, value, sum(c1) c1, sum(c2) c2 from p group by 1, 2, 3, 4),
 u as (select *, sum(c2) over (partition by marker, s1, s2 order by value) upto from v),
-z as (select marker, s1, s2, sum(c1) n1, sum(c2) n2, sum(c1 * (upto - c2 / 2)) u from u group by 1, 2, 3)
-select marker, s1 as sample_1, s2 as sample_2, cast(n1 as bigint) as n_1, cast(n2 as bigint) as n_2, round(u, 1) as u_statistic,
+z as (select marker, s1, s2, sum(c1) n1, sum(c2) n2, sum(c1 * (upto - c2 / 2)) u, sum(power(c1 + c2, 3) - (c1 + c2)) ties from u group by 1, 2, 3)"""
+
+
+@query(f"""with {MWU} select marker, s1 as sample_1, s2 as sample_2, cast(n1 as bigint) as n_1, cast(n2 as bigint) as n_2, round(u, 1) as u_statistic,
   round(2 * u / (n1 * n2) - 1, 6) as effect_size_rbc from z""")
 def mann_whitney_u(spark, sf):
     u = compare.mann_whitney(long(spark, sf))
     return u.select("marker", "sample_1", "sample_2", "n_1", "n_2", r("u_statistic", 1), r("effect_size_rbc"))
 
 
-@query()
+# the normal tail as a midpoint sum of its density, as SQL has no error function
+PAIRWISE = f"""{MWU}, zs as (select *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) as zz from z),
+pv as (select marker, s1, s2, least(1.0, any_value(case when zz < 0 then 1.0 else 0.0 end)
+   + 2 * sum(exp(-0.5 * power(greatest(zz, 0) + (i + 0.5) * 0.001, 2)) * 0.001 / sqrt(2 * pi()))) as p from zs, range(10000) t(i) group by 1, 2, 3),
+k as (select *, row_number() over (partition by marker order by p, s1, s2) k from pv),
+a as (select *, least(1.0, min(p * 3 / k) over (partition by marker order by k desc rows between unbounded preceding and current row)) as adj from k)"""
+
+
+@query(f"""with {PAIRWISE} select marker, s1 || ' vs ' || s2 as sample_pair, round(p, 5) as pvalue, round(adj, 5) as adj_pvalue,
+  case when adj < 0.001 then '***' when adj < 0.01 then '**' when adj < 0.05 then '*' else 'ns' end as significance from a""")
 def compare_samples_pairwise(spark, sf):
-    o = objects(spark, sf)
-    n = matrix.normalize(o, "pan_score", {m: m for m in MARKERS})
-    return compare.compare_samples(matrix.long_form(n, MARKERS))["pairwise"]
+    p = compare.pairwise_tests(long(spark, sf))
+    return p.select("marker", "sample_pair", r("pvalue", 5), r("adj_pvalue", 5), "significance")
 
 
-@query()
+@query(f"""with {PAIRWISE} select marker, {', '.join(f"round(max(-log10(adj)) filter (s1 = '{x}' and s2 = '{y}'), 3) as " + f'"{x} vs {y}"' for x, y in ("AN", "AR", "NR"))} from a group by marker""")
 def pairwise_matrix(spark, sf):
-    return compare.pairwise_matrix(compare.compare_samples(long(spark, sf))["pairwise"], ["A vs N", "A vs R", "N vs R"])
+    pairs = ["A vs N", "A vs R", "N vs R"]
+    return rounded(compare.pairwise_matrix(compare.pairwise_tests(long(spark, sf)), pairs), pairs, 3)
 
 
 P_TABLE = """p as (select l_suppkey as test, l_returnflag as sample, round(avg(l_tax * l_discount) * 100, 6) as p
