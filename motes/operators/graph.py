@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     e = checkpoint(e)
     state = _fingerprint(e)
     while True:
-        e = checkpoint(_stars(_stars(e)))
+        e = checkpoint(_stars(e))
         now = _fingerprint(e)
         if now == state:
             break

@@ -12,7 +12,7 @@ SF = os.environ.get("MOTES_TEST_SF", "/root/testdata/sf0.001")
 def spark(tmp_path_factory):
     from motes.session import session
     s = session("motes-tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
+        "spark.sql.shuffle.partitions": "3", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint"))})
