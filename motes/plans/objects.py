@@ -492,3 +492,19 @@ def cluster_profile(spark, sf):
     f = _features(spark, sf)
     labels, _ = learn.kmeans(f, MARKERS, k=5, restarts=1, keep=["object_id"])
     return profile.group_profile(f.join(labels, "object_id", "left"), "cluster", MARKERS)
+
+
+@query(f"with {OBJECTS} select object_id, m1, m2 from objects where sample in ('A', 'R')")
+def prefixed_matrix(spark, sf):
+    """The raw matrix of an enriched table for two of the samples, prefix stripped."""
+    o = qc.only_samples(objects(spark, sf), ["A", "R"])
+    e = o.select("object_id", F.col("m1").alias("raw__m1"), F.col("m2").alias("raw__m2"), F.col("m3").alias("bg__m3"))
+    return tables.prefixed_matrix(e, "raw__")
+
+
+@query(f"with {SPARSE} select sample, count(*) as objects, round(sum(coalesce(L3, 0)), 2) as l3 from sparse group by sample")
+def first_matching_table(spark, sf):
+    """The first of several candidate tables that has the columns of an object table."""
+    from motes.schema import matches
+    found = tables.first_matching([table(spark, sf, "orders"), sparse_objects(spark, sf)], matches)
+    return found.groupBy("sample").agg(F.count("*").alias("objects"), F.round(F.sum(F.coalesce("L3_positive", F.lit(0.0))), 2).alias("l3"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motes.operators import learn, lookups, pixels as px_ops, qc
+from motes.operators import geometry, learn, lookups, pixels as px_ops, qc
 from motes.plans.fixtures import DETECTIONS, PIXELS, detections, pixels
 from motes.plans.objects import rounded
 from motes.session import checkpoint
@@ -429,3 +429,9 @@ def object_classifier(spark, sf):
     f = f.withColumn("label_class", ((F.col("area") >= 6) & (F.col("mean_intensity") > 0.08)).cast("int"))
     model = learn.train_classifier(f, learn.OBJECT_FEATURES, "label_class", trees=20, max_depth=5)
     return learn.predict(model, f, learn.OBJECT_FEATURES).groupBy("label_class", "predicted").agg(F.count("*").alias("objects"))
+
+
+@query(f"with {PIXELS} select image, y - 2 as y, x - 1 as x, round(value, 6) as value from pixels where x >= 1 and x < 6 and y >= 2 and y < 8")
+def crop_pixels(spark, sf):
+    c = geometry.crop(pixels(spark, sf).select("image", "y", "x", "value"), 1, 2, 6, 20, shape=(8, 8))
+    return rounded(c, ["value"])

@@ -465,3 +465,29 @@ def sorted_detections(spark, sf):
 
 
 assert REFERENCE not in CHANNELS
+
+
+@query(f"""with {DETECTIONS} select a.image, a.id, c.channel, count(*) as n from refs a join marks c on a.image = c.image
+  and (a.centroid_x - c.centroid_x) * (a.centroid_x - c.centroid_x) + (a.centroid_y - c.centroid_y) * (a.centroid_y - c.centroid_y) <= 225
+group by 1, 2, 3""")
+def neighbour_counts(spark, sf):
+    """Markers within 15 px per reference object and channel, counted without making the pairs."""
+    n = spatial.neighbours_per_object(references(spark, sf), marker_detections(spark, sf), IMG, 15.0, CHANNELS)
+    return n.select("image", F.col("left_id").alias("id"), "channel", F.col("n").cast("long").alias("n"))
+
+
+@query(f"""with {DETECTIONS} select channel, (id % 3 = 0)::int as colocalized, count(*) as count from detections group by 1, 2""")
+def flag_split(spark, sf):
+    d = detections(spark, sf).withColumn("colocalized", (F.col("id") % 3 == 0).cast("int"))
+    return profile.flag_split(d)
+
+
+@query(f"""with {DETECTIONS}, far as (select *, centroid_x + 7 * image as gx from refs)
+select a.id, b.id as ref_id, round(sqrt(d2), 6) as distance from (select a.id as id, b.id as bid, (a.gx - b.gx) * (a.gx - b.gx) + (a.centroid_y - b.centroid_y) * (a.centroid_y - b.centroid_y) as d2,
+  row_number() over (partition by a.id order by (a.gx - b.gx) * (a.gx - b.gx) + (a.centroid_y - b.centroid_y) * (a.centroid_y - b.centroid_y), b.id) k
+  from far a join far b on a.id <> b.id) t join far a on a.id = t.id join far b on b.id = t.bid where k <= 2""")
+def nearest_in_mosaic(spark, sf):
+    """Two nearest reference objects of each other one after all images are laid side by side in one plane."""
+    m = references(spark, sf).select(F.lit(1).alias("plane"), "id", (F.col("centroid_x") + 7 * F.col("image")).alias("centroid_x"), "centroid_y")
+    n = spatial.k_nearest(m, m, ["plane"], k=2, skip_self=True)
+    return rounded(n.select("id", "ref_id", "distance"), ["distance"])
