@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motes.llm import frames, packing
+from motes.llm import frames, line_blocks, packing, words_bpe
 
 QUERIES: dict = {}
 
@@ -28,3 +28,13 @@ def op2_packing(spark, sf_dir):
 @query()
 def op8_token_frames(spark, sf_dir):
     return frames.round_trip(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_line_blocks(spark, sf_dir):
+    return line_blocks.extract(read(spark, sf_dir, "pages"))
+
+
+@query()
+def op9_word_bpe(spark, sf_dir):
+    return words_bpe.round_trip(read(spark, sf_dir, "documents"))
