@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motes.llm import frames, line_blocks, packing, words_bpe
+from motes.llm import frames, line_blocks, minhash, packing, words_bpe
 
 QUERIES: dict = {}
 
@@ -38,3 +38,8 @@ def op7_line_blocks(spark, sf_dir):
 @query()
 def op9_word_bpe(spark, sf_dir):
     return words_bpe.round_trip(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_minhash(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), size=4)
