@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motes.llm import frames, line_blocks, minhash, packing, words_bpe
+from motes.llm import frames, line_blocks, minhash, packing, run_index, words_bpe
 
 QUERIES: dict = {}
 
@@ -43,3 +43,8 @@ def op9_word_bpe(spark, sf_dir):
 @query()
 def op4_minhash(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), size=4)
+
+
+@query()
+def op3_run_index(spark, sf_dir):
+    return run_index.without_repeats(read(spark, sf_dir, "documents"))
