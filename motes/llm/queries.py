@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motes.llm import frames, line_blocks, minhash, packing, run_index, words_bpe
+from motes.llm import frames, line_blocks, minhash, packing, run_index, simhash, words_bpe
 
 QUERIES: dict = {}
 
@@ -48,3 +48,8 @@ def op4_minhash(spark, sf_dir):
 @query()
 def op3_run_index(spark, sf_dir):
     return run_index.without_repeats(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_simhash(spark, sf_dir):
+    return simhash.compared(read(spark, sf_dir, "documents"))
