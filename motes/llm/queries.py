@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motes.llm import frames, line_blocks, minhash, packing, run_index, simhash, words_bpe
+from motes.llm import frames, line_blocks, minhash, packing, personal, run_index, simhash, words_bpe
 
 QUERIES: dict = {}
 
@@ -53,3 +53,8 @@ def op3_run_index(spark, sf_dir):
 @query()
 def op1_simhash(spark, sf_dir):
     return simhash.compared(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_personal(spark, sf_dir):
+    return personal.personal_data(read(spark, sf_dir, "documents"))
