@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motes.llm import frames, line_blocks, minhash, packing, personal, run_index, simhash, words_bpe
+from motes.llm import frames, line_blocks, minhash, packing, personal, run_index, simhash, toxicity, words_bpe
 
 QUERIES: dict = {}
 
@@ -58,3 +58,8 @@ def op1_simhash(spark, sf_dir):
 @query()
 def op5_personal(spark, sf_dir):
     return personal.personal_data(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_toxicity(spark, sf_dir):
+    return toxicity.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
