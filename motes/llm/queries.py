@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motes.llm import frames, line_blocks, minhash, packing, personal, run_index, simhash, toxicity, words_bpe
+from motes.llm import frames, hnsw, line_blocks, minhash, packing, personal, run_index, simhash, toxicity, words_bpe
 
 QUERIES: dict = {}
 
@@ -63,3 +63,8 @@ def op5_personal(spark, sf_dir):
 @query()
 def op6_toxicity(spark, sf_dir):
     return toxicity.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query()
+def op10_hnsw(spark, sf_dir):
+    return hnsw.nearest(read(spark, sf_dir, "embeddings"))
