@@ -36,20 +36,21 @@ HINTS = frozenset(("ad ads advert adverts advertisement advertising adbox adslot
                    "pagination widget complementary contentinfo search").split())
 OPEN = re.compile(r"[A-Za-z][^\s/>]*")
 NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+QUOTED = re.compile(r"""=\s*(["'])""")
 WORD = re.compile(r"[a-z]+")
 
 
 def _tag_end(page: str, at: int) -> int:
-    """The place after the tag that begins at ``at``; a > inside quotes does not end it."""
-    end = page.find(">", at)
-    while end >= 0:
-        inside = page[at:end]
-        if inside.count('"') % 2 == 0 or '="' not in inside:
+    """The place after the tag that begins at ``at``; a > inside a quoted value does not end it."""
+    while True:
+        end = page.find(">", at)
+        if end < 0:
+            return len(page)
+        value = QUOTED.search(page, at, end)
+        close = page.find(value[1], value.end(), value.end() + 65_536) if value else -1
+        if close < 0:
             return end + 1
-        quote = page.find('"', end)
-        end = page.find(">", quote) if quote >= 0 and quote - at < 65_536 else -1
-    end = page.find(">", at)
-    return len(page) if end < 0 else end + 1
+        at = close + 1
 
 
 def lines(page: str, window: int) -> list[tuple[str, int, bool]]:
@@ -145,7 +146,7 @@ def main_text(page: str | None, window: int = 3, threshold: int = 86) -> str:
     reach = min(threshold, int(sums.max()))
     kept, k = [], 0
     while k < len(found):
-        if reach and sums[k] >= reach:
+        if reach and sums[k] >= reach and size[k]:
             while k < len(found) and sums[k]:
                 if found[k][0]:
                     kept.append(found[k][0])
