@@ -4,6 +4,7 @@ pair or combination, never on objects."""
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -138,24 +139,49 @@ def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if v is None or v != v else chi2_tail(float(v), int(k)) for v, k in zip(x, df)], dtype=float)
 
 
+@lru_cache(maxsize=16)
+def _partition_terms(n1: int) -> tuple[int, list[int]]:
+    """Period L and numerator of 1 / ((1-q)(1-q)(1-q^2)..(1-q^n1)) written over (1-q^L)^(n1+1)."""
+    period = math.lcm(*range(1, n1 + 1))
+    top = [1]
+    for i in [1, *range(1, n1 + 1)]:
+        # times (1 - q^L) / (1 - q^i) = 1 + q^i + q^2i + ...: a running sum of stride i, cut after L / i terms
+        out = top + [0] * (period - i)
+        for j in range(i, len(out)):
+            out[j] += out[j - i]
+        top = [x - (out[j - period] if j >= period else 0) for j, x in enumerate(out)]
+    return period, top
+
+
 def _mwu_exact(u: float, n1: int, n2: int) -> float:
-    """P(U >= u) without ties, by counting arrangements."""
-    counts = np.zeros(n1 * n2 + 1)
-    counts[0] = 1.0
+    """P(U >= u) without ties, for any size of the larger side.
+
+    The counts of U are the Gaussian binomial coefficient; its numerator is opened by inclusion and
+    exclusion over the small side, and each term counts partitions by a closed form in whole numbers.
+    """
+    n1, n2 = min(n1, n2), max(n1, n2)
+    most = n1 * n2 - math.ceil(u)
+    if most < 0:
+        return 0.0
+    period, top = _partition_terms(n1)
+
+    def up_to(t: int) -> int:
+        return sum(top[j] * math.comb((t - j) // period + n1, n1) for j in range(t % period, min(t, len(top) - 1) + 1, period))
+
+    sums = {0: 1}
     for i in range(1, n1 + 1):
-        # multiply by (1 - q^(n2+i)) / (1 - q^i)
-        step = n2 + i
-        counts[step:] = counts[step:] - counts[:-step].copy() if step <= n1 * n2 else counts[step:]
-        for j in range(i, n1 * n2 + 1):
-            counts[j] += counts[j - i]
-    return float(counts[int(math.ceil(u)):].sum() / counts.sum())
+        nxt = dict(sums)
+        for s, c in sums.items():
+            nxt[s + n2 + i] = nxt.get(s + n2 + i, 0) - c
+        sums = nxt
+    return sum(c * up_to(most - s) for s, c in sums.items() if c and s <= most) / math.comb(n1 + n2, n1)
 
 
 def mwu_p(u1: float, n1: int, n2: int, tie_sum: float) -> float:
     """Two-sided Mann-Whitney p: exact for a small tie-free side, else the
     continuity-corrected normal approximation with tie correction."""
     u = max(u1, n1 * n2 - u1)
-    if min(n1, n2) <= 8 and tie_sum == 0 and n1 * n2 <= 200_000:
+    if min(n1, n2) <= 8 and tie_sum == 0:
         return min(1.0, 2 * _mwu_exact(u, n1, n2))
     n = n1 + n2
     var = n1 * n2 / 12 * ((n + 1) - tie_sum / (n * (n - 1)))
@@ -170,15 +196,46 @@ def mann_whitney_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series)
     return pd.Series([mwu_p(float(a), int(b), int(c), float(t)) for a, b, c, t in zip(u, n1, n2, ties)], dtype=float)
 
 
-#: NumPy draws hypergeometric numbers for populations below this size.
+#: NumPy draws hypergeometric numbers for populations below this size; above it the same law is drawn here.
 DRAW_LIMIT = 1_000_000_000
 
 
+def _draw_large(rng: np.random.Generator, total: int, good: int, drawn: int) -> int:
+    """One hypergeometric number for a population of any size.
+
+    Few expected successes: inversion from the lower end.  Else ratio of uniforms (Stadlober 1990),
+    accepted by the exact probabilities.
+    """
+    lo, hi = max(0, drawn - (total - good)), min(good, drawn)
+    if lo == hi:
+        return lo
+    mean = drawn * (good / total)
+    if mean - lo < 10:
+        x, u = lo, rng.random()
+        p = math.exp(log_hypergeom(lo, total, good, drawn))
+        while u > p and x < hi:
+            u -= p
+            p *= (good - x) * (drawn - x) / ((x + 1) * (total - good - drawn + x + 1))
+            x += 1
+        return x
+    if hi - mean < 10:
+        return drawn - _draw_large(rng, total, total - good, drawn)
+    var = mean * (1 - good / total) * ((total - drawn) / (total - 1))
+    mode = min(hi, max(lo, (good + 1) * (drawn + 1) // (total + 2)))
+    top = log_hypergeom(mode, total, good, drawn)
+    width = 2 * math.sqrt(2 / math.e) * math.sqrt(var + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        x = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if lo <= x <= hi and 2 * math.log(u) <= log_hypergeom(x, total, good, drawn) - top:
+            return x
+
+
 def overlap_draws(n: int, counts: list[int], draws: int, seed: int) -> np.ndarray:
     """Overlap sizes of independently shuffled 0/1 columns with the given numbers of ones.
 
     The overlap of the first i+1 columns is a hypergeometric draw given the overlap
-    of the first i.  Very large tables use the normal law of the same mean and variance.
+    of the first i, whatever the size of the table.
     """
     rng = np.random.default_rng(seed)
     h = np.full(draws, counts[0], dtype=np.int64)
@@ -186,24 +243,22 @@ def overlap_draws(n: int, counts: list[int], draws: int, seed: int) -> np.ndarra
         if n < DRAW_LIMIT:
             h = rng.hypergeometric(h, n - h, c)
         else:
-            mean = h * (c / n)
-            var = mean * (1 - c / n) * (n - h) / max(n - 1, 1)
-            h = np.clip(np.rint(rng.normal(mean, np.sqrt(var))), np.maximum(0, h - (n - c)), np.minimum(h, c))
-            h = h.astype(np.int64)
+            h = np.array([_draw_large(rng, n, int(x), c) for x in h], dtype=np.int64)
     return h
 
 
 def exact_overlap_p(n: int, counts: list[int], observed: int) -> float:
-    """P(overlap >= observed) by chaining the hypergeometric laws; for tables of moderate size."""
-    dist = {counts[0]: 1.0}
+    """P(overlap >= observed) by chaining the hypergeometric laws in logs; for tables of moderate size."""
+    fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+
+    def choose(a, b):
+        return np.where((b >= 0) & (b <= a), fact[a] - fact[np.clip(b, 0, n)] - fact[np.clip(a - b, 0, n)], -np.inf)
+
+    h, log_w = np.array([counts[0]]), np.zeros(1)
     for c in counts[1:]:
-        nxt: dict[int, float] = {}
-        for h, w in dist.items():
-            if w < 1e-18:
-                continue
-            for x in range(max(0, h - (n - c)), min(h, c) + 1):
-                p = w * math.exp(log_hypergeom(x, n, c, h))
-                if p > 1e-18:
-                    nxt[x] = nxt.get(x, 0.0) + p
-        dist = nxt
-    return min(1.0, sum(w for x, w in dist.items() if x >= observed))
+        x = np.arange(0, min(int(h.max()), c) + 1)
+        new = np.full(len(x), -np.inf)
+        for own, w in zip(h.tolist(), log_w.tolist()):
+            new = np.logaddexp(new, w + choose(np.full(len(x), own), x) + choose(np.full(len(x), n - own), c - x) - choose(n, c))
+        h, log_w = x[new > -np.inf], new[new > -np.inf]
+    return float(min(1.0, np.exp(log_w[h >= observed]).sum()))

@@ -16,8 +16,8 @@ from motes.functions.tails import exact_overlap_p, fisher_exact, overlap_draws
 from motes.operators.compare import bh_adjust, bonferroni
 from motes.session import small_side
 
-#: Above this many markers combinations stop at degree four unless a degree is asked for.
-MANY_MARKERS = 16
+#: Markers whose subsets are summed in one step.
+BLOCK = 6
 
 
 def patterns(binary: DataFrame, markers: list[str], by: list[str] = []) -> DataFrame:
@@ -35,11 +35,12 @@ def combinations(binary: DataFrame, markers: list[str], min_degree: int = 2,
                  max_degree: int | None = None) -> DataFrame:
     """Every marker combination of the wanted degrees with observed and expected counts.
 
-    A pattern counts for each of its subsets.  Subsets grow marker by marker, so a
-    pattern is only ever expanded into combinations it contains.
+    A pattern counts for each of its subsets.  Sums over supersets go block by block of
+    markers: each step adds a mask to the masks without some of the block's bits, so no
+    step holds more rows than there are combinations of the markers done so far.
     """
     k = len(markers)
-    top = max_degree or (k if k <= MANY_MARKERS else 4)
+    top = min(max_degree or k, k)
     pat = patterns(binary, markers)
     stats = pat.agg(F.sum("n").alias("n"), *[
         F.sum(F.when(F.array_contains("positive", i), F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(k)]).first()
@@ -48,26 +49,26 @@ def combinations(binary: DataFrame, markers: list[str], min_degree: int = 2,
         raise ValueError("no objects")
     ones = [int(stats[f"c{i}"]) for i in range(k)]
     # a pattern of all markers with no objects brings in combinations never seen
-    full = binary.sparkSession.createDataFrame([(0, list(range(k)))], "n long, positive array<int>")
-    grow = pat.select("n", "positive").union(full).withColumn("members", F.array().cast("array<int>"))
-    levels = []
-    for degree in range(1, top + 1):
-        more = F.filter("positive", lambda i: i > F.coalesce(F.element_at(F.reverse("members"), 1), F.lit(-1))) \
-            if degree > 1 else F.col("positive")
-        grow = (grow.withColumn("_next", F.explode(more))
-                .withColumn("members", F.concat("members", F.array("_next")))
-                .groupBy("positive", "members").agg(F.sum("n").alias("n")))
-        if degree >= min_degree:
-            levels.append(grow.groupBy("members").agg(F.sum("n").alias("observed_count")))
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.union(lv)
+    full = binary.sparkSession.createDataFrame([(0, (1 << k) - 1)], "n long, mask long")
+    sums = pat.select("n", "mask").union(full)
+    for first in range(0, k, BLOCK):
+        block = ((1 << min(BLOCK, k - first)) - 1) << first
+        done = (1 << min(first + BLOCK, k)) - 1
+        own = F.col("mask").bitwiseAND(F.lit(block))
+        subs = F.transform(F.sequence(F.lit(0), F.lit(block >> first)), lambda j: F.shiftleft(j.cast("long"), first))
+        kept = F.filter(subs, lambda j: j.bitwiseAND(own) == j)
+        sums = sums.withColumn("_s", F.explode(kept)).select(
+            "n", F.col("mask").bitwiseAND(F.lit(~block)).bitwiseOR(F.col("_s")).alias("mask")).where(
+            F.bit_count(F.col("mask").bitwiseAND(F.lit(done))) <= top).groupBy("mask").agg(F.sum("n").alias("n"))
+    index = F.array(*[F.lit(i) for i in range(k)])
+    out = sums.where(F.bit_count("mask").between(min_degree, top)).select(
+        F.filter(index, lambda i: F.getbit("mask", i) == 1).alias("members"), F.col("n").alias("observed_count"))
     names = F.array(*[F.lit(m) for m in markers])
     freq = F.array(*[F.lit(c / total) for c in ones])
     count = F.array(*[F.lit(c) for c in ones])
     expected = F.aggregate("members", F.lit(float(total)), lambda a, i: a * F.get(freq, i))
     return (out.withColumn("markers", F.transform("members", lambda i: F.get(names, i)))
-            .withColumn("combination", F.array_join("markers", " + "))
+            .withColumn("combination", F.array_join("markers", "+"))
             .withColumn("degree", F.size("members"))
             .withColumn("observed_frequency", F.col("observed_count") / total)
             .withColumn("expected_count", expected)
@@ -91,7 +92,9 @@ def empirical_p(combos: DataFrame, draws: int = 1000, seed: int = 42) -> DataFra
             hits = int((overlap_draws(int(n), [int(x) for x in c], draws, [seed, own]) >= int(o)).sum())
             out.append((1 + hits) / (draws + 1))
         return pd.Series(out, dtype=float)
-    return combos.withColumn("empirical_pvalue", p("total", "member_counts", "members", "observed_count"))
+    # Combinations are few rows in few partitions; the draws are the work.
+    spread = combos.repartition(combos.sparkSession.sparkContext.defaultParallelism, "members")
+    return spread.withColumn("empirical_pvalue", p("total", "member_counts", "members", "observed_count"))
 
 
 def exact_p(combos: DataFrame) -> DataFrame:

@@ -77,10 +77,13 @@ def current_state(events: DataFrame, key: list[str] = ["image_id"], ts: str = "t
     """Fold of the event table: latest status and the latest given value of every other column.
 
     Each column is one map-side maximum by time, so an image with a very long
-    history costs no sort.
+    history costs no sort.  Events of one time are ordered by all their columns, so the
+    same event wins for every column and in every run.
     """
     rest = [c for c in events.columns if c not in [*key, ts]]
-    aggs = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(c) for c in rest]
+    kinds = {f.name: f.dataType.typeName() for f in events.schema.fields}
+    order = F.struct(ts, *[F.to_json(c).alias(c) if kinds[c] in ("map", "struct", "array", "variant") else F.col(c) for c in rest])
+    aggs = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in rest]
     return events.groupBy(*key).agg(F.min(ts).alias("created_at"), F.max(ts).alias("updated_at"),
                                     F.count("*").alias("events"), *aggs)
 

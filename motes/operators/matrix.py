@@ -130,15 +130,17 @@ def otsu(hist: DataFrame, keys: list[str], bins: int = OTSU_BINS) -> DataFrame:
     between-class variance, the first one on a tie; a constant group gives its value."""
     centre = F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins
     # a gap of empty bins repeats its left neighbour's variance, so occupied bins suffice
+    # bin numbers instead of values keep the variance free of the values' scale
     h = hist.withColumn("_c", centre)
     up = Window.partitionBy(*keys).orderBy("bin")
     all_ = Window.partitionBy(*keys)
+    first = F.col("n") * F.col("bin")
     h = h.withColumns({
-        "_w1": F.sum("n").over(up), "_s1": F.sum(F.col("n") * F.col("_c")).over(up),
-        "_w": F.sum("n").over(all_), "_s": F.sum(F.col("n") * F.col("_c")).over(all_)})
+        "_w1": F.sum("n").over(up).cast("double"), "_s1": F.sum(first).over(up).cast("double"),
+        "_w": F.sum("n").over(all_).cast("double"), "_s": F.sum(first).over(all_).cast("double")})
     w2 = F.col("_w") - F.col("_w1")
-    gap = F.col("_s1") / F.col("_w1") - (F.col("_s") - F.col("_s1")) / F.nullif(w2, F.lit(0))
-    h = h.withColumn("_var", F.round(F.col("_w1").cast("double") * w2 * gap * gap, 6))
+    gap = F.col("_s1") * F.col("_w") - F.col("_s") * F.col("_w1")
+    h = h.withColumn("_var", gap * gap / F.nullif(F.col("_w1") * w2, F.lit(0.0)))
     best = F.max_by(F.col("_c"), F.struct(F.col("_var"), -F.col("bin")))
     pick = F.when(F.max("hi") > F.min("lo"), best).otherwise(F.max("hi"))
     return h.where((w2 > 0) | (F.col("hi") <= F.col("lo"))).groupBy(*keys).agg(pick.alias("threshold"))

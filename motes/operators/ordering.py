@@ -94,7 +94,8 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, within: list[str]
 
 def row_numbers(df: DataFrame, keys: list[str], order: str, out: str = "row_number",
                 hot: int = 200_000) -> DataFrame:
-    """``row_number()`` by a unique ``order`` column, also for groups too big for one task.
+    """``row_number()`` by ``order``, also for groups too big for one task; equal values get
+    numbers of their own, in any order among themselves.
 
     Ordinary groups use one window.  Groups above ``hot`` rows are cut into
     pieces; without such groups the second plan is not built at all.
@@ -106,7 +107,10 @@ def row_numbers(df: DataFrame, keys: list[str], order: str, out: str = "row_numb
     big = small_side(big)
     rest = df.join(big, keys, "left_anti").withColumn(out, F.row_number().over(plain).cast("long"))
     heavy = with_pieces(df.join(big, keys, "left_semi"), keys, order).withColumn("_one", F.lit(1))
-    heavy = running_total(heavy, keys, order, "_one", out).withColumn(out, F.col(out).cast("long"))
+    # The total up to a value counts all rows that share it; each of them takes its place among those.
+    same = Window.partitionBy(*keys, "_piece", order)
+    heavy = running_total(heavy, keys, order, "_one", "_upto").withColumn(
+        out, (F.col("_upto") - F.count("*").over(same) + F.row_number().over(same.orderBy(order))).cast("long"))
     return rest.unionByName(heavy.select(*rest.columns))
 
 

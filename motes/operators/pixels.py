@@ -420,7 +420,8 @@ def region_properties(labels: DataFrame, image: list[str]) -> DataFrame:
     g = g.withColumn("inertia_ratio", ratio)
     p = F.col("perimeter_crack")
     return g.withColumns({
-        "elongation": F.when(F.col("inertia_ratio") > 0, 1 / F.sqrt(F.nullif("inertia_ratio", F.lit(0.0)))),
+        # each pixel has an extent of its own (variance 1/12 along both axes), so a line has a finite value
+        "elongation": F.sqrt((F.col("_l1") + 1 / 12) / (F.col("_l2") + 1 / 12)),
         "eccentricity": F.sqrt(1 - F.col("inertia_ratio")),
         "circularity": F.least(F.lit(1.0), 4 * math.pi * F.col("area") / (p * p)),
     }).drop("_xx", "_yy", "_xy", "_l1", "_l2")

@@ -91,11 +91,14 @@ def reason_counts(reasons: DataFrame) -> DataFrame:
 
 def blob_filter(regions: DataFrame, *, area: tuple[float, float], circularity: tuple[float, float],
                 min_inertia: float) -> DataFrame:
-    """Blobs by area, circularity 4*pi*A/P^2 and inertia ratio of their pixels."""
+    """Blobs by area, circularity 4*pi*A/P^2 and inertia ratio of their pixels.
+
+    A single pixel has no outline to measure and is no blob.
+    """
     p = F.col("perimeter_crack")
     circ = F.when(p > 0, 4 * math.pi * F.col("area") / (p * p)).otherwise(0.0)
     return (regions.withColumn("blob_circularity", circ)
-            .where(F.col("area").between(*area) & F.col("blob_circularity").between(*circularity)
+            .where((F.col("area") > 1) & F.col("area").between(*area) & F.col("blob_circularity").between(*circularity)
                    & (F.col("inertia_ratio") >= min_inertia)))
 
 

@@ -79,19 +79,21 @@ def marker_validity(spark, sf):
     return spark.createDataFrame(rows, "marker string, missing_share double, valid int")
 
 
-@query(f"""with {SPARSE} select object_id, sample, round(coalesce(L1, 0), 4) as L1, round(coalesce(L4, 0), 4) as L4,
-  round(coalesce(L7, 0), 4) as L7 from sparse""")
+@query(f"""with {SPARSE} select object_id, sample, {', '.join(f'round(coalesce(L{i}, 0), 4) as L{i}' for i in range(1, 8))} from sparse""")
 def typed_ingest(spark, sf):
     df, _ = tables.load_objects(sparse_objects(spark, sf), 0.6)
-    return df.select("object_id", "sample", r("L1", 4), r("L4", 4), r("L7", 4))
+    return df.select("object_id", "sample", *[r(f"L{i}", 4) for i in range(1, 8)])
 
 
-@query(f"""select * from (values ('L1', 'L1_positive', 0), ('L2', 'L2_positive', 0), ('L3', 'L3_positive', 0),
-  ('L4', 'L4_positive', 0), ('L5', 'L5_positive', 0), ('L6', 'L6_positive', 0), ('L7', 'L7_positive', 0),
-  ('pan', 'pan_score', 1)) t(marker, source_column, is_score)""")
+@query(f"""with {SPARSE} {' union all '.join(f"select 'L{i}' as marker, 'L{i}_positive' as source_column, 0 as is_score, count(L{i}) as present, round(sum(L{i}), 2) as total from sparse" for i in range(1, 8))}
+  union all select 'pan', 'pan_score', 1, count(pan_score), round(sum(pan_score), 2) from sparse""")
 def marker_metadata(spark, sf):
-    s = MarkerSchema.infer(sparse_objects(spark, sf).columns)
-    return s.metadata(spark).withColumn("is_score", F.col("is_score").cast("int"))
+    """The inferred markers, with the present values of each source column."""
+    df = sparse_objects(spark, sf)
+    meta = MarkerSchema.infer(df.columns).metadata(spark).withColumn("is_score", F.col("is_score").cast("int"))
+    names = [r["source_column"] for r in meta.select("source_column").collect()]  # a row per marker
+    return meta.join(df.agg(F.array(*[F.struct(F.lit(c).alias("source_column"), F.count(c).alias("present"), F.round(F.sum(c), 2).alias("total"))
+                                      for c in names]).alias("a")).select(F.inline("a")), "source_column")
 
 
 @query(f"""with {OBJECTS} select count(*) as n, count(distinct l_orderkey) = count(*) as ids_were_unique,
@@ -161,20 +163,23 @@ def threshold_percentile(spark, sf):
     return rounded(matrix.thresholds_percentile(objects(spark, sf), MARKERS), ["threshold"])
 
 
-@query("""select m as marker, case when m = 'm1' then 10.0::double else 0.5::double end as threshold, 'manual' as method
-from (values ('m1'), ('m2')) t(m) union all select m, 0.25::double, 'global' from (values ('m3'), ('m4')) t(m)""")
+@query(f"""with {OBJECTS}, {LONG}, t as (select * from (values ('m1', 10.0::double, 'manual'), ('m2', 0.5, 'manual'), ('m3', 0.25, 'global'), ('m4', 0.25, 'global')) t(marker, threshold, method))
+select marker, threshold, method, count(*) filter (value > threshold) as above from t join long using (marker) group by 1, 2, 3""")
 def threshold_fixed(spark, sf):
-    return matrix.thresholds_manual(spark, ["m1", "m2"], {"m1": 10, "m2": .5}).union(
-        matrix.thresholds_global(spark, ["m3", "m4"], .25))
+    """Manual and global thresholds with the objects above them."""
+    t = matrix.thresholds_manual(spark, ["m1", "m2"], {"m1": 10, "m2": .5}).union(matrix.thresholds_global(spark, ["m3", "m4"], .25))
+    return F.broadcast(t).join(long(spark, sf), "marker").groupBy("marker", "threshold", "method").agg(
+        F.count_if(F.col("value") > F.col("threshold")).alias("above"))
 
 
 OTSU = """, e as (select marker, min(value) lo, max(value) hi from long group by marker),
 h as (select marker, case when hi > lo then least(cast(floor((value - lo) / (hi - lo) * 256) as int), 255) else 0 end as bin,
       count(*) n, any_value(lo) lo, any_value(hi) hi from long join e using (marker) group by 1, 2),
 c as (select *, lo + (bin + 0.5) * (hi - lo) / 256 as mid from h),
-w as (select *, sum(n) over (partition by marker order by bin) w1, sum(n * mid) over (partition by marker order by bin) s1,
-      sum(n) over (partition by marker) w, sum(n * mid) over (partition by marker) s from c),
-v as (select *, round(cast(w1 as double) * (w - w1) * power(s1 / w1 - (s - s1) / (w - w1), 2), 6) as var from w where w > w1)
+w as (select *, sum(n) over (partition by marker order by bin) w1, sum(n * bin) over (partition by marker order by bin) s1,
+      sum(n) over (partition by marker) w, sum(n * bin) over (partition by marker) s from c),
+v as (select *, (cast(s1 as double) * cast(w as double) - cast(s as double) * cast(w1 as double)) * (cast(s1 as double) * cast(w as double) - cast(s as double) * cast(w1 as double))
+  / (cast(w1 as double) * (cast(w as double) - cast(w1 as double))) as var from w where w > w1)
 """
 
 
@@ -192,10 +197,12 @@ def binarize_matrix(spark, sf):
     return matrix.binarize(o, MARKERS, matrix.thresholds_percentile(o, MARKERS, 75.0))
 
 
-@query(f"""with {SPARSE} select object_id, sample, position, cast(coalesce(L1, 0) >= 0.5 as tinyint) as L1,
-  cast(coalesce(L5, 0) >= 0.5 as tinyint) as L5 from sparse""")
+L = [f"L{i}" for i in range(1, 8)]
+
+
+@query(f"""with {SPARSE} select object_id, sample, position, {', '.join(f'cast(coalesce({m}, 0) >= 0.5 as tinyint) as {m}' for m in L)} from sparse""")
 def binarize_source(spark, sf):
-    return matrix.binarize_source(sparse(spark, sf), {"L1": "L1", "L5": "L5"})[0]
+    return matrix.binarize_source(sparse(spark, sf), {m: m for m in L})[0]
 
 
 @query(f"""with {SPARSE}, ids as (select o_orderkey as object_id from orders)
@@ -399,7 +406,7 @@ o as (select k.m, any_value(idx) idx, coalesce(sum(c) filter ((mask & k.m) = k.m
 
 
 @query(f"""with {OBJECTS}, {BIN}, {COMBOS}
-select array_to_string(list_transform(idx, lambda i: 'm' || (i + 1)), ' + ') as combination, len(idx)::int as degree,
+select array_to_string(list_transform(idx, lambda i: 'm' || (i + 1)), '+') as combination, len(idx)::int as degree,
   obs::bigint as observed_count, round(obs / n, 6) as observed_frequency,
   round(n * list_product(list_transform(idx, lambda i: f[i + 1])), 4) as expected_count from o, n where len(idx) >= 2""")
 def combo_observed_expected(spark, sf):
@@ -408,7 +415,7 @@ def combo_observed_expected(spark, sf):
 
 
 @query(f"""with {OBJECTS}, {BIN}, {COMBOS}, c as (select idx, obs, n * list_product(list_transform(idx, lambda i: f[i + 1])) e from o, n where len(idx) >= 2)
-select array_to_string(list_transform(idx, lambda i: 'm' || (i + 1)), ' + ') as combination,
+select array_to_string(list_transform(idx, lambda i: 'm' || (i + 1)), '+') as combination,
   round(log2((obs + 1e-9) / (e + 1e-9)), 6) as x from c where obs >= 10 and len(idx) >= 3 and not list_contains(idx, 0)""")
 def enrichment_axis(spark, sf):
     c = cooccur.combinations(binary(spark, sf), MARKERS).withColumn("fdr_pvalue", F.lit(1.0))
@@ -416,6 +423,28 @@ def enrichment_axis(spark, sf):
     return c.select("combination", r("x"))
 
 
+# Seventeen markers: bits of four columns.
+BITS = {f"q{i}": ("l_quantity", 1, i) for i in range(6)} | {f"n{i}": ("l_linenumber", 1, i) for i in range(3)} | {
+    f"d{i}": ("l_discount", 100, i) for i in range(4)} | {f"t{i}": ("l_tax", 100, i) for i in range(4)}
+
+
+def _superset_sums() -> str:
+    """One step per marker: a mask also counts for itself without that marker."""
+    steps = [f"s0 as (select mask, count(*) as n from (select {' + '.join(f'((cast(round({c} * {k}) as bigint) >> {b}) & 1) * {1 << i}' for i, (c, k, b) in enumerate(BITS.values()))} as mask from lineitem) group by mask union all select {(1 << len(BITS)) - 1}, 0)"]
+    for i in range(len(BITS)):
+        steps.append(f"s{i + 1} as (select mask, sum(n) as n from (select mask, n from s{i} union all select mask - {1 << i}, n from s{i} where (mask >> {i}) & 1 = 1) group by mask)")
+    return ", ".join(steps)
+
+
+@query(f"""with {_superset_sums()}
+select array_to_string(list_transform(list_filter(range({len(BITS)}), lambda i: (mask >> i) & 1 = 1), lambda i: [{', '.join(f"'{m}'" for m in BITS)}][i + 1]), '+') as combination,
+  bit_count(mask)::int as degree, n::bigint as observed_count from s{len(BITS)} where bit_count(mask) >= 2""")
+def combo_many_markers(spark, sf):
+    """All degrees of seventeen markers."""
+    li = table(spark, sf, "lineitem").select(*[F.getbit(F.round(F.col(c) * k).cast("bigint"), F.lit(b)).alias(m) for m, (c, k, b) in BITS.items()])
+    return cooccur.combinations(li, list(BITS)).select("combination", "degree", "observed_count")
+
+
 @query()
 def combo_empirical_p(spark, sf):
     return cooccur.combination_statistics(binary(spark, sf), MARKERS).withColumn("markers", F.array_join("markers", ","))
@@ -457,10 +486,10 @@ def fisher_reference(spark, sf):
 
 # -- features and clusters -------------------------------------------------------
 
-@query(f"""with {SPARSE}, m as (select quantile_cont(L1, 0.5) a, quantile_cont(L2, 0.5) b from sparse)
-select object_id, round(coalesce(L1, a), 4) as L1, round(coalesce(L2, b), 4) as L2 from sparse, m""")
+@query(f"""with {SPARSE}, m as (select {', '.join(f'quantile_cont({m}, 0.5) m_{m}' for m in L)} from sparse)
+select object_id, {', '.join(f'round(coalesce({m}, m_{m}), 4) as {m}' for m in L)} from sparse, m""")
 def median_impute(spark, sf):
-    return rounded(matrix.median_imputed(sparse(spark, sf).select("object_id", "L1", "L2"), ["L1", "L2"]), ["L1", "L2"], 4)
+    return rounded(matrix.median_imputed(sparse(spark, sf).select("object_id", *L), L), L, 4)
 
 
 def _features(spark, sf) -> DataFrame:
@@ -484,14 +513,14 @@ def pca_variance(spark, sf):
 
 @query()
 def kmeans_labels(spark, sf):
-    labels, cost = learn.kmeans(_features(spark, sf), MARKERS, k=5, restarts=3)
+    labels, cost = learn.kmeans(_features(spark, sf), MARKERS, k=5)
     return labels.groupBy("cluster").agg(F.count("*").alias("objects"), F.lit(round(cost, 3)).alias("cost"))
 
 
 @query()
 def cluster_profile(spark, sf):
     f = _features(spark, sf)
-    labels, _ = learn.kmeans(f, MARKERS, k=5, restarts=1, keep=["object_id"])
+    labels, _ = learn.kmeans(f, MARKERS, k=5, keep=["object_id"])
     return profile.group_profile(f.join(labels, "object_id", "left"), "cluster", MARKERS)
 
 

@@ -107,9 +107,10 @@ def point_operations(spark, sf):
 h as (select class, least(cast(floor((value - lo) / (hi - lo) * 256) as int), 255) as bin, count(*) n, any_value(lo) lo, any_value(hi) hi
   from pixels join e using (class) group by 1, 2),
 c as (select *, lo + (bin + 0.5) * (hi - lo) / 256 as mid from h),
-w as (select *, sum(n) over (partition by class order by bin) w1, sum(n * mid) over (partition by class order by bin) s1,
-      sum(n) over (partition by class) w, sum(n * mid) over (partition by class) s from c),
-v as (select *, round(cast(w1 as double) * (w - w1) * power(s1 / w1 - (s - s1) / (w - w1), 2), 6) as var from w where w > w1),
+w as (select *, sum(n) over (partition by class order by bin) w1, sum(n * bin) over (partition by class order by bin) s1,
+      sum(n) over (partition by class) w, sum(n * bin) over (partition by class) s from c),
+v as (select *, (cast(s1 as double) * cast(w as double) - cast(s as double) * cast(w1 as double)) * (cast(s1 as double) * cast(w as double) - cast(s as double) * cast(w1 as double))
+  / (cast(w1 as double) * (cast(w as double) - cast(w1 as double))) as var from w where w > w1),
 f as (select *, row_number() over (partition by class order by var desc, bin) k from v)
 select class, round(mid, 6) as threshold from f where k = 1""")
 def image_otsu(spark, sf):
@@ -244,16 +245,16 @@ g as (select image, label, count(*) as area, avg(x) cx, avg(y) cy, min(x) x1, mi
 m as (select *, (xx + yy) / 2 + sqrt(power((xx - yy) / 2, 2) + xy * xy) l1, greatest((xx + yy) / 2 - sqrt(power((xx - yy) / 2, 2) + xy * xy), 0) l2,
   4 * area - 2 * coalesce(adj.n, 0) as per from g left join adj using (image, label)),
 props as (select image, label, area, cx as centroid_x, cy as centroid_y, x1 as bbox_x1, y1 as bbox_y1, x2 as bbox_x2, y2 as bbox_y2, per as perimeter_crack,
-  case when l1 > 0 then l2 / l1 else 1.0 end as inertia_ratio, least(1.0, 4 * pi() * area / (per * per)) as circularity from m)"""
+  case when l1 > 0 then l2 / l1 else 1.0 end as inertia_ratio, sqrt((l1 + 1 / 12.0) / (l2 + 1 / 12.0)) as elongation, least(1.0, 4 * pi() * area / (per * per)) as circularity from m)"""
 
 
 @query(f"""with recursive {PIXELS}, {REGIONS}, {PROPS} select image, label, area, round(centroid_x, 6) as centroid_x, round(centroid_y, 6) as centroid_y,
-  bbox_x1, bbox_y1, bbox_x2, bbox_y2, perimeter_crack, round(inertia_ratio, 4) as inertia_ratio,
+  bbox_x1, bbox_y1, bbox_x2, bbox_y2, perimeter_crack, round(inertia_ratio, 4) as inertia_ratio, round(elongation, 4) as elongation,
   round(circularity, 6) as circularity, round(sqrt(round(1 - inertia_ratio, 9)), 4) as eccentricity from props""")
 def region_properties(spark, sf):
-    p = px_ops.region_properties(labels(spark, sf), IMG).drop("elongation")
+    p = px_ops.region_properties(labels(spark, sf), IMG)
     p = p.withColumn("eccentricity", F.sqrt(F.round(1 - F.col("inertia_ratio"), 9)))
-    return rounded(rounded(p, ["centroid_x", "centroid_y", "circularity"]), ["inertia_ratio", "eccentricity"], 4)
+    return rounded(rounded(p, ["centroid_x", "centroid_y", "circularity"]), ["inertia_ratio", "eccentricity", "elongation"], 4)
 
 
 @query(f"""with recursive {PIXELS}, {REGIONS} select image, label, round(avg(value), 6) as mean_intensity, round(max(value), 6) as max_intensity,
@@ -270,10 +271,10 @@ def drop_small_regions(spark, sf):
 
 
 @query(f"""with recursive {PIXELS}, {REGIONS}, {PROPS} select image, label, area, perimeter_crack from props
-where area between 2 and 20 and 4 * pi() * area / (perimeter_crack * perimeter_crack) between 0.2 and 1.0 and round(inertia_ratio, 9) >= 0.15""")
+where area between 1 and 20 and area > 1 and 4 * pi() * area / (perimeter_crack * perimeter_crack) between 0.2 and 1.0 and round(inertia_ratio, 9) >= 0.15""")
 def blob_filter(spark, sf):
     p = px_ops.region_properties(labels(spark, sf), IMG).withColumn("inertia_ratio", F.round("inertia_ratio", 9))
-    return qc.blob_filter(p, area=(2, 20), circularity=(.2, 1.0), min_inertia=.15).select("image", "label", "area", "perimeter_crack")
+    return qc.blob_filter(p, area=(1, 20), circularity=(.2, 1.0), min_inertia=.15).select("image", "label", "area", "perimeter_crack")
 
 
 @query(f"""with recursive {PIXELS}, {REGIONS}, {PROPS}, v as (select image, label, avg(value) as score from lab join pixels using (image, y, x) group by 1, 2)

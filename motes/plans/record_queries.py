@@ -171,32 +171,32 @@ def combination_normalized(spark, sf):
     return s.select("user_id", F.array_join(scalars.normalized_combination(F.col("c")), ",").alias("combination"))
 
 
-FILES = """files as (select user_id as sample, event_type as channel, case event_id % 4 when 0 then 'det_' || event_id || '.csv' when 1 then 'masks_' || event_id || '.npz'
-  when 2 then 'overlay_' || event_id || '.png' else 'run_' || event_id || '.json' end as path, event_id from events where event_id % 11 <> 0)"""
+FILES = """files as (select user_id as sample, event_type as channel, case when event_id % 11 = 0 then 'notes_' || event_id || '.csv' when event_id % 4 = 0 then 'det_results_' || event_id || '.csv'
+  when event_id % 4 = 1 then 'det_masks_' || event_id || '.npz' when event_id % 4 = 2 then 'det_overlay_' || event_id || '.png' else 'det_run_' || event_id || '.json' end as path, event_id from events)"""
 
 
 def files(spark, sf) -> DataFrame:
     n = F.col("event_id")
-    path = (F.when(n % 4 == 0, F.concat(F.lit("det_"), n, F.lit(".csv"))).when(n % 4 == 1, F.concat(F.lit("masks_"), n, F.lit(".npz")))
-            .when(n % 4 == 2, F.concat(F.lit("overlay_"), n, F.lit(".png"))).otherwise(F.concat(F.lit("run_"), n, F.lit(".json"))))
-    return table(spark, sf, "events").where("event_id % 11 <> 0").select(
-        F.col("user_id").alias("sample"), F.col("event_type").alias("channel"), path.alias("path"), "event_id")
+    path = (F.when(n % 11 == 0, F.concat(F.lit("notes_"), n, F.lit(".csv"))).when(n % 4 == 0, F.concat(F.lit("det_results_"), n, F.lit(".csv")))
+            .when(n % 4 == 1, F.concat(F.lit("det_masks_"), n, F.lit(".npz"))).when(n % 4 == 2, F.concat(F.lit("det_overlay_"), n, F.lit(".png")))
+            .otherwise(F.concat(F.lit("det_run_"), n, F.lit(".json"))))
+    return table(spark, sf, "events").select(F.col("user_id").alias("sample"), F.col("event_type").alias("channel"), path.alias("path"), "event_id")
 
 
-@query(f"""with {FILES}, w as (select sample, channel, max(path) filter (path like '%.csv') c, max(path) filter (path like '%.npz') m,
+@query(f"""with {FILES}, w as (select sample, channel, max(path) filter (path like 'det_results_%.csv') c, max(path) filter (path like '%.npz') m,
   max(path) filter (path like '%.png') o, max(path) filter (path like '%.json') r from files group by 1, 2)
 select sample, channel, c as csv_path, m as masks_path, (o is not null)::int as has_overlay, (r is not null)::int as has_run, (c is not null)::int as included,
-  case when c is null then 'no detections csv' end as skip_reason from w""")
+  case when c is null then 'missing_results_csv' end as skip_reason from w""")
 def artefact_inventory(spark, sf):
     i = tables.artefact_inventory(files(spark, sf), ["sample", "channel"])
     flags = [F.col(c).cast("int").alias(c) for c in ("has_overlay", "has_run", "included")]
     return i.select("sample", "channel", "csv_path", "masks_path", *flags, "skip_reason")
 
 
-@query(f"""with {FILES}, p as (select *, case when path like 'det%' then 2 when path like 'masks%' then 1 else 3 end as pr from files),
+@query(f"""with {FILES}, p as (select *, case when path like 'det_results%' then 2 when path like 'det_masks%' then 1 else 3 end as pr from files),
 k as (select *, row_number() over (partition by sample, channel order by pr, path) k from p) select sample, channel, path, pr as priority from k where k = 1""")
 def source_priority(spark, sf):
-    p = F.when(F.col("path").startswith("det"), 2).when(F.col("path").startswith("masks"), 1).otherwise(3)
+    p = F.when(F.col("path").startswith("det_results"), 2).when(F.col("path").startswith("det_masks"), 1).otherwise(3)
     return tables.preferred_source(files(spark, sf).withColumn("priority", p), ["sample", "channel"])
 
 
@@ -256,16 +256,21 @@ def run_confidence(spark, sf):
     return table(spark, sf, "events").select("event_id", tables.confidence_threshold(doc).alias("threshold"))
 
 
-@query("select user_id as image, event_id as id from events where user_id % 3 = 0 and event_id % 2 = 0")
+@query("""select user_id as image, event_id as id from events where case user_id % 6 when 0 then true when 3 then true when 4 then true
+  when 5 then false else event_id % 2 = 0 end""")
 def saved_filter_ids(spark, sf):
-    """Detections kept by the filter documents stored per detection block."""
-    e = table(spark, sf, "events")
-    on = F.when(F.col("user_id") % 3 == 0, "true").otherwise("false")
-    ids = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise("")
-    docs = e.select(F.col("user_id").alias("image"), F.concat(F.lit('{"enabled": '), on, F.lit(', "objectIds": ['), ids, F.lit("]}")).alias("doc"))
-    kept = tables.saved_filters(docs, ["image"], "doc")
-    d = detections(spark, sf).select("image", "id")
-    return d.join(kept.distinct(), ["image", "id"], "left_semi")
+    """Detections kept by a filter document per image: off, broken or without ids (all stay), by ids
+    with and without ``enabled``, as numbers and texts among other values, and by an empty list."""
+    e = table(spark, sf, "events").withColumn("kind", F.col("user_id") % 6)
+    text = F.when(F.col("kind") == 1, F.concat(F.lit('"'), F.col("event_id"), F.lit('.0"'))).otherwise(F.col("event_id").cast("string"))
+    lists = e.groupBy(F.col("user_id").alias("image"), "kind").agg(F.array_join(F.collect_list(F.when(F.col("event_id") % 2 == 0, text)), ",").alias("ids"))
+    k, ids = F.col("kind"), F.col("ids")
+    doc = (F.when(k == 0, F.concat(F.lit('{"enabled": false, "objectIds": ['), ids, F.lit("]}")))
+           .when(k == 1, F.concat(F.lit('{"objectIds": ["x", null, '), ids, F.lit("]}")))
+           .when(k == 2, F.concat(F.lit('{"enabled": "false", "objectIds": ['), ids, F.lit("]}")))
+           .when(k == 3, F.lit("{broken")).when(k == 4, F.lit('{"enabled": true}')).otherwise(F.lit('{"enabled": true, "objectIds": []}')))
+    filters = tables.saved_filters(lists.select("image", doc.alias("doc")), ["image"], "doc")
+    return tables.with_saved_filters(detections(spark, sf).select("image", "id"), filters, ["image"])
 
 
 @query(f"""with {FILES}, b as (select sample, replace(path, '.', '_preprocessed.') as before_path from files where event_id % 4 <> 3),
@@ -288,15 +293,15 @@ def legacy_scan(spark, sf):
     return d.groupBy("channel").agg(F.count("*").alias("total"), F.count_if("colocalized").alias("colocalized"))
 
 
-@query("select event_id, round(sum(i + v), 3) as total, (event_id % 4)::int as items from (select event_id, unnest(range(event_id % 4)) as i, value as v from events) group by 1")
+@query("select event_id, round(list_sum(list_transform(range(event_id % 4), lambda i: i + value)), 3) as total, (event_id % 4)::int as items from events")
 def json_cell_roundtrip(spark, sf):
     """Nested cells written as JSON text and read back."""
-    e = table(spark, sf, "events").withColumn("n", (F.col("event_id") % 4).cast("int")).where("n > 0")
-    cells = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: i + F.col("value"))
+    e = table(spark, sf, "events").withColumn("n", (F.col("event_id") % 4).cast("int"))
+    cells = F.transform(F.slice(F.array(*[F.lit(i) for i in range(4)]), F.lit(1), F.col("n")), lambda i: i + F.col("value"))
     text = export.json_cells(e.select("event_id", cells.alias("vals")))
     back = tables.parsed_json_cells(text, {"vals": "array<double>"})
     total = F.aggregate("vals", F.lit(0.0), lambda a, x: a + x)
-    return back.select("event_id", F.round(total, 3).alias("total"), F.size("vals").alias("items"))
+    return back.select("event_id", F.when(F.size("vals") > 0, F.round(total, 3)).alias("total"), F.size("vals").alias("items"))
 
 
 # -- manifest --------------------------------------------------------------------

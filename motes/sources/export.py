@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motes.functions.scalars import natural_number, q
@@ -37,11 +37,16 @@ def summary_document(df: DataFrame, markers: list[str], thresholds: DataFrame) -
 def detection_rows(dets: DataFrame, keys: list[str] = ["sample", "position", "channel"]) -> DataFrame:
     """Detections as stored: ids 1..n per channel, intensity with six significant digits or blank."""
     d = row_numbers(dets, keys, "id", "_n").withColumn("id", F.col("_n")).drop("_n")
-    v = F.col("mean_intensity")
-    digits = F.floor(F.log10(F.abs(F.nullif(v, F.lit(0.0))))).cast("int")
-    scale = F.pow(F.lit(10.0), F.lit(5) - digits)
-    six = F.when(v == 0, 0.0).otherwise(F.round(v * scale) / scale)
-    return d.withColumn("mean_intensity", F.coalesce(six.cast("string"), F.lit("")))
+    return d.withColumn("mean_intensity", F.coalesce(general_text(F.col("mean_intensity")), F.lit("")))
+
+
+def general_text(v: Column) -> Column:
+    """A number with six significant digits, without zeros at its end, and with an exponent
+    below 1e-4 and from 1e6 on (the ``g`` form of C); NULL where it is not finite."""
+    text = F.format_string("%.6g", v.cast("double"))
+    short = F.when(text.contains("e"), F.regexp_replace(text, r"\.?0+(?=e)", "")).when(
+        text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    return F.when(F.abs(v) < float("inf"), short)
 
 
 def write_detections(dets: DataFrame, root: str) -> None:

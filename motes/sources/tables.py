@@ -148,7 +148,7 @@ def latest(df: DataFrame, keys: list[str], newest: list[Column | str]) -> DataFr
 def latest_files(spark: SparkSession, root: str) -> DataFrame:
     """Detections from the newest file of every (sample, position, channel) under ``root``."""
     raw = (spark.read.option("header", True).option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "*.csv").format("csv").load(root))
+           .option("pathGlobFilter", "*_results_*.csv").format("csv").load(root))
     keyed = raw.withColumns(path_keys(F.col("_metadata.file_path")))
     keys = ["sample", "position", "channel"]
     newest = small_side(keyed.groupBy(*keys).agg(F.max("stamp").alias("stamp")))
@@ -237,21 +237,49 @@ def confidence_threshold(run_json: Column, default: float = 0.5) -> Column:
 
 
 def saved_id_filter(text: str | None) -> list[int] | None:
-    """Ids of a saved filter; None means no filter, an empty list keeps nothing."""
+    """Ids of a saved filter; None keeps everything, an empty list nothing.
+
+    Only ``enabled: false`` switches a filter off; a broken document or one without a list
+    of ids is no filter.  Ids may be numbers or their texts; others are skipped.
+    """
     try:
         doc = json.loads(text or "")
-        if not doc.get("enabled") or not isinstance(doc.get("objectIds"), list):
-            return None
-        return [int(i) for i in doc["objectIds"]]
-    except (ValueError, TypeError, AttributeError):
+    except ValueError:
         return None
+    if not isinstance(doc, dict) or doc.get("enabled") is False or not isinstance(doc.get("objectIds"), list):
+        return None
+    out = []
+    for v in doc["objectIds"]:
+        try:
+            out.append(int(float(v)))
+        except (TypeError, ValueError, OverflowError):
+            continue
+    return out
 
 
 def saved_filters(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Filter documents as a table: keys, id for every enabled, valid document."""
-    doc = F.from_json(text, "enabled boolean, objectIds array<bigint>")
-    return (df.select(*keys, doc.alias("_d")).where(F.col("_d.enabled") & F.col("_d.objectIds").isNotNull())
-            .select(*keys, F.explode("_d.objectIds").alias("id")))
+    """Active filter documents as a table: keys and the list ``ids``, by the rules of
+    :func:`saved_id_filter`.  A key without a row has no filter."""
+    doc = F.try_parse_json(F.col(text))
+    part = lambda p: F.try_variant_get("_v", p, "variant")
+    kind = lambda c: F.coalesce(F.schema_of_variant(c), F.lit("VOID"))
+    off = (kind(part("$.enabled")) == "BOOLEAN") & (part("$.enabled").cast("string") == "false")
+    number = lambda e: F.when(e.cast("string") == "true", 1.0).when(e.cast("string") == "false", 0.0).otherwise(
+        lenient_double(e.cast("string")))
+    values = F.transform(F.try_variant_get("_v", "$.objectIds", "array<variant>"), number)
+    finite = F.filter(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    parsed = df.select(*keys, doc.alias("_v"))
+    active = parsed.where(kind(F.col("_v")).startswith("OBJECT") & ~off & kind(part("$.objectIds")).startswith("ARRAY"))
+    return active.select(*keys, F.transform(finite, lambda x: x.cast("bigint")).alias("ids"))
+
+
+def with_saved_filters(dets: DataFrame, filters: DataFrame, keys: list[str], id_: str = "id") -> DataFrame:
+    """Detections that their key's filter keeps; all of a key without one."""
+    named = filters.select(*keys, F.lit(True).alias("_on"), "ids")
+    marked = dets.join(named.select(*keys, "_on").distinct(), keys, "left")
+    kept = named.select(*keys, F.explode("ids").alias(id_)).distinct()
+    return marked.where(F.col("_on").isNull()).drop("_on").unionByName(
+        marked.where("_on").drop("_on").join(kept, [*keys, id_], "left_semi"))
 
 
 def parsed_json_cells(df: DataFrame, cells: dict[str, str]) -> DataFrame:
@@ -272,19 +300,19 @@ def sample_positions(df: DataFrame, name: str = "name") -> DataFrame:
         (F.regexp_extract(name, pat, 2) != "").alias("is_crop")).distinct().orderBy("number", "is_crop", name))
 
 
-# The artefact kinds and the file name endings that mark them.
-ARTEFACTS = {"csv": r"\.csv$", "masks": r"masks.*\.npz$", "overlay": r"overlay.*\.png$", "run": r"run.*\.json$"}
+# The artefact kinds and the file names that mark them.
+ARTEFACTS = {"csv": r"_results_[^/]*\.csv$", "masks": r"_masks_[^/]*\.npz$", "overlay": r"_overlay_[^/]*\.png$", "run": r"_run_[^/]*\.json$"}
 
 
 def artefact_inventory(files: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
     """Newest artefact of each kind per key; a key counts only when it has a csv."""
-    kind = reduce(lambda acc, kv: acc.when(F.col(path).rlike("(?i)" + kv[1]), kv[0]),
-                  list(ARTEFACTS.items())[1:], F.when(F.col(path).rlike("(?i)" + ARTEFACTS["csv"]), "csv"))
+    kind = reduce(lambda acc, kv: acc.when(F.col(path).rlike(kv[1]), kv[0]),
+                  list(ARTEFACTS.items())[1:], F.when(F.col(path).rlike(ARTEFACTS["csv"]), "csv"))
     wide = files.withColumn("_kind", kind).groupBy(*keys).agg(
         *[F.max(F.when(F.col("_kind") == k, F.col(path))).alias(f"{k}_path") for k in ARTEFACTS])
     out = wide.withColumns({f"has_{k}": F.col(f"{k}_path").isNotNull() for k in ARTEFACTS})
     return out.withColumns({"included": F.col("has_csv"),
-                            "skip_reason": F.when(~F.col("has_csv"), "no detections csv")})
+                            "skip_reason": F.when(~F.col("has_csv"), "missing_results_csv")})
 
 
 def preferred_source(candidates: DataFrame, keys: list[str]) -> DataFrame:

@@ -27,7 +27,7 @@ def running_log_state(log: DataFrame) -> DataFrame:
 def detection_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """Detection rows of new files with sample, position, channel and stamp from the path."""
     raw = (spark.readStream.schema(DETECTION_SCHEMA).option("header", True).option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", max_files).csv(folder))
+           .option("pathGlobFilter", "*_results_*.csv").option("maxFilesPerTrigger", max_files).csv(folder))
     return raw.withColumns(path_keys(F.col("_metadata.file_path")))
 
 

@@ -82,3 +82,10 @@ def test_bh_is_monotone_and_bounded(spark):
     s = np.sort(p)
     want = np.minimum.accumulate((s * 60 / np.arange(1, 61))[::-1])[::-1].clip(max=1)
     assert got == pytest.approx(want)
+
+
+def test_row_numbers_of_repeated_values_are_unique_in_hot_groups(spark):
+    df = spark.createDataFrame([("a", v) for v in (0, 0, 0, 7, 7, 9)] + [("b", 1)], "g string, v int")
+    for hot in (2, 1000):
+        got = sorted((r.g, r.row_number, r.v) for r in ordering.row_numbers(df, ["g"], "v", hot=hot).collect())
+        assert got == [("a", 1, 0), ("a", 2, 0), ("a", 3, 0), ("a", 4, 7), ("a", 5, 7), ("a", 6, 9), ("b", 1, 1)]

@@ -84,7 +84,7 @@ def detection_folder(root):
     for ch, stamp, n, shift in (("C0", "20240101_000000", 3, 0), ("C0", "20240202_000000", 6, 0), ("C1_ch1", "20240101_120000", 5, 1.0)):
         d = root / "S1" / "P1" / ch
         d.mkdir(parents=True, exist_ok=True)
-        detection_rows(n, shift).to_csv(d / f"detections_{stamp}.csv", index=False)
+        detection_rows(n, shift).to_csv(d / f"det_results_{stamp}.csv", index=False)
 
 
 def test_latest_detection_files_and_colocalization(spark, tmp_path):
@@ -133,6 +133,27 @@ def test_saved_filter_states():
     assert tables.saved_id_filter('{"enabled": true, "objectIds": []}') == []
     for text in ('{"enabled": false, "objectIds": [1]}', "broken", None, '{"enabled": true}'):
         assert tables.saved_id_filter(text) is None
+    assert tables.saved_id_filter('{"objectIds": ["4.0", "x", null, 7.9, [1]]}') == [4, 7]
+
+
+def test_saved_filters_as_a_table_follow_the_same_rules(spark):
+    docs = ['{"enabled": true, "objectIds": [3, "4"]}', '{"enabled": true, "objectIds": []}', '{"enabled": false, "objectIds": [1]}', "broken", None,
+            '{"enabled": true}', '{"objectIds": ["4.0", "x", null, 7.9, [1]]}', '{"enabled": "false", "objectIds": [1]}', '{"enabled": null, "objectIds": 5}',
+            "[1, 2]", '{"objectIds": [true, "1e2", "nan"]}']
+    df = spark.createDataFrame(list(enumerate(docs)), "k int, doc string")
+    got = {r.k: r.ids for r in tables.saved_filters(df, ["k"], "doc").collect()}
+    assert {k: got.get(k) for k in range(len(docs))} == {k: tables.saved_id_filter(d) for k, d in enumerate(docs)}
+    dets = spark.createDataFrame([(k, i) for k in range(len(docs)) for i in (1, 3, 4, 7, 100)], "k int, id long")
+    kept = sorted(map(tuple, tables.with_saved_filters(dets, tables.saved_filters(df, ["k"], "doc"), ["k"]).collect()))
+    assert kept == sorted((k, i) for k, d in enumerate(docs) for i in (1, 3, 4, 7, 100)
+                          if tables.saved_id_filter(d) is None or i in tables.saved_id_filter(d))
+
+
+def test_intensity_text_is_the_general_form(spark):
+    values = [5.0, 1.234567e-5, 1234567.0, 0.0, -12.5, 0.0001, 999999.5, 123456.0, 1e100, 0.1 + 0.2, float("inf"), None]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    got = {r.k: r.t for r in df.select("k", export.general_text(F.col("v")).alias("t")).collect()}
+    assert [got[k] for k in range(len(values))] == [None if v is None or v == float("inf") else f"{v:.6g}" for v in values]
 
 
 def test_model_is_refused_for_other_features(spark, tmp_path):

@@ -81,7 +81,7 @@ def test_combination_degree_limit(spark):
     m = [f"m{i}" for i in range(6)]
     pdf = pd.DataFrame(r.integers(0, 2, (300, 6)), columns=m)
     got = {g.combination: g.observed_count for g in cooccur.combinations(spark.createDataFrame(pdf), m, 2, 3).collect()}
-    want = {" + ".join(c): int(pdf[list(c)].all(axis=1).sum()) for d in (2, 3) for c in itertools.combinations(m, d)}
+    want = {"+".join(c): int(pdf[list(c)].all(axis=1).sum()) for d in (2, 3) for c in itertools.combinations(m, d)}
     assert got == want
 
 
@@ -122,3 +122,43 @@ def test_otsu_splits_two_groups(spark):
     t = matrix.thresholds_otsu(df.withColumn("b", matrix.F.lit(5.0)), ["a", "b"]).collect()
     t = {r.marker: r.threshold for r in t}
     assert 2 < t["a"] < 100 and t["b"] == 5.0
+
+
+def test_otsu_does_not_depend_on_the_scale(spark):
+    from motes.operators import matrix
+    base = [0.1, 0.11, 0.12, 0.1, 0.9, 0.91, 0.92, 0.9]
+    rows = [(scale, v * scale) for scale in (1.0, 1e-5, 1e-12, 1e9) for v in base]
+    df = spark.createDataFrame(rows, "g double, v double")
+    got = {r.g: r.threshold / r.g for r in matrix.otsu(matrix.histogram(df, ["g"], "v", 256), ["g"]).collect()}
+    assert all(0.12 < t < 0.9 and abs(t - got[1.0]) < 1e-6 for t in got.values())
+
+
+def test_mann_whitney_is_exact_at_any_size():
+    import itertools
+    from motes.functions import tails
+    for n1, n2 in ((1, 4), (3, 4), (5, 3), (4, 4)):
+        us = [sum(r - i for i, r in enumerate(s)) for s in itertools.combinations(range(n1 + n2), n1)]
+        for u in range(n1 * n2 + 1):
+            assert abs(tails._mwu_exact(u, n1, n2) - sum(x >= u for x in us) / len(us)) < 1e-12
+    big = tails.mwu_p(8 * 10**9 * 0.7, 8, 10**9, 0)
+    assert abs(big - 2 * tails._mwu_exact(8 * 10**9 * 0.7, 8, 10**9)) < 1e-15 and 0.01 < big < 0.1
+
+
+def test_large_hypergeometric_draws_keep_the_law():
+    import numpy as np
+    from motes.functions import tails
+    rng = np.random.default_rng(0)
+    for total, good, drawn in ((4 * 10**9, 2 * 10**9, 1000), (2 * 10**9, 5, 10**9), (2 * 10**9, 2 * 10**9 - 3, 10**9), (3 * 10**9, 10**9, 10**9)):
+        x = np.array([tails._draw_large(rng, total, good, drawn) for _ in range(1500)], float)
+        mean = drawn * good / total
+        sd = (mean * (1 - good / total) * (total - drawn) / (total - 1)) ** 0.5
+        assert abs(x.mean() - mean) < 5 * sd / 1500**0.5 and abs(x.std() / sd - 1) < 0.1
+
+
+def test_regions_of_one_line_and_one_pixel(spark):
+    from motes.operators import pixels, qc
+    rows = [(1, 5, x, 1) for x in range(12)] + [(1, 9, 9, 2)]
+    p = pixels.region_properties(spark.createDataFrame(rows, "image int, y int, x int, label int"), ["image"])
+    got = {r.label: r.elongation for r in p.collect()}
+    assert abs(got[1] - 12.0) < 1e-9 and got[2] == 1.0
+    assert [r.label for r in qc.blob_filter(p, area=(1, 50), circularity=(0, 2), min_inertia=0).collect()] == [1]
