@@ -24,20 +24,28 @@ def describe(long: DataFrame, keys: list[str] = ["marker", "sample"]) -> DataFra
 # -- adjustment --------------------------------------------------------------
 
 def bonferroni(df: DataFrame, p: str, out: str, by: list[str] = []) -> DataFrame:
-    """min(p * n, 1) over the tests of each ``by`` group (test tables are small)."""
-    n = F.count(p).over(Window.partitionBy(*by))
-    return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * n)))
+    """min(p * n, 1) over the tests of each ``by`` group; a missing p stays missing."""
+    if by:
+        n = df.groupBy(*by).agg(F.count(p).alias("_n"))
+        found = df.join(n, by).withColumn(out, F.least(F.lit(1.0), F.col(p) * F.col("_n")))
+    else:
+        found = df.withColumn(out, F.least(F.lit(1.0), F.col(p) * F.lit(df.agg(F.count(p)).first()[0])))
+    return found.select(*[c for c in df.columns if c != out], F.when(F.col(p).isNotNull(), F.col(out)).alias(out))
 
 
 def bh_adjust(df: DataFrame, p: str, out: str, by: list[str] = [], tie: list[str] = []) -> DataFrame:
-    """Benjamini-Hochberg step-up p over the tests of each ``by`` group."""
-    w = Window.partitionBy(*by)
-    order = [F.asc_nulls_last(p), *tie]
-    rank = F.row_number().over(w.orderBy(*order))
-    scaled = df.withColumn("_rank", rank).withColumn("_raw", F.col(p) * F.count(p).over(w) / F.col("_rank"))
-    down = w.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (scaled.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_raw").over(down))))
-            .drop("_rank", "_raw"))
+    """Benjamini-Hochberg step-up p over the tests of each ``by`` group.
+
+    Tests of one p share their result, that of the last of them, so the order is taken over
+    distinct p, counted before anything is sorted.  ``tie`` no longer matters.
+    """
+    own = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    up = group.orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = group.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    raw = own.withColumn("_raw", F.col(p) * F.sum("_n").over(group) / F.sum("_n").over(up))
+    table = raw.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(down))).drop("_n", "_raw")
+    return df.drop(out).join(table, [*by, p], "left").select(*[c for c in df.columns if c != out], out)
 
 
 def adjusted(df: DataFrame, p: str, out: str, method: str, by: list[str] = [], tie: list[str] = []) -> DataFrame:

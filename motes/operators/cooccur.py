@@ -14,7 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from motes.functions.scalars import neg_log10, q, significance_label
 from motes.functions.tails import exact_overlap_p, fisher_exact, overlap_draws
 from motes.operators.compare import bh_adjust, bonferroni
-from motes.session import small_side
+from motes.session import checkpoint, small_side
 
 #: Markers whose subsets are summed in one step.
 BLOCK = 6
@@ -109,7 +109,8 @@ def exact_p(combos: DataFrame) -> DataFrame:
 def combination_statistics(binary: DataFrame, markers: list[str], draws: int = 1000, min_degree: int = 2,
                            max_degree: int | None = None, seed: int = 42) -> DataFrame:
     """Combinations with empirical, Bonferroni and BH p, label; ordered by BH p, then count."""
-    c = empirical_p(combinations(binary, markers, min_degree, max_degree), draws, seed)
+    # the draws are the work, and three tables below use them
+    c = checkpoint(empirical_p(combinations(binary, markers, min_degree, max_degree), draws, seed))
     c = bonferroni(c, "empirical_pvalue", "bonferroni_pvalue")
     c = bh_adjust(c, "empirical_pvalue", "fdr_pvalue", tie=["combination"])
     c = c.withColumn("significance", significance_label(F.col("fdr_pvalue")))

@@ -50,12 +50,13 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` if it is proven to hold at most ``limit`` rows.
 
     Meant for aggregated tables (one row per marker, group or bucket).  At most
-    ``limit + 1`` rows are fetched; a larger table is returned as it is, so the
-    join that uses it becomes an ordinary shuffle join.
+    ``limit + 1`` rows are fetched; a larger table is written once and read back, so the
+    join that uses it becomes an ordinary shuffle join over a plain table, and nothing
+    below it is computed again.
     """
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
-        return df
+        return checkpoint(df)
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
