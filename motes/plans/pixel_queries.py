@@ -380,16 +380,31 @@ def legacy_intensity(spark, sf):
 
 @query()
 def detection_intensity(spark, sf):
-    d = on_pixels(spark, sf).where("channel = 'signup'").select("image", "id", "centroid_x", "centroid_y")
+    d = on_pixels(spark, sf).select("image", "id", "centroid_x", "centroid_y")
     return rounded(lookups.detection_intensity(d, foreground(spark, sf), pixels(spark, sf), IMG), ["mean_intensity"])
 
 
 # -- classifiers -------------------------------------------------------------
 
-@query()
+@query(f"""with {PIXELS.replace('pixels as', 'stored as', 1)}, mm as (select image, min(value) lo, max(value) hi from stored group by 1),
+pixels as (select image, class, y, x, case when hi > 1 then (value - lo) / (hi - lo + 1e-10) else value end as value from stored join mm using (image)), {ROWCOL}, {OFF},
+g as (select s, i, exp(-0.5 * i * i / (s * s)) as w from (values (1), (2), (4)) t(s), range(-16, 17) r(i) where abs(i) <= 4 * s),
+gs as (select s, i, w / sum(w) over (partition by s) as w from g),
+hx as (select s, p.image, p.y, p.x, sum(w * n.value) as value from pixels p, gs join pixels n on n.image = p.image and n.y = p.y and n.x = {CLAMP.format(c='p.x + gs.i')} group by 1, 2, 3, 4),
+hy as (select p.s, p.image, p.y, p.x, sum(w * n.value) as value from hx p join gs on gs.s = p.s join hx n on n.s = p.s and n.image = p.image and n.x = p.x and n.y = {CLAMP.format(c='p.y + gs.i')} group by 1, 2, 3, 4),
+ga as (select image, y, x, max(value) filter (s = 1) as g1, max(value) filter (s = 2) as g2, max(value) filter (s = 4) as g4 from hy group by 1, 2, 3),
+m as (select p.image, p.y, p.x, any_value(p.value) as value, avg(n.value) as mean from pixels p, o5 join pixels n on n.image = p.image
+  and n.y = {MIRROR.format(c='p.y + dy')} and n.x = {MIRROR.format(c='p.x + dx')} group by 1, 2, 3),
+v as (select p.image, p.y, p.x, avg(power(n.value - n.mean, 2)) as var from m p, o5 join m n on n.image = p.image
+  and n.y = {MIRROR.format(c='p.y + dy')} and n.x = {MIRROR.format(c='p.x + dx')} group by 1, 2, 3)
+select image, y, x, round(w.value, 5) as raw, round(g1, 5) as gauss_1, round(g2, 5) as gauss_2, round(g4, 5) as gauss_4,
+  round(4 * w.value - coalesce(l, w.value) - coalesce(rr, w.value) - coalesce(u, w.value) - coalesce(d, w.value), 5) as laplace, round(sqrt(
+  power(case when l is null then rr - w.value when rr is null then w.value - l else (rr - l) / 2 end, 2)
+  + power(case when u is null then d - w.value when d is null then w.value - u else (d - u) / 2 end, 2)), 5) as gradient_magnitude, round(var, 5) as variance_5
+from w join ga using (image, y, x) join v using (image, y, x)""")
 def pixel_features(spark, sf):
     f = px_ops.pixel_features(pixels(spark, sf), IMG)
-    return rounded(f.select("image", "y", "x", *px_ops.FEATURES), px_ops.FEATURES)
+    return rounded(f.select("image", "y", "x", *px_ops.FEATURES), px_ops.FEATURES, 5)
 
 
 ANNOT = "a as (select image, y, x, case when (image * 5 + y * 3 + x) % 7 = 0 then 1 else 0 end as class from pixels where (image + y + x) % 5 = 0 or (image * 5 + y * 3 + x) % 7 = 0)"
@@ -415,7 +430,7 @@ def pixel_classifier(spark, sf):
     truth = pixels(spark, sf).where("(image + y + x) % 5 = 0").select(
         "image", "y", "x", (F.col("value") > 0.1).cast("int").alias("class"))
     train = learn.pixel_training_set(feats, truth, IMG)
-    model = learn.train_classifier(train, px_ops.FEATURES, trees=20, max_depth=5)
+    model = learn.train_classifier(train, px_ops.FEATURES, max_depth=12)
     pred = learn.predict(model, feats, px_ops.FEATURES).where("predicted = 1")
     lab = px_ops.drop_small(px_ops.components8(pred.select("image", "y", "x"), IMG), IMG, 2)
     return px_ops.region_properties(lab, IMG).groupBy("image").agg(
@@ -428,7 +443,7 @@ def object_classifier(spark, sf):
     lab = labels(spark, sf)
     f = checkpoint(px_ops.object_features(pixels(spark, sf), lab, IMG))
     f = f.withColumn("label_class", ((F.col("area") >= 6) & (F.col("mean_intensity") > 0.08)).cast("int"))
-    model = learn.train_classifier(f, learn.OBJECT_FEATURES, "label_class", trees=20, max_depth=5)
+    model = learn.train_classifier(f, learn.OBJECT_FEATURES, "label_class", max_depth=12)
     return learn.predict(model, f, learn.OBJECT_FEATURES).groupBy("label_class", "predicted").agg(F.count("*").alias("objects"))
 
 
