@@ -120,14 +120,15 @@ def cover(fired: np.ndarray, clean: np.ndarray, names: list[str], most: int, tim
     """
     need, chosen = np.full(len(fired), times), []
     count = fired.sum(0)
-    precision = (count + 0.5) / (count + clean.sum(0) + 1.0)
+    # A share of the clean rows costs as much as ten times that share of the toxic ones.
+    cost = 10.0 * clean.sum(0) * len(fired) / max(1, len(clean))
     long = np.array([len(t.lstrip("=")) for t in names])
     free = np.ones(len(names), bool)
     least = max(2, len(fired) // 500)
     while len(chosen) < most and free.any():
-        gain = np.where(free, fired[need > 0].sum(0) * precision, 0)
+        gain = np.where(free, fired[need > 0].sum(0) - cost, -np.inf)
         k = max(range(len(names)), key=lambda k: (gain[k], long[k], -k))
-        if gain[k] < least * 0.5:
+        if gain[k] < least:
             break
         chosen.append(k)
         need -= fired[:, k]
@@ -161,7 +162,7 @@ def label_model(votes: np.ndarray, toward: np.ndarray, prior: float, rounds: int
     return post
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
     """Weights and bias (last) by Newton steps on soft labels."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     w = np.zeros(x.shape[1])
