@@ -6,10 +6,12 @@ was changed, ``n_chars`` (if there is such a column) is its new length.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
 from motes.llm import minhash, packing, personal, run_index, toxicity
-from motes.llm.common import written
+from motes.llm.common import discard, recorded, written
 
 #: A document scored at least this toxic is rejected.
 TOXIC = 0.3
@@ -17,6 +19,20 @@ TOXIC = 0.3
 REPEAT = 200
 
 
+#: Intermediate tables of the stage that ran last.
+_made: list[str] = []
+
+
+def stage(make):
+    """A stage that first deletes the intermediate tables of the one before, whose result is written by now."""
+    @wraps(make)
+    def run_stage(spark, docs, sf_dir):
+        discard(spark, _made)
+        with recorded(_made):
+            return make(spark, docs, sf_dir)
+    return run_stage
+
+
 def _measured(docs):
     if "n_chars" not in docs.columns:
         return docs
@@ -24,12 +40,14 @@ def _measured(docs):
     return docs.withColumn("n_chars", F.length("text").cast(kind))
 
 
+@stage
 def clean(spark, docs, sf_dir):
     """Documents that are not toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.scores(docs, labels).where(F.col("toxic_score") < TOXIC).select(*docs.columns)
 
 
+@stage
 def distinct(spark, docs, sf_dir):
     """One document of each group of near-duplicates; of rows alike in id and text one stays."""
     kept = minhash.near_duplicates(docs, size=5, threshold=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
@@ -37,16 +55,19 @@ def distinct(spark, docs, sf_dir):
     return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
+@stage
 def unrepeated(spark, docs, sf_dir):
     """Documents without the byte strings that occur more than once among them."""
     return _measured(run_index.without_repeats(docs, REPEAT, (32, REPEAT - 31, REPEAT), text=True))
 
 
+@stage
 def private(spark, docs, sf_dir):
     """Documents with personal data replaced by its kind."""
     return _measured(personal.redacted(docs))
 
 
+@stage
 def packed(spark, docs, sf_dir):
     """Pieces of documents in token sequences of balanced cost."""
     return packing.pack(docs)
@@ -60,6 +81,6 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+    for _, step in STAGES:
+        docs = written(step(spark, docs, sf_dir))
     return docs

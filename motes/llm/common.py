@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -35,9 +36,33 @@ def shared_folder(spark: SparkSession) -> str:
     path = f"{root.rstrip('/')}/motes-{sc.applicationId}/{uuid.uuid4().hex}"
     jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    if _record is not None:
+        _record.append(path)
     return path
 
 
+_record: list[str] | None = None
+
+
+@contextmanager
+def recorded(paths: list[str]):
+    """Adds the shared folders that are made inside to ``paths``."""
+    global _record
+    before, _record = _record, paths
+    try:
+        yield
+    finally:
+        _record = before
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes shared folders that nothing reads any more."""
+    sc = spark.sparkContext
+    while paths:
+        jpath = sc._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, and a lost executor costs a read."""
     spark = df.sparkSession
