@@ -6,7 +6,7 @@
 2. Bands of the signatures give buckets.  Every member meets the smallest of its bucket (a star, not
    all pairs); pairs whose signatures may reach the threshold are confirmed on their full sets.
 3. Buckets that still hold several components are compared in blocks across components, so that no
-   link between members is lost, and the new links are confirmed in the same way.
+   link that joins components is lost; those links too are confirmed on the full sets.
 4. Components come from alternating large-star and small-star.
 
 With 32 bands of 4 minima a link of similarity 0.8 is missed by the buckets with probability 5e-8,
@@ -145,82 +145,113 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
         run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= threshold * union."""
-    def sets(batches):
-        import pyarrow as pa
-        shingle = Shingler(size)
-        for ids, found in in_batches(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle(found)], pa.binary())],
-                                             ["node", "shingles"])
+def held(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, body): the texts of the documents that are compared.  Texts travel in less room than sets."""
+    return written(texts(docs).join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(
+        F.col("doc_id").alias("node"), F.col("text").alias("body")))
+
 
+def confirmed(pairs: DataFrame, bodies: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Pairs whose full sets have 100 * intersection >= threshold * union."""
     def run(batches):
         import pyarrow as pa
+        shingle = Shingler(size)
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                small, large = (p, q) if len(p) < len(q) else (q, p)
-                at = np.searchsorted(large, small)
-                both = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
-                keep.append(100 * both >= threshold * (len(p) + len(q) - both))
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                for p, q in zip(shingle(part.column(2).to_pylist()), shingle(part.column(3).to_pylist())):
+                    small, large = (p, q) if len(p) < len(q) else (q, p)
+                    at = np.searchsorted(large, small)
+                    both = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
+                    keep.append(100 * both >= threshold * (len(p) + len(q) - both))
             if batch.num_rows:
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    own = written(texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(sets, "node long, shingles binary"), "none")
-    return pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
-        own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(
+    return pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(
+        bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(
         run, "a long, b long")
 
 
-def across(bands: DataFrame, found: DataFrame, classes: DataFrame, least: float, block: int) -> DataFrame:
-    """Pairs of one bucket that lie in different components and whose signatures agree enough.
+def dealt_blocks(bands: DataFrame, found: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """Members of the buckets that hold several components, dealt into pairs of blocks (bucket, i, j).
 
-    Only buckets with several components take part.  Their members are dealt into blocks, and each
-    pair of blocks is compared by a group of its own: at most two blocks of rows.
+    ``own`` is the block of the member.  A pair of blocks has at most about two blocks of rows.
     """
-    n_bands = bands.agg(F.max("band")).first()[0]
-    if n_bands is None:
-        return bands.select(F.col("node").alias("a"), F.col("node").alias("b"))
     labelled = written(bands.join(found.withColumnRenamed("component", "c"), "node", "left").select(
         "bucket", "node", "band", F.coalesce("c", "node").alias("component")))
     mixed = written(labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                                    F.count("*").alias("n")).where("lo != hi").select("bucket", "n"))
     rows = labelled.join(mixed, "bucket").join(classes.select("node", "sig"), "node")
-    count = F.expr(f"cast(ceil(n / {block}.0) as int)")
-    own = F.expr("cast(pmod(xxhash64(node), blocks) as int)")
-    dealt = rows.withColumn("blocks", count).withColumn("own", own).withColumn(
+    return rows.withColumn("blocks", F.expr(f"cast(ceil(n / {block}.0) as int)")).withColumn(
+        "own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn(
         "other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component",
         "band", "sig")
 
-    def compare(pdf):
-        import pandas as pd
+
+def across(bands: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, n_bands: int, least: float, block: int,
+           size: int, threshold: int) -> DataFrame:
+    """Confirmed links between different components of one bucket, enough of them to join the components.
+
+    Signatures tell which members of a pair of blocks may have a link across components; the texts
+    of those alone are brought to the pair of blocks and compared on their full sets.
+    """
+    def may_link(pdf):
         sig = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(len(pdf), -1)
-        node, comp, side = pdf.node.to_numpy(), pdf.component.to_numpy(), pdf.own.to_numpy()
-        band = int(pdf.band.iloc[0])
-        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
+        comp, side = pdf.component.to_numpy(), pdf.own.to_numpy()
+        band, i, j = int(pdf.band.iloc[0]), int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        width = sig.shape[1] // (n_bands + 1)
-        a, b = [], []
+        width, some = sig.shape[1] // n_bands, np.zeros(len(pdf), bool)
         for k in left:
-            r = right[(comp[right] != comp[k]) & ((node[right] > node[k]) if i == j else True)]
-            same = sig[r] == sig[k]
-            hit = r[same.mean(axis=1) >= least]
-            # A pair that meets in several bands is told by the first of them.
-            first = (sig[hit].reshape(len(hit), -1, width) == sig[k].reshape(-1, width)).all(axis=2).argmax(axis=1) if len(hit) else hit
-            hit = hit[first == band]
-            a.append(np.minimum(node[hit], node[k]))
-            b.append(np.maximum(node[hit], node[k]))
-        empty = np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate(a) if a else empty, "b": np.concatenate(b) if b else empty})
-
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+            r = right[(comp[right] != comp[k]) & ((right > k) if i == j else True)]
+            if some[k] and some[r].all():
+                continue
+            hit = r[(sig[r] == sig[k]).mean(axis=1) >= least]
+            # A pair that meets in several bands is looked at in the first of them.
+            if len(hit):
+                first = (sig[hit].reshape(len(hit), n_bands, width) == sig[k].reshape(n_bands, width)).all(axis=2).argmax(axis=1)
+                hit = hit[first == band]
+                some[hit] = True
+                some[k] |= len(hit) > 0
+        return pdf.loc[some, ["bucket", "i", "j", "own", "node", "component"]]
+
+    def links(pdf):
+        import pandas as pd
+        pdf = pdf.sort_values("node", kind="stable", ignore_index=True)
+        sets = Shingler(size)(pdf.body.tolist())
+        node, side = pdf.node.to_numpy(), pdf.own.to_numpy()
+        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
+        label = np.unique(pdf.component.to_numpy(), return_inverse=True)[1]
+        right = np.flatnonzero(side == j)
+        words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        edge = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        count = np.diff(edge)
+        there = np.concatenate([ids[edge[k]:edge[k + 1]] for k in right]) if len(right) else ids[:0]
+        starts = np.concatenate([[0], np.cumsum(count[right])])[:-1]
+        out, mark = [], np.zeros(len(words), bool)
+        for k in np.flatnonzero(side == i):
+            if not len(right) or (label[right] == label[k]).all():
+                continue
+            own = ids[edge[k]:edge[k + 1]]
+            mark[own] = True
+            both = np.add.reduceat(mark[there], starts, dtype=np.int64)
+            mark[own] = False
+            for r in right[100 * both >= threshold * (count[right] + count[k] - both)]:
+                if label[r] != label[k]:
+                    out.append((min(node[k], node[r]), max(node[k], node[r])))
+                    label[label == label[r]] = label[k]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    key = "bucket long, i int, j int, own int, node long, component long"
+    some = written(dealt_blocks(bands, found, classes, block).groupBy("bucket", "i", "j").applyInPandas(may_link, key))
+    if some.isEmpty():
+        return some.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    return some.join(held(docs, some), "node").groupBy("bucket", "i", "j").applyInPandas(links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, bands: int = 32, rows: int = 4,
-                    slack: float = 0.2, block: int = 512) -> DataFrame:
+                    slack: float = 0.2, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id) and kept, for every row of ``docs``.
 
     ``threshold``: similarity in hundredths.  ``slack``: how far a signature may lie below it.
@@ -234,12 +265,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, bands:
     low = written(banded.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a"))
     shared = banded.join(low, "bucket")
     stars = written(agreeing(shared.where("a != node").select("a", F.col("node").alias("b")).distinct(), classes, least))
-    links = written(confirmed(stars, docs, size, threshold))
+    nodes = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node")))
+    links = written(confirmed(stars, held(docs, nodes), size, threshold))
     found = components(links)
-    more = written(across(banded.join(low, "bucket", "left_semi"), found, classes, least, block).distinct())
+    more = written(across(banded.join(low, "bucket", "left_semi"), found, classes, docs, bands, least, block, size, threshold))
     if not more.isEmpty():
-        links = links.union(written(confirmed(more, docs, size, threshold)))
-        found = components(links)
+        found = components(links.union(more))
     labels = written(classes.select("set", "node").join(found, "node", "left").select(
         "set", F.coalesce("component", "node").alias("component")))
     full = sigs.where("set is not null and doc_id is not null").select("doc_id", "n_shingles", "set").join(labels, "set")
