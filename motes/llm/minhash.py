@@ -258,9 +258,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, bands:
     """
     least = threshold / 100 - slack
     sigs = written(signatures(docs, size, bands * rows))
+    # The smallest row of a set is found map-side, so a set that a third of all rows share is no hot key.
     classes = written(sigs.where("set is not null and doc_id is not null").groupBy("set").agg(
-        F.min("doc_id").alias("node")).join(sigs.select("doc_id", "set", "sig"), "set").where("doc_id = node").select(
-        "set", "node", "sig").dropDuplicates(["set"]))
+        F.min(F.struct("doc_id", "sig")).alias("one")).select("set", F.col("one.doc_id").alias("node"), "one.sig"))
     banded = written(band_rows(classes, bands))
     low = written(banded.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a"))
     shared = banded.join(low, "bucket")
