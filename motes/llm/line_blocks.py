@@ -101,6 +101,8 @@ def lines(page: str, window: int) -> list[tuple[str, int, bool]]:
             end = low.find(f"</{name}", at)
             at = n if end < 0 else _tag_end(page, end)
             continue
+        if drop == "p" and name in BLOCKS and not closing:
+            drop, depth = "", 0  # a paragraph ends where the next block begins
         if drop:
             if name == drop:
                 depth += -1 if closing else 1

@@ -19,6 +19,7 @@ CASES = [
     (page("<div><a href='#'>link words only</a></div>", f"<div><p>{LONG}</p><p>{LONG}</p><p>end</p></div>",
           "<div id='sidebar'>x</div><div>tiny</div>"), "\n".join([LONG.strip(), LONG.strip(), "end"])),
     (page("<div class='cookie-notice'>ok<article><p>still here</p></article>"), "still here"),
+    ("<article><p class='ad'>Buy<p>Real<p class='share'>Tell<div>more</div>", "Real\nmore"),
     ("<article><p title='a>b'>x</p><p title=\"a>b\">y", "x\ny"), ("<article><p>cut &am", "cut &am"), ("a < b <3 c", "a < b <3 c"),
     ("<article><p>" + "w " * 50_000 + "</p></article>", ("w " * 50_000).strip()), ("<" * 2000, "<" * 2000),
 ]
