@@ -65,6 +65,13 @@ def unpack_positions(raw: bytes):
     return [None if z else i for i, z in zip(ids.tolist(), nulls.tolist())], counts, stream
 
 
+def opened(raw: bytes) -> np.ndarray:
+    """Numbers that were squeezed as byte planes."""
+    import zstandard
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def distinct_words(docs: DataFrame, folder: str, pattern: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
@@ -121,18 +128,22 @@ def encoded_words(words: DataFrame, vocab: str, pattern: str) -> DataFrame:
     """The ids of every word, encoded once, gathered by the chunk they go to."""
     def run(batches):
         import pyarrow as pa
-        encode = word_encoder(vocab, pattern)
+        import zstandard
+        encode, press = word_encoder(vocab, pattern), zstandard.ZstdCompressor(level=3)
         last, last_ids = None, []
 
+        def squeezed(a: np.ndarray) -> bytes:
+            return press.compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
         def dealt(rows):
             chunks, locals_, found = (np.concatenate(c) if c is not rows[2] else sum(c, []) for c in rows)
             order = np.argsort(chunks, kind="stable")
             edges = np.flatnonzero(np.diff(chunks[order])) + 1
             for part in np.split(order, edges):
+                part = part[np.argsort(locals_[part])]
                 ids = [found[k] for k in part]
-                yield (int(chunks[part[0]]), locals_[part].astype("<u4").tobytes(),
-                       np.array([len(i) for i in ids], "<u4").tobytes(),
-                       np.array([x for i in ids for x in i], "<u4").tobytes())
+                yield (int(chunks[part[0]]), squeezed(np.diff(locals_[part], prepend=0)), squeezed(np.array([len(i) for i in ids])),
+                       squeezed(np.array([x for i in ids for x in i], np.int64)))
 
         def out(rows):
             cols = list(zip(*dealt(rows)))
@@ -168,9 +179,9 @@ def assembled(ids: DataFrame, folder: str, vocab: str, with_ids: bool) -> DataFr
         store, at = fs.FileSystem.from_uri(folder)
         with store.open_input_file(f"{at}/{int(pdf.chunk.iloc[0])}") as f:
             keys, counts, stream = unpack_positions(f.read())
-        local = np.frombuffer(b"".join(pdf.locals), "<u4")
-        n = np.frombuffer(b"".join(pdf.counts), "<u4").astype(np.int64)
-        flat = np.frombuffer(b"".join(pdf.ids), "<u4")
+        local = np.concatenate([np.cumsum(b.astype(np.int64)) for b in map(opened, pdf.locals)])
+        n = np.concatenate([opened(b) for b in pdf.counts]).astype(np.int64)
+        flat = np.concatenate([opened(b) for b in pdf.ids])
         start, lens = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
         start[local], lens[local] = np.cumsum(n) - n, n
         table = {i: b for b, i in ranks(vocab).items()}
