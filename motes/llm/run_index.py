@@ -273,7 +273,10 @@ def repeats(src: DataFrame, length: int, ks: list[int], hot: int) -> DataFrame:
         return sure  # the key is the hash of the whole window
     classes = written(met.where("multi").groupBy("key", "body").agg(
         F.count("*").alias("met"), F.min(F.struct("r1", "r2", "start", "n")).alias("one")))
-    groups = classes.groupBy("key").agg(F.count("*").alias("classes"), F.min("met").alias("least")).where("least = 1")
+    # Both sides of the join are plain tables, so AQE can split the classes of a crowded key.
+    classes = written(classes)
+    groups = written(classes.groupBy("key").agg(F.count("*").alias("classes"), F.min("met").alias("least")).where(
+        "least = 1 and classes > 1").drop("least"))
     wanted = classes.join(groups, "key").select("one.*", "key", F.col("body").alias("class"), "classes", "met")
     strings = written(fetch(src, wanted, length))
     marks = indexed(strings.where(F.col("classes") <= hot), length)
