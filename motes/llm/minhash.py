@@ -203,11 +203,16 @@ def across(bands: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFra
         band, i, j = int(pdf.band.iloc[0]), int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
         width, some = sig.shape[1] // n_bands, np.zeros(len(pdf), bool)
+        # Low bytes agree wherever minima do, and are quick to count; hits are counted again in full.
+        low = sig.astype(np.uint8)
+        columns, enough = np.ascontiguousarray(low[right].T), least * sig.shape[1]
         for k in left:
-            r = right[(comp[right] != comp[k]) & ((right > k) if i == j else True)]
-            if some[k] and some[r].all():
+            other = (comp[right] != comp[k]) & ((right > k) if i == j else True)
+            if not other.any() or some[k] and some[right[other]].all():
                 continue
-            hit = r[(sig[r] == sig[k]).mean(axis=1) >= least]
+            same = np.add.reduce((columns == low[k][:, None]).view(np.uint8), axis=0, dtype=np.uint16)
+            hit = right[other & (same >= enough)]
+            hit = hit[(sig[hit] == sig[k]).sum(axis=1) >= enough]
             # A pair that meets in several bands is looked at in the first of them.
             if len(hit):
                 first = (sig[hit].reshape(len(hit), n_bands, width) == sig[k].reshape(n_bands, width)).all(axis=2).argmax(axis=1)
