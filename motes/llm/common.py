@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -111,7 +112,7 @@ class PieceEncoder:
     it holds ``limit`` characters.
     """
 
-    def __init__(self, encode, spaced: bool, limit: int = 16_000_000):
+    def __init__(self, encode, spaced: bool, limit: int = 10_000_000):
         self.encode, self.spaced, self.limit = encode, spaced, limit
         self._clear()
 
@@ -192,6 +193,13 @@ def library_encoder(path: str, spaced: bool) -> PieceEncoder:
     return PieceEncoder(lambda new: [e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False)], spaced)
 
 
+def fresh_worker() -> None:
+    """Frees the pieces that an earlier stage's tasks left in this reused worker."""
+    if library_encoder.cache_info().currsize:
+        library_encoder.cache_clear()
+        gc.collect()
+
+
 def in_batches(batches, limit: int = 4_000_000):
     """Columns of Arrow batches as Python lists, cut so that a slice holds about ``limit`` characters.
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motes.llm.common import _Slots, in_batches, texts, written
+from motes.llm.common import _Slots, fresh_worker, in_batches, texts, written
 from motes.llm.components import components
 
 # A-Z to a-z, and odd multipliers of a public 64-bit mixer (splitmix64).
@@ -40,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of word shingles as sorted 64-bit hashes; words are lower-cased (A-Z) and split at ASCII white space."""
 
-    def __init__(self, size: int, limit: int = 500_000):
+    def __init__(self, size: int, limit: int = 150_000):
         self.size, self.limit = size, limit
         self._clear()
 
@@ -96,6 +96,7 @@ def signatures(docs: DataFrame, size: int, count: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
         from xxhash import xxh3_128_digest
+        fresh_worker()
         shingle, (a, b) = Shingler(size), hash_functions(count)
         for ids, found in in_batches(batches):
             sets = shingle(found)

@@ -30,11 +30,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motes.llm.common import written
+from motes.llm.common import fresh_worker, written
 from motes.llm.minhash import MIX
 
 POSITION = np.uint64((1 << 24) - 1)
-SEGMENT = 2_000_000
+SEGMENT = 1_000_000
 INDEX_BITS = 20
 PIECES = "r1 long, r2 long, key long, body long, start int, n int"
 
@@ -103,6 +103,7 @@ def pieces(src: DataFrame, length: int, k: int) -> DataFrame:
     """The pieces of all texts; long texts go in segments that overlap by a window."""
     def run(batches):
         import pyarrow as pa
+        fresh_worker()
 
         def out(held):
             got = cut([h[3] for h in held], length, k)

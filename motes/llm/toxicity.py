@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from motes.llm.common import _Slots, in_batches, texts, written
+from motes.llm.common import _Slots, fresh_worker, in_batches, texts, written
 
 EDGE = ".,!?;:*%$#&\"'()[]{}<>|"
 SHORTEST, LONGEST = 3, 8
@@ -43,10 +43,14 @@ def patterns(text: str) -> list[bool]:
             words < 20, n > 12 * words]
 
 
+#: Most words hold no term; they share one list.
+NONE: list[int] = []
+
+
 class Finder:
     """The terms of a list in whole texts; each distinct word is looked up once per worker."""
 
-    def __init__(self, terms: list[str], limit: int = 500_000):
+    def __init__(self, terms: list[str], limit: int = 150_000):
         self.number = {t: k for k, t in enumerate(terms)}
         self.limit = limit
         self._clear()
@@ -62,7 +66,7 @@ class Finder:
             words = t.lower().split()
             per.append(np.fromiter(map(get, words), np.int64, len(words)))
         new, self.slots.new = self.slots.new, []
-        self.found += [[self.number[t] for t in terms_of(w) if t in self.number] for w in new]
+        self.found += [[self.number[t] for t in terms_of(w) if t in self.number] or NONE for w in new]
         self.hit = np.concatenate([self.hit, np.array([bool(f) for f in self.found[len(self.hit):]], bool)])
         return [np.array(sorted({i for s in np.unique(slots[self.hit[slots]]).tolist() for i in self.found[s]}), np.int64)
                 for slots in per]
@@ -93,6 +97,7 @@ def lexicon(sample: DataFrame, size: int) -> tuple[list[str], int, int]:
             from collections import Counter
 
             import pyarrow as pa
+            fresh_worker()
             seen: Counter = Counter()
             for _, found in in_batches(batches):
                 for t in found:
@@ -219,6 +224,7 @@ def scores(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_row
 
     def run(batches):
         import pyarrow as pa
+        fresh_worker()
         find = Finder(names)
         at = columns.index("text")
         for b in batches:
