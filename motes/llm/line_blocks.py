@@ -5,7 +5,12 @@ are summed; a surge is a window that reaches ``threshold``, the dive after it th
 without text, and the lines between them are kept.  Elements that are never part of an article
 (menus, headers of the page, forms, notices, adverts, comments, ...) leave empty lines, a window
 wide, so text on both sides of them stays apart.  Link text does not count towards a window, but is
-kept with its line.  If a page marks its article, only lines inside it count, from the first.
+kept with its line.
+
+A marked article (``article``, ``main``) is a border for blocks and a weight: its text, short lines
+and all, stands for one block of ``MARKED`` times its length.  It is believed if that reaches the
+largest block outside and the largest other article; then blocks outside stay only if they hold as
+much text as it.  Any other article is read like the rest of the page, by surge and dive.
 
 Null and empty pages, and pages without such text, have the empty text.  White space inside a block
 is one space, also at a line break element; blocks are joined by one newline.  An element that is
@@ -34,6 +39,8 @@ HINTS = frozenset(("ad ads advert adverts advertisement advertising adbox adslot
                    "modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
                    "comment comments commentlist reply replies respond disqus footer masthead header topbar toolbar pager "
                    "pagination widget complementary contentinfo search").split())
+#: Weight of text in a marked article beside other text.
+MARKED = 4
 OPEN = re.compile(r"[A-Za-z][^\s/>]*")
 NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 QUOTED = re.compile(r"""=\s*(["'])""")
@@ -53,15 +60,15 @@ def _tag_end(page: str, at: int) -> int:
         at = close + 1
 
 
-def lines(page: str, window: int) -> list[tuple[str, int, bool]]:
-    """Text, length outside links, and whether it is inside a marked article, line by line."""
+def lines(page: str, window: int) -> tuple[list[tuple[str, int, int]], list[int]]:
+    """Text, length outside links and innermost marked article (0: none) of each line; the article around each article."""
     low = page.lower()
     if len(low) != len(page):  # a letter whose lower case is longer
         low = re.sub("[A-Z]+", lambda m: m[0].lower(), page)
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, int]] = []
     text: list[str] = []
     linked = [0, 0]  # open links, length of their text
-    article = 0
+    around, inside = [0], [0]
     drop, depth = "", 0
     at, n = 0, len(page)
 
@@ -69,7 +76,7 @@ def lines(page: str, window: int) -> list[tuple[str, int, bool]]:
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
             if line:
-                out.append((line, max(0, len(line) - linked[1]), article > 0))
+                out.append((line, max(0, len(line) - linked[1]), inside[-1]))
             text.clear()
             linked[1] = 0
 
@@ -119,10 +126,15 @@ def lines(page: str, window: int) -> list[tuple[str, int, bool]]:
         elif name == "a":
             linked[0] = max(0, linked[0] + (-1 if closing else 1))
         if name in ("article", "main"):
-            article = max(0, article + (-1 if closing else 1))
+            if not closing:
+                around.append(inside[-1])
+                inside.append(len(around) - 1)
+            elif len(inside) > 1:
+                inside.pop()
+            out += [("", 0, inside[-1])] * window
         if closing or name in VOID or page[at - 2:at] == "/>":
             continue
-        if name in DROPPED or name == "header" and not article or name == "head":
+        if name in DROPPED or name == "header" and not inside[-1] or name == "head":
             drop, depth = name, 1
         elif name not in ("html", "body", "article", "main"):
             marks = {w for a in NAMED.findall(low[lt:at]) for w in WORD.findall(a)}
@@ -130,31 +142,57 @@ def lines(page: str, window: int) -> list[tuple[str, int, bool]]:
                 drop, depth = name, 1
         if drop:
             close()
-            out += [("", 0, article > 0)] * window
+            out += [("", 0, inside[-1])] * window
     close()
+    return out, around
+
+
+def blocks(size: np.ndarray, text: list[bool], window: int, threshold: int) -> list[list[int]]:
+    """The lines with text from each surge to its dive."""
+    sums = np.convolve(np.concatenate([size, np.zeros(window, np.int64)]), np.ones(window, np.int64))[window - 1:][:len(size) + 1]
+    out, k = [], 0
+    while k < len(size):
+        if sums[k] >= threshold and size[k]:
+            out.append([])
+            while k < len(size) and sums[k]:
+                if text[k]:
+                    out[-1].append(k)
+                k += 1
+        k += 1
     return out
 
 
+def believed(size: np.ndarray, region: list[int], around: list[int], outside: int) -> dict[int, int]:
+    """Length of the text of each marked article that is as heavy as ``outside`` and as the other articles."""
+    own = [0] * len(around)
+    for n, r in zip(size.tolist(), region):
+        own[r] += n
+    whole = list(own)
+    for r in range(len(around) - 1, 0, -1):  # the article around another one comes first
+        whole[around[r]] += whole[r]
+    least = max([outside, *own[1:]])
+    return {r: whole[r] for r in range(1, len(around)) if whole[r] * MARKED >= least}
+
+
 def main_text(page: str | None, window: int = 3, threshold: int = 86) -> str:
     if not page:
         return ""
-    found = lines(page, window)
-    if any(inside and text for text, _, inside in found):
-        return "\n".join(text for text, _, inside in found if inside and text)
+    found, around = lines(page, window)
     if not found:
         return ""
-    size = np.array([n for _, n, _ in found] + [0] * window)
-    sums = np.convolve(size, np.ones(window, np.int64))[window - 1:][:len(found) + 1]
-    reach = min(threshold, int(sums.max()))
-    kept, k = [], 0
-    while k < len(found):
-        if reach and sums[k] >= reach and size[k]:
-            while k < len(found) and sums[k]:
-                if found[k][0]:
-                    kept.append(found[k][0])
-                k += 1
-        k += 1
-    return "\n".join(kept)
+    text, size, region = [bool(t) for t, _, _ in found], np.array([n for _, n, _ in found], np.int64), [r for _, _, r in found]
+    marked = any(t and r for t, r in zip(text, region))
+    # Without an article the largest window counts as a surge, however short it is.
+    largest = int(np.convolve(size, np.ones(window, np.int64)).max())
+    surges = blocks(size, text, window, threshold if marked else max(1, min(threshold, largest)))
+    length = [int(size[b].sum()) for b in surges]
+    trusted = believed(size, region, around, max([0, *(n for b, n in zip(surges, length) if not region[b[0]])])) if marked else {}
+    kept = {k for k, r in enumerate(region) if text[k] and r in trusted}
+    least = max([0, *trusted.values()])
+    for b, n in zip(surges, length):
+        if region[b[0]] or n >= least:
+            kept.update(b)
+    return "\n".join(found[k][0] for k in sorted(kept))
 
 
 def extract(pages: DataFrame, window: int = 3, threshold: int = 86) -> DataFrame:

@@ -37,6 +37,18 @@ def test_main_text(spark):
     assert line_blocks.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_a_small_article_does_not_hide_the_text_around_it():
+    text = f"<div><p>{LONG}</p><p>{LONG}</p><p>end</p></div>"
+    teaser = "<article><a href='/x'>More of this</a><p>Read on</p></article>"
+    body = "\n".join([LONG.strip(), LONG.strip(), "end"])
+    assert line_blocks.main_text(page(text, teaser)) == body
+    assert line_blocks.main_text(page(teaser, text, teaser)) == body
+    whole = page(f"<main><h1>Head</h1><article><p>{LONG}</p><p>x</p>{teaser}</article></main>", teaser, "<p>after</p>")
+    assert line_blocks.main_text(whole) == f"Head\n{LONG.strip()}\nx"
+    two = page(f"<article><p>{LONG * 20}</p></article><article><p>{LONG}</p></article>")
+    assert line_blocks.main_text(two) == f"{(LONG * 20).strip()}\n{LONG.strip()}"
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 16)) * rng.uniform(0.2, 2, (3000, 1))
