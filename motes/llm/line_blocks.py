@@ -12,6 +12,9 @@ and all, stands for one block of ``MARKED`` times its length.  It is believed if
 largest block outside and the largest other article; then blocks outside stay only if they hold as
 much text as it.  Any other article is read like the rest of the page, by surge and dive.
 
+An element whose class, id or role names such a part in a whole token is left out too, but no
+heading, and not if a window of its text is a surge and it weighs at least as much as the rest.
+
 Null and empty pages, and pages without such text, have the empty text.  White space inside a block
 is one space, also at a line break element; blocks are joined by one newline.  An element that is
 never closed ends where an article begins, or with the page.
@@ -33,7 +36,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(("address article blockquote body caption center dd details div dl dt figcaption figure footer form h1 h2 h3 "
                     "h4 h5 h6 head header hgroup hr html legend li main nav ol option p pre section summary table tbody td "
                     "tfoot th thead tr ul aside fieldset menu dialog").split())
-#: Words in class, id or role that name a part outside the article.
+#: Never judged by their class, id or role.
+PLAIN = frozenset("html body main h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Words whose tokens in class, id or role name a part outside the article.
 HINTS = frozenset(("ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion sidebar "
                    "side menu navbar nav navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup "
                    "modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
@@ -42,9 +47,9 @@ HINTS = frozenset(("ad ads advert adverts advertisement advertising adbox adslot
 #: Weight of text in a marked article beside other text.
 MARKED = 4
 OPEN = re.compile(r"[A-Za-z][^\s/>]*")
-NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![^\s"'/])([^\s=>"'/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 QUOTED = re.compile(r"""=\s*(["'])""")
-WORD = re.compile(r"[a-z]+")
+BORDER = re.compile(r"[\W\d_]+")
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -54,21 +59,37 @@ def _tag_end(page: str, at: int) -> int:
         if end < 0:
             return len(page)
         value = QUOTED.search(page, at, end)
-        close = page.find(value[1], value.end(), value.end() + 65_536) if value else -1
+        close = page.find(value[1], value.end()) if value else -1
         if close < 0:
             return end + 1
         at = close + 1
 
 
-def lines(page: str, window: int) -> tuple[list[tuple[str, int, int]], list[int]]:
-    """Text, length outside links and innermost marked article (0: none) of each line; the article around each article."""
+def hinted(tag: str) -> bool:
+    """Whether all words of one token of class, id or role are hints; ``tag`` is in lower case."""
+    for name, value in ATTRIBUTE.findall(tag):
+        if name in ("class", "id", "role"):
+            for token in value.strip("\"'").split():
+                words = [w for w in BORDER.split(token) if w]
+                if words and HINTS.issuperset(words):
+                    return True
+    return False
+
+
+def lines(page: str, window: int) -> tuple[list[tuple[str, int, int, int]], list[int], list[int]]:
+    """Text, length outside links, innermost marked article and innermost hinted element (0: none) of each line.
+
+    Then the article around each article and the hinted element around each hinted element.  The gap
+    before a hinted element has its number below zero.
+    """
     low = page.lower()
     if len(low) != len(page):  # a letter whose lower case is longer
         low = re.sub("[A-Z]+", lambda m: m[0].lower(), page)
-    out: list[tuple[str, int, int]] = []
+    out: list[tuple[str, int, int, int]] = []
     text: list[str] = []
     linked = [0, 0]  # open links, length of their text
-    around, inside = [0], [0]
+    around, inside, marks = [0], [0], [("", 0)]  # marks: name of each open article, hinted elements open around it
+    above, hints, named = [0], [("", 0)], {}  # hints: name and number of the open ones; named: place and depth by name
     drop, depth = "", 0
     at, n = 0, len(page)
 
@@ -76,10 +97,25 @@ def lines(page: str, window: int) -> tuple[list[tuple[str, int, int]], list[int]
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
             if line:
-                out.append((line, max(0, len(line) - linked[1]), inside[-1]))
+                out.append((line, max(0, len(line) - linked[1]), inside[-1], hints[-1][1]))
             text.clear()
             linked[1] = 0
 
+    def leave(count):
+        close()
+        while len(hints) > count:
+            name, _ = hints.pop()
+            if name:
+                named[name].pop()
+
+    def enter(name):
+        close()
+        above.append(hints[-1][1])
+        hints.append((name, len(above) - 1))
+        if name:
+            named.setdefault(name, []).append([len(hints) - 1, 1])
+        out.extend([("", 0, inside[-1], 1 - len(above))] * window)
+
     while at < n:
         lt = page.find("<", at)
         lt = n if lt < 0 else lt
@@ -108,8 +144,6 @@ def lines(page: str, window: int) -> tuple[list[tuple[str, int, int]], list[int]
             end = low.find(f"</{name}", at)
             at = n if end < 0 else _tag_end(page, end)
             continue
-        if drop == "p" and name in BLOCKS and not closing:
-            drop, depth = "", 0  # a paragraph ends where the next block begins
         if drop:
             if name == drop:
                 depth += -1 if closing else 1
@@ -119,7 +153,14 @@ def lines(page: str, window: int) -> tuple[list[tuple[str, int, int]], list[int]
                 drop, depth = "", 0
             else:
                 continue
-        if name in BLOCKS:
+        if hints[-1][0] == "p" and name in BLOCKS and not closing:
+            leave(len(hints) - 1)  # a paragraph ends where the next block begins
+        if named.get(name):
+            own = named[name][-1]
+            own[1] += -1 if closing else 1
+            if not own[1]:
+                leave(own[0])
+        if name in BLOCKS or name == "main":
             close()
         elif name == "br":
             text.append(" ")
@@ -127,24 +168,44 @@ def lines(page: str, window: int) -> tuple[list[tuple[str, int, int]], list[int]
             linked[0] = max(0, linked[0] + (-1 if closing else 1))
         if name in ("article", "main"):
             if not closing:
+                if name == "main" or all(m != "article" for m, _ in marks[-2:]):
+                    leave(1)  # never closed, or a frame around the article
+                marks.append((name, len(hints)))
                 around.append(inside[-1])
                 inside.append(len(around) - 1)
             elif len(inside) > 1:
+                leave(marks.pop()[1])
                 inside.pop()
-            out += [("", 0, inside[-1])] * window
+            out += [("", 0, inside[-1], hints[-1][1])] * window
         if closing or name in VOID or page[at - 2:at] == "/>":
             continue
         if name in DROPPED or name == "header" and not inside[-1] or name == "head":
             drop, depth = name, 1
-        elif name not in ("html", "body", "article", "main"):
-            marks = {w for a in NAMED.findall(low[lt:at]) for w in WORD.findall(a)}
-            if marks & HINTS:
-                drop, depth = name, 1
-        if drop:
             close()
-            out += [("", 0, inside[-1])] * window
+            out += [("", 0, inside[-1], hints[-1][1])] * window
+        elif name not in PLAIN and "=" in page[lt:at] and hinted(low[lt:at]):
+            enter("" if name == "article" else name)
     close()
-    return out, around
+    return out, around, above
+
+
+def left_in(found: list[tuple[str, int, int, int]], above: list[int], window: int, threshold: int) -> list[tuple[str, int, int]]:
+    """Lines without those of hinted elements, which stay if they have a surge and weigh no less than the rest."""
+    sizes: dict[int, list[int]] = {}
+    weight = [0] * len(above)
+    for text, n, r, g in found:
+        if text:
+            sizes.setdefault(g, []).append(n)
+            weight[g] += n * MARKED if r else n
+    rest, stay = weight[0], {0}
+    for g in sorted(sizes.keys() - {0}, key=lambda g: (-weight[g], g)):
+        if weight[g] < rest or np.convolve(sizes[g], np.ones(window, np.int64)).max() < threshold:
+            continue
+        while g not in stay:
+            stay.add(g)
+            rest += weight[g]
+            g = above[g]
+    return [(text, n, r) for text, n, r, g in found if (g in stay if text else g >= 0 or -g not in stay)]
 
 
 def blocks(size: np.ndarray, text: list[bool], window: int, threshold: int) -> list[list[int]]:
@@ -177,7 +238,8 @@ def believed(size: np.ndarray, region: list[int], around: list[int], outside: in
 def main_text(page: str | None, window: int = 3, threshold: int = 86) -> str:
     if not page:
         return ""
-    found, around = lines(page, window)
+    found, around, above = lines(page, window)
+    found = left_in(found, above, window, threshold)
     if not found:
         return ""
     text, size, region = [bool(t) for t, _, _ in found], np.array([n for _, n, _ in found], np.int64), [r for _, _, r in found]

@@ -49,6 +49,20 @@ def test_a_small_article_does_not_hide_the_text_around_it():
     assert line_blocks.main_text(two) == f"{(LONG * 20).strip()}\n{LONG.strip()}"
 
 
+def test_words_in_attributes_do_not_empty_an_article():
+    body = f"{LONG.strip()}\n{LONG.strip()}"
+    text = f"<p>{LONG}</p><p>{LONG}</p>"
+    ad = "<div class='x ad'>Buy it.</div>"
+    assert line_blocks.main_text(page(f"<article><h2 id='search-history'>Search</h2><h2 class=search>Find</h2>{text}</article>")) == f"Search\nFind\n{body}"
+    assert line_blocks.main_text(page(f"<article><section id='notice-of-meeting'>{text}</section>{ad}<p>x</p></article>")) == f"{body}\nx"
+    for mark in ("class='page with-sidebar'", "class='sidebar'", "data-id=share", "title='a class=ad b'", "data-role='search'"):
+        assert line_blocks.main_text(page(f"<div {mark}>{text}{ad}</div>")) == body, mark
+    assert line_blocks.main_text(page(f"<article>{text}<div class='comments'><article><p>r</p></article>s</div></article>")) == body
+    assert line_blocks.main_text(page(f"<div class='ad'>{LONG}</div><article><p>{LONG[:70]}</p></article>")) == LONG[:70].strip()
+    assert line_blocks.main_text(f"<article><p title='{'a > b ' * 20_000}'>{LONG}</p></article>") == LONG.strip()
+    assert line_blocks.main_text(page(f"<article>{text}</article><article class='related'><p>{LONG}</p></article>")) == body
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 16)) * rng.uniform(0.2, 2, (3000, 1))
