@@ -8,7 +8,8 @@
    every whole text.
 
 Examples are a bounded sample of the labelled rows that may be learned from: at most ``toxic_rows``
-and ``clean_rows`` different texts, the first by hash.  The lexicon holds at most ``lexicon`` terms.
+and ``clean_rows`` different texts, the first by hash.  The lexicon holds at most ``size`` terms; all
+of them are features of the classifier, and as many vote as add to the cover.
 Scores depend on the text alone.  Null and empty texts have no terms; repeated rows have equal
 scores.  Without examples of both classes every score is 0.
 """
@@ -86,58 +87,68 @@ def examples(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: in
 
 
 def lexicon(sample: DataFrame, size: int) -> tuple[list[str], int, int]:
-    """Terms that are at least 20 times as frequent in toxic examples, and the class sizes."""
+    """Terms of two toxic examples and more, at least 20 times as frequent in them, and the class sizes."""
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
         return [], toxic, clean
 
-    def counted(wanted):
-        def run(batches):
-            from collections import Counter
-
-            import pyarrow as pa
-            fresh_worker()
-            seen: Counter = Counter()
-            for _, found in in_batches(batches):
-                for t in found:
-                    own = {x for w in set(t.lower().split()) for x in terms_of(w)}
-                    seen.update(own if wanted is None else own & wanted)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
-        return run
-
-    def by_class(which, wanted=None):
+    def counted(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+        fresh_worker()
+        seen: Counter = Counter()
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+
+        for _, found in in_batches(batches):
+            for t in found:
+                seen.update({x for w in set(t.lower().split()) for x in terms_of(w)})
+                if len(seen) > 200_000:
+                    yield rows()
+                    seen.clear()
+        yield rows()
+
+    def by_class(which, name):
         rows = sample.where(f"toxic = {which}").select("doc_id", "text")
-        return rows.mapInArrow(counted(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        return rows.mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias(name))
 
-    least = max(3, toxic // 300)
-    often = by_class(1).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(size).collect()
-    there = {r["term"]: r["n"] for r in by_class(0, {r["term"] for r in often}).collect()}
-    ratio = {r["term"]: (r["n"] + 0.5) / (toxic + 1) / ((there.get(r["term"], 0) + 0.5) / (clean + 1)) for r in often}
-    return sorted(t for t, x in ratio.items() if x >= 20), toxic, clean
+    often = by_class(1, "n").where("n >= 2").join(by_class(0, "m"), "term", "left").where(
+        F.col("n") * clean >= 20 * toxic * F.coalesce("m", F.lit(0)))
+    return sorted(r["term"] for r in often.orderBy(F.desc("n"), "term").limit(size).select("term").collect()), toxic, clean
 
 
-def cover(fired: np.ndarray, clean: np.ndarray, names: list[str], most: int, times: int = 4) -> list[int]:
+def cover(toxic: list[np.ndarray], clean: np.ndarray, share: float, names: list[str], times: int = 4) -> list[int]:
     """Voters that cover the toxic examples up to ``times`` times each.
 
-    Each is the one that adds most; the longer term wins ties.  A term that fires on nearly the same
-    rows as a chosen one (its word, or a beginning of it) is not chosen again.
+    ``toxic`` holds the terms of each toxic example, ``clean`` the count of clean examples by term and
+    ``share`` the toxic examples to a clean one.  Each voter is the one that adds most, and at least
+    two examples; the longer term wins ties.  A term that fires on nearly the same rows as a chosen one
+    (its word, or a beginning of it) is not chosen again.
     """
-    need, chosen = np.full(len(fired), times), []
-    count = fired.sum(0)
+    size, need, chosen = len(names), np.full(len(toxic), times), []
+    col = np.concatenate(toxic) if toxic else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(toxic)), [len(t) for t in toxic])
+    by_term = np.split(row[np.argsort(col, kind="stable")], np.cumsum(np.bincount(col, minlength=size))[:-1])
+    count = np.bincount(col, minlength=size)
     # A share of the clean rows costs as much as ten times that share of the toxic ones.
-    cost = 10.0 * clean.sum(0) * len(fired) / max(1, len(clean))
+    gain = count - 10.0 * clean * share
     long = np.array([len(t.lstrip("=")) for t in names])
-    free = np.ones(len(names), bool)
-    least = max(2, len(fired) // 500)
-    while len(chosen) < most and free.any():
-        gain = np.where(free, fired[need > 0].sum(0) - cost, -np.inf)
-        k = max(range(len(names)), key=lambda k: (gain[k], long[k], -k))
-        if gain[k] < least:
+    free = np.ones(size, bool)
+    while free.any():
+        best = np.where(free, gain, -np.inf)
+        ties = np.flatnonzero(best == best.max())
+        k = int(ties[np.argmax(long[ties])])
+        if best[k] < 2:
             break
         chosen.append(k)
-        need -= fired[:, k]
-        both = fired[:, k].astype(np.int64) @ fired
+        rows = by_term[k]
+        both = np.bincount(np.concatenate([toxic[r] for r in rows]), minlength=size)
+        need[rows] -= 1
+        for r in rows[need[rows] == 0]:
+            gain[toxic[r]] -= 1
         free &= both < 0.7 * (count + count[k] - both)
     return chosen
 
@@ -149,40 +160,80 @@ def label_model(votes: np.ndarray, toward: np.ndarray, prior: float, rounds: int
     class come from EM; the weight of a voter is divided by one plus its correlations with the
     others inside the classes, so a group of copies speaks about as loud as one voter.
     """
-    base = votes.mean(0).clip(0.01, 0.99)
-    rate = np.stack([np.where(toward == 1, base * 0.3, base), np.where(toward == 1, np.minimum(0.9, base * 3), base)]).clip(0.001, 0.999)
+    n = len(votes)
+    least = min(0.0005, 0.25 / n)  # a voter that fires in a few rows still has a say
+    base = votes.mean(0, dtype=float).clip(least, 0.99)
+    rate = np.stack([np.where(toward == 1, base * 0.3, base), np.where(toward == 1, np.minimum(0.9, base * 3), base)]).clip(least, 0.999)
     weight = np.ones(votes.shape[1])
-    post = np.full(len(votes), prior)
+    post = np.full(n, prior)
+    total, pairs = votes.sum(0, dtype=float), votes.T @ votes
     for step in range(rounds):
-        log = [(votes * np.log(rate[c]) + (1 - votes) * np.log(1 - rate[c])) @ weight for c in (0, 1)]
+        log = [votes @ ((np.log(rate[c]) - np.log(1 - rate[c])) * weight).astype(votes.dtype) + np.log(1 - rate[c]) @ weight for c in (0, 1)]
         post = 1 / (1 + np.exp(np.clip(log[0] - log[1] + np.log((1 - prior) / prior), -60, 60)))
         for c, p in ((0, 1 - post), (1, post)):
-            rate[c] = ((p @ votes + 0.5 * base) / (p.sum() + 0.5)).clip(0.0005, 0.9995)
+            rate[c] = ((p.astype(votes.dtype) @ votes + 0.5 * base) / (p.sum() + 0.5)).clip(least, 0.9995)
         if step >= 5:
-            left = votes - rate[0] - np.outer(post, rate[1] - rate[0])
-            spread = np.sqrt((left ** 2).mean(0)) + 1e-9
-            corr = (left.T @ left) / len(left) / np.outer(spread, spread)
-            np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + np.clip(corr, 0, 1).sum(1))
+            # Sums of products of what the rates leave unexplained: the counted pairs and four outer products.
+            a, d, pv = rate[0], rate[1] - rate[0], (post.astype(votes.dtype) @ votes).astype(float)
+            left = np.stack([total, a, pv, d], 1)
+            right = np.stack([-a, n * a + post.sum() * d - total, -d, post.sum() * a + post @ post * d - pv], 1)
+            spread = np.sqrt(np.maximum(0, np.diag(pairs) + (left * right).sum(1)) / n) + 1e-9
+            for k in range(0, len(weight), 512):
+                corr = (pairs[k:k + 512] + left[k:k + 512] @ right.T) / n / np.outer(spread[k:k + 512], spread)
+                corr[np.arange(len(corr)), np.arange(k, k + len(corr))] = 0
+                weight[k:k + 512] = 1 / (1 + np.clip(corr, 0, 1).sum(1))
     return post
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
-    """Weights and bias (last) by Newton steps on soft labels."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
-    w = np.zeros(x.shape[1])
-    keep = np.full(x.shape[1], ridge)
+def logistic(rows: list[np.ndarray], size: int, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
+    """Weights of ``size`` features and bias (last) by Newton steps on soft labels; rows list their features.
+
+    The steps are found by conjugate gradients, so no matrix over the features is made.
+    """
+    n = len(rows)
+    row = np.concatenate([np.repeat(np.arange(n), [len(r) for r in rows]), np.arange(n)])
+    col = np.concatenate([*rows, np.full(n, size)]).astype(np.int64)
+    keep = np.full(size + 1, ridge)
     keep[-1] = 1e-3
+
+    def times(w):
+        return np.bincount(row, w[col], n)
+
+    def back(u):
+        return np.bincount(col, u[row], size + 1)
+
+    def loss(w):
+        z = times(w)
+        return (np.logaddexp(0, z) - y * z).sum() + (keep * w * w).sum() / 2
+
+    w = np.zeros(size + 1)
+    last = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
-        w += step
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        curve = p * (1 - p) + 1e-6
+        scale = back(curve) + keep
+        left = back(y - p) - keep * w
+        step, z = np.zeros(size + 1), left / scale
+        way, now = z, left @ z
+        goal = now * 1e-10
+        for _ in range(200):
+            if now <= goal:
+                break
+            bent = back(curve * times(way)) + keep * way
+            far = now / (way @ bent)
+            step, left = step + far * way, left - far * bent
+            z = left / scale
+            now, before = left @ z, now
+            way = z + now / before * way
+        while (new := loss(w + step)) > last and np.abs(step).max() > 1e-6:
+            step /= 2
+        w, last = w + step, new
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fitted(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int, size: int, voters: int):
+def fitted(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int, size: int):
     """(terms, weights with patterns and bias) or None without examples of both classes."""
     sample = examples(docs, labels, toxic_rows, clean_rows)
     names, toxic, clean = lexicon(sample, size)
@@ -200,23 +251,26 @@ def fitted(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int,
     rows = sample.orderBy("doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(
         found, "toxic int, terms array<long>, forms array<boolean>").collect()  # at most toxic_rows + clean_rows
     y = np.array([r["toxic"] for r in rows])
-    fired = np.zeros((len(rows), len(names)), bool)
-    for k, r in enumerate(rows):
-        fired[k, r["terms"]] = True
+    terms = [np.array(r["terms"], np.int64) for r in rows]
     forms = np.array([r["forms"] for r in rows], bool).reshape(len(rows), PATTERNS)
-    chosen = cover(fired[y == 1], fired[y == 0], names, voters) if names else []
-    own = fired[:, chosen]
-    silent = ~own.any(1, keepdims=True)
-    votes = np.concatenate([own, silent, forms], 1).astype(float)
+    in_clean = np.bincount(np.concatenate([t for t, c in zip(terms, y) if not c] or [np.zeros(0, np.int64)]), minlength=len(names))
+    chosen = cover([t for t, c in zip(terms, y) if c], in_clean, (y == 1).sum() / max(1, (y == 0).sum()), names) if names else []
+    place = np.full(len(names), -1)
+    place[chosen] = np.arange(len(chosen))
+    votes = np.zeros((len(rows), len(chosen) + 1 + PATTERNS), np.float32)
+    for k, t in enumerate(terms):
+        votes[k, [v for v in place[t] if v >= 0]] = 1
+    votes[:, len(chosen)] = ~votes.any(1)
+    votes[:, len(chosen) + 1:] = forms
     toward = np.array([1] * len(chosen) + [0] + [1] * PATTERNS)
     post = label_model(votes, toward, float(np.clip(y.mean(), 0.01, 0.99)))
-    return [names[k] for k in chosen], logistic(np.concatenate([own, forms], 1).astype(float), post)
+    own = [np.concatenate([t, len(names) + np.flatnonzero(f)]) for t, f in zip(terms, forms)]
+    return names, logistic(own, len(names) + PATTERNS, post)
 
 
-def scores(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows: int = 5000, size: int = 20_000,
-           voters: int = 64) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows: int = 5000, size: int = 20_000) -> DataFrame:
     """``docs`` with its columns and ``toxic_score`` (0 to 1) of every row."""
-    model = fitted(docs, labels, toxic_rows, clean_rows, size, voters)
+    model = fitted(docs, labels, toxic_rows, clean_rows, size)
     columns = docs.columns
     if model is None:
         return docs.withColumn("toxic_score", F.lit(0.0))

@@ -203,6 +203,24 @@ def test_toxicity_learns_words_and_beginnings(spark):
     assert toxicity.judged(docs.limit(0), lab).collect() == []
 
 
+def test_toxicity_of_a_wide_vocabulary(spark):
+    rng = random.Random(8)
+    clean = ["".join(rng.choice("abcdefghijklmnoprst") for _ in range(rng.randint(3, 8))) for _ in range(600)]
+    rude = ["".join(rng.choice("quvwxyz") for _ in range(rng.randint(6, 9))) for _ in range(100)]
+    rows, labels = [], []
+    for k in range(4000):
+        w = rng.choices(clean, k=rng.randint(20, 60))
+        if k % 4 == 0:
+            w[rng.randrange(len(w))] = rude[k // 4 % 100]
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(k % 4 == 0)))
+    got = toxicity.judged(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [r for r in got if r.held_out]
+    found = [r.predicted for r in held if r.doc_id % 4 == 0]
+    assert len(found) > 200 and sum(found) >= 0.95 * len(found), (sum(found), len(found))
+    assert sum(r.predicted for r in held if r.doc_id % 4) <= 0.02 * len(held)
+
+
 def test_label_model_finds_the_informative_voters():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
