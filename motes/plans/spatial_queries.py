@@ -383,7 +383,7 @@ def knn_communities(spark, sf):
     """Communities of the neighbour graph of all detections in one plane, with their modularity."""
     d = detections(spark, sf).select(F.lit(1).alias("all"), "id", *spatial.XY)
     e = graph.knn_edges(d, ["all"], spatial.XY, 8)
-    labels = graph.communities(e, 6, 10)
+    labels = graph.communities(e, 6)
     size = labels.groupBy("community").agg(F.count("*").alias("objects"))
     return size.join(F.broadcast(graph.modularity(e, labels)), F.lit(True))
 

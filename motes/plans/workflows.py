@@ -47,7 +47,7 @@ def object_statistics(raw: DataFrame, *, nan_threshold: float = 0.5, use_filtere
     ref = reference or default_reference(valid)
     feats = learn.features(work, learn.feature_source(schema))
     coords, variance = learn.pca(feats, valid, min(2, len(valid)))
-    labels, _ = learn.kmeans(coords, [c for c in coords.columns if c.startswith("pc")], clusters, restarts=3)
+    labels, _ = learn.kmeans(coords, [c for c in coords.columns if c.startswith("pc")], clusters)
     compared = compare.compare_samples(matrix.long_form(normalized, list(source)))
     out = {
         "cleaned": df, "qc_filtered": filtered, "qc_summary": qc.qc_summary(df, preds),

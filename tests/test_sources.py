@@ -45,6 +45,19 @@ def test_object_table_end_to_end(spark, tmp_path):
     assert doc["total_objects"] == 240 and doc["samples"] == ["A", "B", "C"]
 
 
+def test_labels_come_from_all_restarts_and_iterations(spark, sf, tmp_path, monkeypatch):
+    from motes.operators import graph
+    from motes.plans import spatial_queries
+    seeds, rounds = [], []
+    kmeans, power = learn.KMeans, graph.PowerIterationClustering
+    monkeypatch.setattr(learn, "KMeans", lambda **kw: seeds.append(kw["seed"]) or kmeans(**kw))
+    monkeypatch.setattr(graph, "PowerIterationClustering", lambda **kw: rounds.append(kw["maxIter"]) or power(**kw))
+    object_csv(tmp_path / "o.csv", n=60)
+    workflows.object_statistics(tables.read_table(spark, str(tmp_path / "o.csv")), binarize="matrix", percentile=60.0, draws=5, clusters=2)
+    spatial_queries.knn_communities(spark, sf)
+    assert len(set(seeds)) == 10 and rounds == [20]
+
+
 def test_strict_and_lenient_cells(spark):
     cols = {c: "1" for c in ("sample", "position", "centroid_x", "centroid_y", "area", "perimeter", "circularity", "p_score")}
     def frame(**kw):
