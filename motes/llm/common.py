@@ -102,6 +102,12 @@ class _Slots(dict):
         return slot
 
 
+def numbered(lists: list[list], total: int) -> np.ndarray:
+    """The items of all lists as numbers, equal items with equal ones."""
+    get = _Slots().__getitem__
+    return np.fromiter((n for items in lists for n in map(get, items)), np.int64, total)
+
+
 class PieceEncoder:
     """Whole texts to ids; every distinct piece between single spaces is encoded once per worker.
 
