@@ -19,6 +19,14 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
+def reserved(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as keep it apart from ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see, under ``spark.checkpoint.dir``.
 
@@ -108,28 +116,47 @@ def numbered(lists: list[list], total: int) -> np.ndarray:
     return np.fromiter((n for items in lists for n in map(get, items)), np.int64, total)
 
 
+#: Bytes of pieces that a worker of an operator remembers.
+PIECES = 256_000_000
+#: Bytes of a remembered piece besides its characters and ids: dictionary entry, string header, numbers.
+PIECE_BYTES = 220
+
+
 class PieceEncoder:
     """Whole texts to ids; every distinct piece between single spaces is encoded once per worker.
 
     A space with non-space characters on both sides is always a border between pre-tokens, so the
     ids of a text are those of its pieces, one after the other.  ``spaced`` vocabularies keep the
     space at the front of the piece; the others drop white space.  Pieces that begin or end with
-    white space make their text take the general split.  The memory of pieces starts afresh when
-    it holds ``limit`` characters.
+    white space make their text take the general split.  The memory of pieces holds ``limit`` bytes;
+    beyond that the pieces used least go until half of it is free, and the counts of use are halved.
     """
 
-    def __init__(self, encode, spaced: bool, limit: int = 10_000_000):
+    def __init__(self, encode, spaced: bool, limit: int):
         self.encode, self.spaced, self.limit = encode, spaced, limit
-        self._clear()
-
-    def _clear(self):
         self.slots, self.held = _Slots(), 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 12, np.int64)
         self.lens = np.zeros(1 << 12, np.int64)
         self.odd = np.zeros(1 << 12, bool)
+        self.uses = np.zeros(1 << 12, np.int64)
         self.used = 0
 
+    def _evict(self):
+        n = len(self.slots)
+        pieces, uses, lens = list(self.slots), self.uses[:n], self.lens[:n]
+        size = np.fromiter(map(len, pieces), np.int64, n) + 4 * lens + PIECE_BYTES
+        order = np.argsort(-uses, kind="stable")
+        kept = np.sort(order[np.cumsum(size[order]) <= self.limit // 2])
+        self.slots = _Slots()
+        self.slots.update(zip((pieces[k] for k in kept.tolist()), range(len(kept))))
+        flat = self.flat[ragged(self.start[kept], lens[kept])]
+        self.used, self.held = len(flat), int(size[kept].sum())
+        self.flat = np.concatenate([flat, np.zeros(1 << 16, np.uint32)])
+        uses, lens, odd = uses[kept] // 2, lens[kept], self.odd[kept]
+        room = (0, len(kept) + (1 << 12))
+        self.uses, self.lens, self.odd, self.start = (np.pad(a, room) for a in (uses, lens, odd, np.cumsum(lens) - lens))
+
     def _fill(self):
         new = self.slots.new
         if not new:
@@ -141,7 +168,7 @@ class PieceEncoder:
         total = self.used + int(lens.sum())
         if n > len(self.start):
             size = max(n, 2 * len(self.start))
-            self.start, self.lens, self.odd = (np.resize(a, size) for a in (self.start, self.lens, self.odd))
+            self.start, self.lens, self.odd, self.uses = (np.pad(a, (0, size - len(a))) for a in (self.start, self.lens, self.odd, self.uses))
         if total > len(self.flat):
             self.flat = np.resize(self.flat, max(total, 2 * len(self.flat)))
         self.flat[self.used:total] = np.fromiter((i for f in found for i in f), np.uint32, total - self.used)
@@ -149,7 +176,7 @@ class PieceEncoder:
         self.start[at:n] = self.used + np.cumsum(lens) - lens
         self.odd[at:n] = [p[1:2].isspace() or p[-1:].isspace() if p[:1] == " " else p[-1:].isspace() for p in new]
         self.used = total
-        self.held += sum(map(len, new)) + 8 * len(new)
+        self.held += sum(map(len, new)) + 4 * int(lens.sum()) + PIECE_BYTES * len(new)
 
     def _split(self, text: str) -> list[str]:
         """The general split, for texts in which white space stands side by side."""
@@ -164,7 +191,7 @@ class PieceEncoder:
     def __call__(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and the number of ids of each text."""
         if self.held > self.limit:
-            self._clear()
+            self._evict()
         get = self.slots.__getitem__
         per = []
         for t in batch:
@@ -182,6 +209,9 @@ class PieceEncoder:
             self._fill()
         counts = np.array([len(s) for s in per], np.int64)
         slots = np.concatenate(per) if per else np.zeros(0, np.int64)
+        if len(slots):
+            seen = np.bincount(slots)
+            self.uses[:len(seen)] += seen
         lens = self.lens[slots]
         ids = self.flat[ragged(self.start[slots], lens)]
         ends = np.concatenate([[0], np.cumsum(lens)])
@@ -190,13 +220,13 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=4)
-def library_encoder(path: str, spaced: bool) -> PieceEncoder:
-    """The encoder of a vocabulary file of the tokenizers library, one per worker."""
+def library_encoder(path: str, spaced: bool, limit: int = PIECES) -> PieceEncoder:
+    """The encoder of a vocabulary file of the tokenizers library, one per worker; its pieces hold ``limit`` bytes."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
-    return PieceEncoder(lambda new: [e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False)], spaced)
+    return PieceEncoder(lambda new: [e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False)], spaced, limit)
 
 
 def fresh_worker() -> None:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motes.llm.common import in_batches, library_encoder, shared_folder, texts, token_path, written
+from motes.llm.common import PIECES, in_batches, library_encoder, shared_folder, texts, token_path, written
 
 DIRECTORY, SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 NO_ID = -(1 << 63)
@@ -113,8 +113,11 @@ def open_file(path: str):
 
 
 def write(docs: DataFrame, folder: str, vocab: str | None = None, end_id: int = 2, frame_tokens: int = 1 << 16,
-          level: int = 3) -> DataFrame:
-    """Writes the files and returns their list: range number, path, documents, tokens, bytes."""
+          level: int = 3, memory: int = PIECES) -> DataFrame:
+    """Writes the files and returns their list: range number, path, documents, tokens, bytes.
+
+    ``memory``: bytes of encoded words a worker remembers.
+    """
     path = vocab or token_path("byte_bpe_50k.json")
 
     def run(batches):
@@ -126,7 +129,7 @@ def write(docs: DataFrame, folder: str, vocab: str | None = None, end_id: int =
         store, at = fs.FileSystem.from_uri(folder)
         store.create_dir(at, recursive=True)
         own, final = f"{at}/attempt-{task.taskAttemptId()}", f"{at}/part-{part:06d}.tok"
-        encode = library_encoder(path, True)
+        encode = library_encoder(path, True, memory)
         docs_n = tokens = 0
         keys, counts, held = [], [], []
 

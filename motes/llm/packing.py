@@ -18,7 +18,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from motes.llm.common import in_batches, library_encoder, texts, token_path
+from motes.llm.common import PIECES, in_batches, library_encoder, texts, token_path
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, sequence_cost double")
@@ -63,17 +63,18 @@ def place(pieces: list[tuple[int, int]], capacity: int, linear: float, quadratic
 
 
 def pack(docs: DataFrame, vocab: str | None = None, capacity: int = 4096, end_id: int = 2, linear: float = 1.0,
-         quadratic: float = 1 / 4096, group: int = 128, with_ids: bool = False) -> DataFrame:
+         quadratic: float = 1 / 4096, group: int = 128, with_ids: bool = False, memory: int = PIECES) -> DataFrame:
     """One row per piece: document, place in the document, place in its sequence, checksum, cost of the sequence.
 
     ``group``: sequences that are balanced at a time.  ``with_ids`` adds the piece's ids.
+    ``memory``: bytes of encoded words a worker remembers.
     """
     path = vocab or token_path("word_bpe_49k.json")
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
-        encode = library_encoder(path, False)
+        encode = library_encoder(path, False, memory)
         base = TaskContext.get().partitionId() << 40
         made = 0
         #: Each waiting document: [doc_id, its remaining ids, ids before them, all its ids].

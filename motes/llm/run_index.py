@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motes.llm.common import fresh_worker, written
+from motes.llm.common import fresh_worker, reserved, written
 from motes.llm.minhash import MIX
 
 POSITION = np.uint64((1 << 24) - 1)
@@ -294,18 +294,19 @@ def repeats(src: DataFrame, length: int, ks: list[int], hot: int) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Adds what tells texts apart in the joins: the hash of the text and the id."""
+    """The columns of ``docs`` as one struct, and what tells texts apart in the joins: the hash of the text and the id."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"r1": F.xxhash64(text), "r2": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
-                             "body": text.cast("binary")})
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.xxhash64(text).alias("r1"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("r2"), text.cast("binary").alias("body"))
 
 
 def without_repeats(docs: DataFrame, length: int = 400, ks: tuple[int, ...] = (32, 369, 400), hot: int = 1000,
                     text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (byte start and end) of every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the removed spans (byte start and end) and the text left of every row.
 
     ``ks``: k-mer lengths, the last one ``length``.  ``text=True`` returns the columns of ``docs``
-    instead, with the rest of each text; a character that is removed in part stays whole.
+    instead, whatever their names, with the rest of each text.  In a text left, a character that is
+    removed in part stays whole.
     """
     src = keyed(docs)
     found = repeats(src, length, list(ks), hot).groupBy("r1", "r2").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
@@ -327,11 +328,11 @@ def without_repeats(docs: DataFrame, length: int = 400, ks: tuple[int, ...] = (3
                 lo, n = removed(marks, len(t))
                 kept = _kept(t, lo, n)
                 out.append((key, len(t), len(t) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(),
-                            np.stack([lo, lo + n], 1).reshape(-1).tolist()))
-            cols = list(zip(*out)) or [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64())]
+                            np.stack([lo, lo + n], 1).reshape(-1).tolist(), _kept(t, *_inward(t, lo, n)).decode()))
+            cols = list(zip(*out)) or [()] * 7
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+                                             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"])
 
     def rest(batches):
         import pyarrow as pa
@@ -346,9 +347,10 @@ def without_repeats(docs: DataFrame, length: int = 400, ks: tuple[int, ...] = (3
 
     joined = src.join(found, ["r1", "r2"], "left")
     if text:
-        return joined.select(*columns, "body", "marks").mapInArrow(rest, docs.schema)
-    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "body", "marks").mapInArrow(
-        digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+        extra = [F.col(c).alias(reserved(columns, c)) for c in ("body", "marks")]
+        return joined.select("own.*", *extra).mapInArrow(rest, docs.schema)
+    return joined.select(F.col("own.doc_id").cast("long").alias("doc_id"), "body", "marks").mapInArrow(
+        digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, text string")
 
 
 def _kept(t: bytes, lo: np.ndarray, n: np.ndarray) -> bytes:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from motes.llm.common import _Slots, fresh_worker, in_batches, texts, written
+from motes.llm.common import _Slots, fresh_worker, in_batches, reserved, texts, written
 
 EDGE = ".,!?;:*%$#&\"'()[]{}<>|"
 SHORTEST, LONGEST = 3, 8
@@ -268,12 +268,14 @@ def fitted(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int,
     return names, logistic(own, len(names) + PATTERNS, post)
 
 
-def scores(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows: int = 5000, size: int = 20_000) -> DataFrame:
-    """``docs`` with its columns and ``toxic_score`` (0 to 1) of every row."""
+def scores(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows: int = 5000, size: int = 20_000, score: str = "toxic_score") -> DataFrame:
+    """``docs`` with its columns and ``score`` (0 to 1) of every row; the name must not be one of theirs."""
+    if reserved(docs.columns, score) != score:
+        raise ValueError(f"there is a column {score} already")
     model = fitted(docs, labels, toxic_rows, clean_rows, size)
     columns = docs.columns
     if model is None:
-        return docs.withColumn("toxic_score", F.lit(0.0))
+        return docs.withColumn(score, F.lit(0.0))
     names, w = model
 
     def run(batches):
@@ -288,9 +290,9 @@ def scores(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_row
                 for t, f in zip(part, find(part)):
                     out.append(w[-1] + w[f].sum() + w[len(names):-1][patterns(t)].sum())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(np.array(out, float), -60, 60))))],
-                                             [*columns, "toxic_score"])
+                                             [*columns, score])
 
-    schema = StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

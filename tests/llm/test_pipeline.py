@@ -80,3 +80,19 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_leave_columns_of_any_name_alone(spark, tmp_path):
+    make(spark, str(tmp_path))
+    names = ["row", "r1", "r2", "body", "marks", "toxic_score", "kept_id", "size", "own", "a", "b", "Want", "key"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs = docs.selectExpr("*", *[f"doc_id % 5 as {n}" if n == "size" else f"concat('{n}', doc_id) as {n}" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before = docs.columns
+        docs = written(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == before
+        rows = docs.collect()
+        assert len(rows) > 50, name
+        for r in rows:
+            assert all(r[n] == (r.doc_id % 5 if n == "size" else f"{n}{r.doc_id}") for n in names), name
+    assert written(corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path))).count() >= len(rows)

@@ -40,6 +40,19 @@ def test_pieces_give_the_ids_of_the_library(name, spaced):
         assert np.array_equal(want, ids[e - n:e])
 
 
+@pytest.mark.parametrize("name,spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_a_full_memory_keeps_what_is_used(name, spaced):
+    rng = random.Random(3)
+    often = ["".join(rng.choice("abcdé,") for _ in range(5)) for _ in range(40)]
+    texts = [" ".join(rng.choice(often) if rng.random() < .7 else "".join(rng.choice("abcdefg") for _ in range(8)) for _ in range(60)) for _ in range(300)]
+    whole = library_encoder(token_path(name), spaced)(texts)
+    small = library_encoder(token_path(name), spaced, 60_000)
+    parts = [small(texts[k:k + 10]) for k in range(0, 300, 10)]
+    assert small.held <= 2 * 60_000 and len(small.slots) < 600
+    assert sum(w in small.slots or " " + w in small.slots for w in often) > 30
+    assert np.array_equal(np.concatenate([p[0] for p in parts]), whole[0]) and np.array_equal(np.concatenate([p[1] for p in parts]), whole[1])
+
+
 def test_packing_holds_every_id_once_and_pads_nothing(table):
     texts, df = table
     want = library("word_bpe_49k.json", texts, [2])
