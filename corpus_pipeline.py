@@ -11,12 +11,14 @@ from functools import wraps
 from pyspark.sql import functions as F
 
 from motes.llm import minhash, packing, personal, run_index, toxicity
-from motes.llm.common import discard, recorded, written
+from motes.llm.common import discard, recorded, reserved, written
 
 #: A document scored at least this toxic is rejected.
 TOXIC = 0.3
 #: Repeats of this many bytes are removed; fifty words of prose are longer.
 REPEAT = 200
+#: Bytes of encoded words a worker of the last stage remembers; it still holds memory of the stages before.
+PIECES = 128_000_000
 
 
 #: Intermediate tables of the stage that ran last.
@@ -44,7 +46,8 @@ def _measured(docs):
 def clean(spark, docs, sf_dir):
     """Documents that are not toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.scores(docs, labels).where(F.col("toxic_score") < TOXIC).select(*docs.columns)
+    score = reserved(docs.columns, "toxic_score")
+    return toxicity.scores(docs, labels, score=score).where(F.col(score) < TOXIC).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @stage
@@ -70,7 +73,7 @@ def private(spark, docs, sf_dir):
 @stage
 def packed(spark, docs, sf_dir):
     """Pieces of documents in token sequences of balanced cost."""
-    return packing.pack(docs)
+    return packing.pack(docs, memory=PIECES)
 
 
 STAGES = [("toxicity", clean), ("near_duplicates", distinct), ("repeats", unrepeated), ("personal_data", private), ("packing", packed)]
