@@ -4,56 +4,125 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.clustering import PowerIterationClustering
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from motes.functions.scalars import normalized_combination
 from motes.operators.spatial import k_nearest
-from motes.session import checkpoint
-
-
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """``node`` -> ``component`` (the smallest node in reach).
-
-    ``edges`` has columns ``a`` and ``b`` of one orderable type, structs included.
-    Alternates the large-star and small-star steps of Kiveris et al. (2014): a hub
-    is pre-aggregated map-side and its edges are never paired with each other.
-    Nodes without an edge form components of their own when ``nodes`` is given.
+from motes.session import checkpoint, saved
+
+
+#: Edges a task contracts at a time, and the most that are left to a single task.
+PIECE = 1_000_000
+
+
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b) and the smallest node each one reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[:len(a)], at[len(a):]
+    parent = np.arange(len(nodes))
+    while len(u):
+        hi, lo = np.maximum(parent[u], parent[v]), np.minimum(parent[u], parent[v])
+        open_ = hi != lo
+        # each root hangs itself under the smallest one next to it, then paths are made short
+        np.minimum.at(parent, hi[open_], lo[open_])
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                break
+            parent = up
+        u, v = u[open_], v[open_]
+    return nodes, nodes[parent]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (hi, lo) of every task replaced by stars around the smallest node of each of its components."""
+    def contract(batches):
+        import pyarrow as pa
+        held, count = [], 0
+
+        def stars():
+            hi, lo = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in (0, 1))
+            node, root = _roots(hi, lo)
+            leaf = node != root
+            return pa.RecordBatch.from_arrays([pa.array(node[leaf]), pa.array(root[leaf])], names=["hi", "lo"])
+        for b in batches:
+            held.append(b)
+            count += b.num_rows
+            if count >= PIECE:
+                yield stars()
+                held, count = [], 0
+        if count:
+            yield stars()
+    return edges.select("hi", "lo").mapInArrow(contract, "hi long, lo long")
+
+
+def _rounds(e: DataFrame) -> DataFrame:
+    """Large-star and small-star steps on distinct edges (hi, lo) until every edge leads to a root.
+
+    Minima are plain tables, so both sides of each join are, and AQE can split the edges of a hub.
     """
-    e = edges.where(F.col("a") != F.col("b")).select(
-        F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    e = checkpoint(e)
     state = _fingerprint(e)
     while True:
-        e = checkpoint(_stars(e))
+        # small star: a node and its smaller neighbours point at the smallest of them
+        low = saved(e.groupBy("hi").agg(F.min("lo").alias("m")))
+        j = e.join(low, "hi")
+        e = saved(j.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where(F.col("hi") != F.col("lo"))
+                  .union(low.select("hi", F.col("m").alias("lo"))).distinct())
+        # large star: larger neighbours of a node point at the smallest node it sees
+        low = saved(e.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("m")))
+        e = saved(e.join(low, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct())
         now = _fingerprint(e)
         if now == state:
-            break
+            return e
         state = now
-    low = e.groupBy("hi").agg(F.min("lo").alias("component"))
-    found = low.select(F.col("hi").alias("node"), "component")
-    roots = e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-    roots = roots.join(found.select("node"), "node", "left_anti")
-    out = found.union(roots)
+
+
+def _long_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes with an edge (hi, lo) of longs; all but the roots, and these too."""
+    e = edges.where(F.col("hi") != F.col("lo")).select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo"))
+    # Ranges of both ends keep neighbours together and deal out the edges of a hub.
+    for ends in (("lo", "hi"), ("hi", "lo")):
+        e = saved(_contracted(e.repartitionByRange(*ends).sortWithinPartitions(*ends)))
+        if e.count() <= PIECE:
+            break
+    if e.count() > PIECE:
+        e = _rounds(saved(e.distinct()))
+    else:
+        e = saved(_contracted(e.coalesce(1)))
+    return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
+        e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+
+
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """``node`` -> ``component`` (the smallest node in reach).
+
+    ``edges`` has columns ``a`` and ``b`` of one orderable type, structs included (they are
+    numbered in their order first).  Every task contracts the edges it holds to stars; what is left
+    is solved by one task if it fits, else by the alternating large-star and small-star steps of
+    Kiveris et al. (2014).  No step gathers the edges of a hub.  Nodes without an edge form
+    components of their own when ``nodes`` is given.
+    """
+    kind = edges.schema["a"].dataType
+    if isinstance(kind, (LongType, IntegerType)):
+        found = _long_components(edges.select(F.col("a").cast("long").alias("hi"), F.col("b").cast("long").alias("lo")))
+        out = found.select(F.col("node").cast(kind).alias("node"), F.col("component").cast(kind).alias("component"))
+    else:
+        ends = saved(edges.select("a", "b").where(F.col("a") != F.col("b")))
+        names = ends.select(F.col("a").alias("node")).union(ends.select(F.col("b").alias("node"))).distinct()
+        names = saved(names.repartitionByRange("node").sortWithinPartitions("node").withColumn("id", F.monotonically_increasing_id()))
+        one, two = names.select(F.col("node").alias("a"), F.col("id").alias("hi")), names.select(F.col("node").alias("b"), F.col("id").alias("lo"))
+        found = _long_components(ends.join(one, "a").join(two, "b").select("hi", "lo"))
+        root = names.select(F.col("id").alias("root"), F.col("node").alias("component"))
+        out = found.select(F.col("node").alias("id"), F.col("component").alias("root")).join(names, "id").join(root, "root").select("node", "component")
     if nodes is None:
         return out
     return nodes.select("node").join(out, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _stars(e: DataFrame) -> DataFrame:
-    """One small-star and one large-star step on edges (hi, lo)."""
-    # a node and its smaller neighbours point at the smallest of them
-    low = e.groupBy("hi").agg(F.min("lo").alias("m"))
-    j = e.join(low, "hi")
-    e = (j.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where(F.col("hi") != F.col("lo"))
-         .union(low.select("hi", F.col("m").alias("lo"))).distinct())
-    # larger neighbours of a node point at the smallest node it sees; a node that
-    # sees nothing smaller than itself keeps its edges untouched
-    low = e.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("m"))
-    return e.join(low, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
-
-
 def _fingerprint(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
 

@@ -9,13 +9,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motes.operators.graph import connected_components
 from motes.operators.ordering import row_numbers
 from motes.operators.spatial import XY, k_nearest
-from motes.session import checkpoint
+from motes.session import checkpoint, saved
 
+#: Edges of a piece that a task solves at once.
+PIECE = 500_000
 #: Neighbours listed per object before the lists are rebuilt from what is left.
 LIST = 6
 
@@ -110,7 +114,7 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], limit: floa
             .groupBy(*keys, "left_id", "right_id").agg(
                 F.first("distance").alias("distance"), F.bool_or("_l").alias("_l"), F.bool_or("_r").alias("_r"))
             .na.fill(False, ["_l", "_r"]).withColumn("_hit", F.lit(False)))
-        found = _rounds(edges, keys)
+        found = _matched(edges, keys)
         parts.extend(found)
         new = reduce(DataFrame.unionByName, found)
         # only a free object with a full list may still have unseen partners
@@ -128,6 +132,121 @@ def _stalled(edges: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame
     return full.join(side(matched, "left_id").union(side(matched, "right_id")), [*keys, "_side", "_id"], "left_anti")
 
 
+def _solved(l: np.ndarray, r: np.ndarray, d: np.ndarray, own_l: np.ndarray, own_r: np.ndarray) -> list[int]:
+    """Edges (l, r, d) that mutual-best rounds over fixed lists take, by a work list instead of rounds.
+
+    ``own_l`` and ``own_r`` mark the edges in the lists of the left and of the right end.  A pair that
+    is the best of both ends stays so whatever is matched before it, hence the order does not matter.
+    """
+    def lists(near, far, own):
+        """Per node its own edges, best first."""
+        mine, order = [[] for _ in range(int(near.max()) + 1)], np.lexsort((far, d))
+        order = order[own[order]]
+        for node, k in zip(near[order].tolist(), order.tolist()):
+            mine[node].append(k)
+        return mine
+    a_, b_ = l.tolist(), r.tolist()
+    left, right = lists(l, r, own_l), lists(r, l, own_r)
+    seen_by_left, seen_by_right = [[] for _ in right], [[] for _ in left]
+    for k in np.flatnonzero(own_l).tolist():
+        seen_by_left[b_[k]].append(a_[k])
+    for k in np.flatnonzero(own_r).tolist():
+        seen_by_right[a_[k]].append(b_[k])
+    at_l, at_r, gone_l, gone_r = [0] * len(left), [0] * len(right), [False] * len(left), [False] * len(right)
+
+    def best(mine, at, gone, node, far):
+        k = at[node]
+        while k < len(mine[node]) and gone[far[mine[node][k]]]:
+            k += 1
+        at[node] = k
+        return mine[node][k] if k < len(mine[node]) else -1
+    taken, todo = [], list(range(len(left)))[::-1]
+    while todo:
+        u = todo.pop()
+        if gone_l[u]:
+            continue
+        e = best(left, at_l, gone_r, u, b_)
+        if e < 0:
+            continue
+        v = b_[e]
+        if best(right, at_r, gone_l, v, a_) != e:
+            continue
+        taken.append(e)
+        gone_l[u] = gone_r[v] = True
+        todo += [x for x in seen_by_left[v] if not gone_l[x]]
+        for y in seen_by_right[u]:
+            if not gone_r[y]:
+                f = best(right, at_r, gone_l, y, a_)
+                if f >= 0:
+                    todo.append(a_[f])
+    return taken
+
+
+def _pieces(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Edges with the number of their ``_piece``, and those in pieces too large for a task (or None).
+
+    An image is one piece; if it has more than ``PIECE`` edges, each component of its graph is.
+    """
+    def split(df: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
+        n = saved(df.groupBy(*by).agg(F.count("*").alias("_n")).withColumn("_piece", F.monotonically_increasing_id()))
+        fit = df.join(n.where(F.col("_n") <= PIECE).drop("_n"), by)
+        if n.where(F.col("_n") > PIECE).isEmpty():
+            return fit, None
+        return fit, df.join(n.where(F.col("_n") > PIECE).select(*by), by, "left_semi")
+    fit, rest = split(edges, keys)
+    if rest is None:
+        return fit, None
+    ks = [F.col(k) for k in keys]
+    a, b = (F.struct(*ks, F.lit(side).alias("side"), F.col(c).alias("id")) for side, c in ((0, "left_id"), (1, "right_id")))
+    roots = connected_components(rest.select(a.alias("a"), b.alias("b"))).withColumnRenamed("component", "_root")
+    whole = saved(rest.withColumn("node", a).join(roots, "node").drop("node"))
+    parts, rest = split(whole, ["_root"])
+    parts = parts.withColumn("_piece", -1 - F.col("_piece"))
+    return fit.unionByName(parts.drop("_root")), None if rest is None else rest.drop("_root")
+
+
+def _matched(edges: DataFrame, keys: list[str]) -> list[DataFrame]:
+    """Mutual-best matches over fixed neighbour lists: pieces at once, rounds only for a piece no task holds."""
+    cols = [*keys, "left_id", "right_id", "distance"]
+    fit, rest = _pieces(edges, keys)
+    dealt = fit.repartition("_piece").sortWithinPartitions("_piece").select(*cols, "_l", "_r", "_piece")
+
+    def solve(batches):
+        import pyarrow as pa
+
+        def codes(col):
+            x = col.to_numpy(zero_copy_only=False) if pa.types.is_integer(col.type) or pa.types.is_floating(col.type) else np.array(
+                [v.encode() if isinstance(v, str) else v for v in col.to_pylist()], object)
+            return np.unique(x, return_inverse=True)[1]
+
+        def found(table):
+            t = table.combine_chunks().to_batches()[0]
+            piece = codes(t.column("_piece"))
+            ends = []
+            for name in ("left_id", "right_id"):
+                c = codes(t.column(name))
+                ends.append(np.unique(piece * (int(c.max()) + 1) + c, return_inverse=True)[1])
+            d, own_l, own_r = (t.column(c).to_numpy(zero_copy_only=False) for c in ("distance", "_l", "_r"))
+            return t.take(pa.array(_solved(*ends, d, own_l, own_r), pa.int64())).select(cols)
+        held, count = [], 0
+        for b in batches:
+            held.append(b)
+            count += b.num_rows
+            if count >= PIECE:
+                # pieces stay whole: the last one waits for its other rows
+                table = pa.Table.from_batches(held)
+                piece = table.column("_piece").to_numpy()
+                cut = int(np.searchsorted(piece, piece[-1]))
+                if cut:
+                    yield found(table.slice(0, cut))
+                    held, count = table.slice(cut).to_batches(), count - cut
+        if count:
+            yield found(pa.Table.from_batches(held))
+    schema = dealt.select(*cols).schema
+    out = [saved(dealt.mapInArrow(solve, schema))]
+    return out if rest is None else out + _rounds(checkpoint(rest), keys)
+
+
 def _rounds(edges: DataFrame, keys: list[str]) -> list[DataFrame]:
     """Mutual-best rounds over fixed neighbour lists until no pair is mutual.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` as a plain table in the checkpoint folder: read back in stages of its own, so AQE may split a
+    key that many rows share, and a count of it is read off the files."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        checkpoint(df.limit(0))
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` if it is proven to hold at most ``limit`` rows.
 

@@ -90,3 +90,74 @@ def test_density_clusters(spark):
     p = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "x": xy[:, 0], "y": xy[:, 1], "image": 1}))
     got = graph.density_clusters(p, ["image"], ["x", "y"], eps, need, 20)
     assert rows(got, "id", "cluster") == want
+
+
+def chain_and_star():
+    star = [(i, 0) for i in range(1, 20_000)]
+    chain = [(100_000 + i, 100_001 + i) for i in range(2_000)]
+    return star + chain, {**{i: 0 for i in range(20_000)}, **{100_000 + i: 100_000 for i in range(2_001)}}
+
+
+@pytest.mark.parametrize("piece,most", [(1_000_000, 0), (700, 9)])
+def test_a_star_and_a_chain_take_few_rounds(spark, monkeypatch, piece, most):
+    edges, want = chain_and_star()
+    calls = []
+    real = graph._fingerprint
+    monkeypatch.setattr(graph, "_fingerprint", lambda e: calls.append(1) or real(e))
+    monkeypatch.setattr(graph, "PIECE", piece)
+    got = graph.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4))
+    assert dict(rows(got, "node", "component")) == want
+    assert len(calls) <= most + 1
+
+
+def test_no_contraction_holds_the_edges_of_a_hub(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(graph, "PIECE", 500)
+    e = spark.createDataFrame([(i, 0) for i in range(1, 6_000)], "hi long, lo long")
+    parts = e.repartitionByRange(8, "lo", "hi").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 8 and max(r["count"] for r in parts) < 2_000
+
+
+def test_components_of_texts_and_structs(spark):
+    from pyspark.sql import functions as F
+    r = np.random.default_rng(5)
+    e = [(f"n{x:03d}", f"n{y:03d}") for x, y in r.integers(0, 400, (230, 2))]
+    root = {n: n for p in e for n in p}
+    for _ in range(400):
+        for x, y in e:
+            root[x] = root[y] = min(root[x], root[y])
+    d = spark.createDataFrame(e, "a string, b string")
+    got = graph.connected_components(d, spark.createDataFrame([(n,) for n in root], "node string"))
+    assert rows(got, "node", "component") == sorted(root.items())
+    deep = d.select(F.struct(F.lit(1).alias("k"), F.col("a").alias("n")).alias("a"), F.struct(F.lit(1).alias("k"), F.col("b").alias("n")).alias("b"))
+    got = graph.connected_components(deep).select("node.n", F.col("component.n").alias("c"))
+    assert set(rows(got, "n", "c")) == {(n, c) for n, c in root.items() if any(n in p and p[0] != p[1] for p in e)}
+
+
+def growing_chain(n):
+    """Left and right objects in turn on a line, each gap a little wider, so one pair waits for the next."""
+    at, side = 0.0, {0: [], 1: []}
+    for i in range(n):
+        side[i % 2].append((1, i, at, 0.0))
+        at += 1.0 + (n - i) * 1e-4
+    return (pd.DataFrame(side[k], columns=["image", "id", "centroid_x", "centroid_y"]) for k in (0, 1))
+
+
+@pytest.mark.parametrize("piece", [500_000, 300])
+def test_a_long_chain_is_one_piece(spark, monkeypatch, piece):
+    a, b = growing_chain(2_000 if piece > 1000 else 60)
+    monkeypatch.setattr(matching, "PIECE", piece)
+    rounds = []
+    real = matching._rounds
+    monkeypatch.setattr(matching, "_rounds", lambda *x: rounds.append(1) or real(*x))
+    got = matching.greedy_match(spark.createDataFrame(a), spark.createDataFrame(b), ["image"], 1.9)
+    assert rows(got, "image", "left_id", "right_id") == sequential(a, b, 1.9)
+    assert not rounds
+
+
+def test_pieces_of_a_large_image_and_the_rest(spark, monkeypatch):
+    a, b = field(31, 150, images=2, grid=25), field(32, 140, images=2, grid=25)
+    for piece in (40, 3):
+        monkeypatch.setattr(matching, "PIECE", piece)
+        got = matching.greedy_match(spark.createDataFrame(a), spark.createDataFrame(b), ["image"], 1.5)
+        assert rows(got, "image", "left_id", "right_id") == sequential(a, b, 1.5)
