@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from motes.functions.scalars import clip
-from motes.operators.graph import connected_components
 from motes.operators.matrix import histogram, otsu
 from motes.operators.ordering import exact_quantiles
-from motes.session import small_side
+from motes.operators.runs import component_runs, moments, pixels_of, runs_of
+from motes.session import saved, small_side
 
 TILE = 256
 
@@ -363,56 +363,26 @@ def pixel_features(px: DataFrame, image: list[str]) -> DataFrame:
 
 # -- regions -------------------------------------------------------------------
 
-def runs(fg: DataFrame, image: list[str]) -> DataFrame:
-    """Horizontal runs of foreground pixels: every pixel with its run's first x as ``_x0``."""
-    w = Window.partitionBy(*image, "y").orderBy("x")
-    starts = F.when(F.lag("x", 1).over(w) == F.col("x") - 1, None).otherwise(F.col("x"))
-    return fg.withColumn("_start", starts).withColumn(
-        "_x0", F.last("_start", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
-
-
 def components8(fg: DataFrame, image: list[str]) -> DataFrame:
     """8-connected regions of a foreground pixel set: image, y, x, ``label``.
 
-    Runs are the graph nodes.  A label is the number of its first pixel in row
-    order among the image's regions, 1, 2, ...
+    Pixels are read once, as runs; see :func:`motes.operators.runs.component_runs`.
     """
-    r = runs(fg.select(*image, "y", "x"), image)
-    run = F.struct(*image, "y", "_x0")
-    below = r.select(*image, F.col("y").alias("_y"), (F.col("y") + 1).alias("y"), F.col("_x0").alias("_bx0"),
-                     F.explode(F.array(F.col("x") - 1, F.col("x"), F.col("x") + 1)).alias("x"))
-    touch = r.join(below, [*image, "y", "x"])
-    edges = touch.select(run.alias("a"), F.struct(*image, F.col("_y").alias("y"), F.col("_bx0").alias("_x0")).alias("b"))
-    comp = connected_components(edges, r.select(run.alias("node")).distinct())
-    roots = comp.select("component").distinct().select("component", *[F.col(f"component.{c}").alias(c) for c in image],
-                                                       F.col("component.y").alias("_cy"), F.col("component._x0").alias("_cx"))
-    # number the regions of an image row by row: rows are small, their counts give the offsets
-    per_row = roots.groupBy(*image, "_cy").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*image).orderBy("_cy").rowsBetween(Window.unboundedPreceding, -1)
-    offset = per_row.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inrow = Window.partitionBy(*image, "_cy").orderBy("_cx")
-    numbered = roots.withColumn("_i", F.row_number().over(inrow)).join(offset, [*image, "_cy"]).select(
-        "component", (F.col("_off") + F.col("_i")).cast("long").alias("label"))
-    named = comp.join(numbered, "component").select(
-        *[F.col(f"node.{c}").alias(c) for c in image], F.col("node.y").alias("y"), F.col("node._x0").alias("_x0"), "label")
-    return r.join(named, [*image, "y", "_x0"]).select(*image, "y", "x", "label")
+    return pixels_of(component_runs(saved(runs_of(fg, image)), image))
+
+
+def label_runs(labels: DataFrame, image: list[str]) -> DataFrame:
+    """The runs of each label of a label image."""
+    return runs_of(labels.where(F.col("label") > 0), [*image, "label"])
 
 
 def region_properties(labels: DataFrame, image: list[str]) -> DataFrame:
     """area, centroid, bbox (max + 1), moments and the shape numbers made from them.
 
-    ``perimeter_crack`` counts pixel edges on the border of the region.
+    ``labels`` is a label image or its runs (columns x0 and x1).  ``perimeter_crack`` counts pixel
+    edges on the border of the region.
     """
-    right = (F.lead("x", 1).over(_row(image)) == F.col("x") + 1) & (F.lead("label", 1).over(_row(image)) == F.col("label"))
-    down = (F.lead("y", 1).over(_col(image)) == F.col("y") + 1) & (F.lead("label", 1).over(_col(image)) == F.col("label"))
-    t = labels.where(F.col("label") > 0).withColumn("_r", F.coalesce(right.cast("int"), F.lit(0)))
-    t = t.withColumn("_d", F.coalesce(down.cast("int"), F.lit(0)))
-    g = t.groupBy(*image, "label").agg(
-        F.count("*").alias("area"), F.avg("x").alias("centroid_x"), F.avg("y").alias("centroid_y"),
-        F.min("x").alias("bbox_x1"), F.min("y").alias("bbox_y1"),
-        (F.max("x") + 1).alias("bbox_x2"), (F.max("y") + 1).alias("bbox_y2"),
-        F.var_pop("x").alias("_xx"), F.var_pop("y").alias("_yy"), F.covar_pop("x", "y").alias("_xy"),
-        (4 * F.count("*") - 2 * F.sum(F.col("_r") + F.col("_d"))).alias("perimeter_crack"))
+    g = moments(labels if "x0" in labels.columns else label_runs(labels, image), [*image, "label"])
     mid = (F.col("_xx") + F.col("_yy")) / 2
     dev = F.sqrt(F.pow((F.col("_xx") - F.col("_yy")) / 2, 2) + F.col("_xy") * F.col("_xy"))
     g = g.withColumns({"_l1": mid + dev, "_l2": F.greatest(mid - dev, F.lit(0.0))})
@@ -450,8 +420,9 @@ def _hull_area(rows: pd.Series) -> pd.Series:
 def region_solidity(labels: DataFrame, image: list[str]) -> DataFrame:
     """Region area over the area of its convex hull.  Only row ends are gathered: at
     most the image height per region."""
-    rows = labels.where(F.col("label") > 0).groupBy(*image, "label", "y").agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("_n"))
+    runs = labels if "x0" in labels.columns else label_runs(labels, image)
+    rows = runs.groupBy(*image, "label", "y").agg(
+        F.min("x0").alias("lo"), F.max("x1").alias("hi"), F.sum(F.col("x1") - F.col("x0") + 1).alias("_n"))
     g = rows.groupBy(*image, "label").agg(
         F.sum("_n").alias("_area"), F.collect_list(F.struct("y", "lo", "hi")).alias("_rows"))
     return g.select(*image, "label", (F.col("_area") / _hull_area("_rows")).alias("solidity"))
@@ -459,9 +430,10 @@ def region_solidity(labels: DataFrame, image: list[str]) -> DataFrame:
 
 def object_features(px: DataFrame, labels: DataFrame, image: list[str]) -> DataFrame:
     """The object classifier's features per region."""
-    return (region_properties(labels, image).withColumnRenamed("perimeter_crack", "perimeter")
+    shapes = saved(label_runs(labels, image))
+    return (region_properties(shapes, image).withColumnRenamed("perimeter_crack", "perimeter")
             .join(region_intensity(px, labels, image), [*image, "label"])
-            .join(region_solidity(labels, image), [*image, "label"]))
+            .join(region_solidity(shapes, image), [*image, "label"]))
 
 
 def drop_small(labels: DataFrame, image: list[str], min_area: int) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motes.operators import geometry, learn, lookups, pixels as px_ops, qc
+from motes.operators import geometry, learn, lookups, pixels as px_ops, qc, runs
 from motes.plans.fixtures import DETECTIONS, PIXELS, detections, pixels
 from motes.plans.objects import rounded
-from motes.session import checkpoint
+from motes.session import checkpoint, saved
 
 QUERIES: dict = {}
 IMG = ["image"]
@@ -233,6 +233,11 @@ def labels(spark, sf) -> DataFrame:
     return px_ops.components8(foreground(spark, sf), IMG)
 
 
+def label_runs(spark, sf) -> DataFrame:
+    """The same regions as runs; their shapes need no pixels."""
+    return saved(runs.component_runs(saved(runs.runs_of(foreground(spark, sf), IMG)), IMG))
+
+
 @query(f"with recursive {PIXELS}, {REGIONS} select image, y, x, label from lab")
 def pixel_components(spark, sf):
     return labels(spark, sf)
@@ -252,7 +257,7 @@ props as (select image, label, area, cx as centroid_x, cy as centroid_y, x1 as b
   bbox_x1, bbox_y1, bbox_x2, bbox_y2, perimeter_crack, round(inertia_ratio, 4) as inertia_ratio, round(elongation, 4) as elongation,
   round(circularity, 6) as circularity, round(sqrt(round(1 - inertia_ratio, 9)), 4) as eccentricity from props""")
 def region_properties(spark, sf):
-    p = px_ops.region_properties(labels(spark, sf), IMG)
+    p = px_ops.region_properties(label_runs(spark, sf), IMG)
     p = p.withColumn("eccentricity", F.sqrt(F.round(1 - F.col("inertia_ratio"), 9)))
     return rounded(rounded(p, ["centroid_x", "centroid_y", "circularity"]), ["inertia_ratio", "eccentricity", "elongation"], 4)
 
@@ -273,7 +278,7 @@ def drop_small_regions(spark, sf):
 @query(f"""with recursive {PIXELS}, {REGIONS}, {PROPS} select image, label, area, perimeter_crack from props
 where area between 1 and 20 and area > 1 and 4 * pi() * area / (perimeter_crack * perimeter_crack) between 0.2 and 1.0 and round(inertia_ratio, 9) >= 0.15""")
 def blob_filter(spark, sf):
-    p = px_ops.region_properties(labels(spark, sf), IMG).withColumn("inertia_ratio", F.round("inertia_ratio", 9))
+    p = px_ops.region_properties(label_runs(spark, sf), IMG).withColumn("inertia_ratio", F.round("inertia_ratio", 9))
     return qc.blob_filter(p, area=(1, 20), circularity=(.2, 1.0), min_inertia=.15).select("image", "label", "area", "perimeter_crack")
 
 
@@ -298,7 +303,7 @@ def spot_detection(spark, sf):
 
 @query()
 def region_solidity(spark, sf):
-    return px_ops.region_solidity(labels(spark, sf), IMG)
+    return px_ops.region_solidity(label_runs(spark, sf), IMG)
 
 
 @query(f"""with {PIXELS}, p as (select image, class, value, ((image * 31 + y * 7 + x * 3) % 10) / 10.0 as prob from pixels)
@@ -384,6 +389,21 @@ def detection_intensity(spark, sf):
     return rounded(lookups.detection_intensity(d, foreground(spark, sf), pixels(spark, sf), IMG), ["mean_intensity"])
 
 
+@query(f"""with {PIXELS}, d as (select image, k as id, (image * 7 + k * 3) % 9 as cx, (image * 5 + k * 2) % 9 as cy, 1 + (image + k) % 3 as r
+    from (select distinct image from pixels), range(4) t(k)),
+  run as (select image, id, y, cx - r + abs(y - cy) as x0, cx + r - abs(y - cy) as x1 from d, range(-3, 12) t(y) where abs(y - cy) <= r and id < 3)
+select d.image, d.id, round(avg(value), 6) as mean_intensity from d left join run using (image, id)
+  left join pixels p on p.image = d.image and p.y = run.y and p.x between run.x0 and run.x1 group by 1, 2""")
+def mask_stack_intensity(spark, sf):
+    """Overlapping diamonds as masks of their own, some across the border; the fourth of an image has none."""
+    px = pixels(spark, sf)
+    d = px.select("image").distinct().select("image", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("id")).selectExpr(
+        "image", "cast(id as long) as id", "(image * 7 + id * 3) % 9 as cx", "(image * 5 + id * 2) % 9 as cy", "1 + (image + id) % 3 as r")
+    m = d.where("id < 3").withColumn("y", F.explode(F.expr("sequence(cy - r, cy + r)"))).selectExpr(
+        "image", "id", "y", "cx - r + abs(y - cy) as x0", "cx + r - abs(y - cy) as x1")
+    return rounded(runs.mask_intensity(d, m, px, IMG), ["mean_intensity"])
+
+
 # -- classifiers -------------------------------------------------------------
 
 @query(f"""with {PIXELS.replace('pixels as', 'stored as', 1)}, mm as (select image, min(value) lo, max(value) hi from stored group by 1),
@@ -430,7 +450,7 @@ def pixel_classifier(spark, sf):
     truth = pixels(spark, sf).where("(image + y + x) % 5 = 0").select(
         "image", "y", "x", (F.col("value") > 0.1).cast("int").alias("class"))
     train = learn.pixel_training_set(feats, truth, IMG)
-    model = learn.train_classifier(train, px_ops.FEATURES, max_depth=12)
+    model = learn.train_classifier(train, px_ops.FEATURES)
     pred = learn.predict(model, feats, px_ops.FEATURES).where("predicted = 1")
     lab = px_ops.drop_small(px_ops.components8(pred.select("image", "y", "x"), IMG), IMG, 2)
     return px_ops.region_properties(lab, IMG).groupBy("image").agg(
@@ -443,7 +463,7 @@ def object_classifier(spark, sf):
     lab = labels(spark, sf)
     f = checkpoint(px_ops.object_features(pixels(spark, sf), lab, IMG))
     f = f.withColumn("label_class", ((F.col("area") >= 6) & (F.col("mean_intensity") > 0.08)).cast("int"))
-    model = learn.train_classifier(f, learn.OBJECT_FEATURES, "label_class", max_depth=12)
+    model = learn.train_classifier(f, learn.OBJECT_FEATURES, "label_class")
     return learn.predict(model, f, learn.OBJECT_FEATURES).groupBy("label_class", "predicted").agg(F.count("*").alias("objects"))
 
 
