@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from motes.session import checkpoint, small_side
 
 XY = ["centroid_x", "centroid_y"]
-#: Most sites a search cell may hold, and the deepest grid level.
+#: Most sites a search cell may hold, most different query points of one, and the deepest grid level.
 LEAF_SITES = 32
+LEAF_POINTS = 4096
 DEEPEST = 40
 #: Rows of one join key before it is salted.
 HOT_ROWS = 50_000
@@ -157,6 +158,33 @@ class _Grid:
             near, far = near + d * d, far + e * e
         return df.withColumns({"_near": near, "_far": far})
 
+    def with_gap(self, df: DataFrame) -> DataFrame:
+        """Squared distances ``_near`` and ``_far`` between the bounds of a cell of points and one of sites."""
+        near, far = F.lit(0.0), F.lit(0.0)
+        for i in range(len(self.coords)):
+            a, b, lo, hi = F.col(f"_qlo{i}"), F.col(f"_qhi{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+            d, e = F.greatest(lo - b, a - hi, F.lit(0.0)), F.greatest(hi - a, b - lo)
+            near, far = near + d * d, far + e * e
+        return df.withColumns({"_near": near, "_far": far})
+
+    @property
+    def asking(self) -> list[str]:
+        return [f"_q{i}" for i in range(len(self.coords))]
+
+    @property
+    def ask_stats(self) -> list[str]:
+        return [f"_q{e}{i}" for e in ("lo", "hi") for i in range(len(self.coords))]
+
+    @property
+    def renamed(self) -> dict[str, str]:
+        """Cells and bounds of query points beside those of sites."""
+        return dict(zip(self.cells, self.asking)) | {c[0] + c[2:]: c for c in self.ask_stats}
+
+    def asked(self, on_level: DataFrame, id: str) -> DataFrame:
+        """Points with their coordinates and the cell they ask from."""
+        return on_level.select(*self.keys, id, *[F.col(c).cast("double").alias(f"_p{i}") for i, c in enumerate(self.coords)],
+                               *[F.col(c).alias(q) for c, q in zip(self.cells, self.asking)])
+
     @property
     def stats(self) -> list[str]:
         return ["_n", *[f"_{e}{i}" for e in ("lo", "hi") for i in range(len(self.coords))]]
@@ -183,6 +211,25 @@ def _sites(sites: DataFrame, keys: list[str], coords: list[str], keep: int) -> D
     return sites.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= keep).drop("_i")
 
 
+def _cell_pairs(grid: _Grid, spots: DataFrame, sites: DataFrame, level: int, narrowed) -> DataFrame:
+    """Cells of query points with the cells of sites that may hold a neighbour of one of them, on ``level``."""
+    boxes = grid.boxes(sites, level, F.lit(1))
+    asks = {lv: b.drop("_n").withColumnsRenamed(grid.renamed) for lv, b in grid.boxes(spots, level, F.lit(1)).items()}
+    own = [*grid.keys, *grid.asking]
+    top = asks[0]
+    if grid.bounded:
+        for c, q in zip(grid.cells, grid.asking):
+            top = top.withColumn("_s", F.explode(F.array(*[F.lit(s) for s in (-1, 0, 1)]))).withColumn(c, F.col(q) + F.col("_s")).drop("_s")
+    front = narrowed(grid.with_gap(top.join(boxes[0], grid.open_keys)), own)
+    levels = list(boxes)
+    for up, lv in zip(levels, levels[1:]):
+        ups = {q: f"_up{q}" for q in grid.asking}
+        below = asks[lv].withColumns({u: F.shiftright(q, lv - up) for q, u in ups.items()})
+        front = front.drop(*grid.ask_stats).withColumnsRenamed(ups).join(below, [*grid.keys, *ups.values()]).drop(*ups.values())
+        front = narrowed(grid.with_gap(grid.children(front, boxes[lv], up, lv)), own)
+    return front.drop(*grid.ask_stats)
+
+
 def k_nearest(points: DataFrame, refs: DataFrame, keys: list[str], *, k: int = 1,
               bound: float | None = None, inclusive: bool = False, skip_self: bool = False,
               id: str = "id", coords: list[str] = XY) -> DataFrame:
@@ -191,32 +238,34 @@ def k_nearest(points: DataFrame, refs: DataFrame, keys: list[str], *, k: int = 1
     Returns keys, ``id``, ``ref_id``, ``distance`` and ``place`` (1 = nearest; ties
     go to the smaller ref id).  Points with no neighbour inside ``bound`` are absent.
 
-    The references form a grid whose cells are halved until none is crowded.  A
-    point walks down from the coarse cells and keeps only those that can still
-    hold one of its neighbours, so a dense spot costs it a few cells per level
-    and no point is ever paired with a whole crowd.
+    References and points lie in the same nested grid, whose cells are halved until none is
+    crowded.  Cells of points walk down beside cells of references, and a pair of them is dropped
+    once enough other references are sure to be nearer to every point of the cell.  Points are
+    opened in the finest cells only, so neither a dense spot nor an image of any number of points
+    meets in one place, and no point is ever paired with a whole crowd.
     """
     need = k + 1 if skip_self else k
     leaf = max(LEAF_SITES, 4 * need)
-    present = reduce(lambda p, r: p & r, [F.col(c).isNotNull() for c in coords])
-    sites = refs.where(present).select(*keys, *coords, F.col(id).alias("_rid"))
-    grid = _Grid(sites, keys, coords, bound)
-    level = 0
-    if grid.crowd(sites, 0) > leaf:
+
+    def present(df: DataFrame) -> DataFrame:
+        return df.where(reduce(lambda p, r: p & r, [F.col(c).isNotNull() for c in coords]))
+    sites = present(refs).select(*keys, *coords, F.col(id).alias("_rid"))
+    spots = present(points).select(*keys, *coords)
+    grid, level = _Grid(sites.select(*coords).union(spots.select(*coords)), keys, coords, bound), 0
+    if grid.crowd(sites, 0) > leaf or grid.crowd(spots, 0) > LEAF_POINTS:
         sites = _sites(sites, keys, coords, need)
-        level = grid.depth(sites, leaf)
+        level = max(1, grid.depth(sites, leaf))
+        if grid.crowd(spots, level) > LEAF_POINTS:
+            level = max(level, grid.depth(spots.distinct(), LEAF_POINTS))
 
-    p = grid.points(points, id)
     limit2 = None if bound is None else float(bound) * float(bound)
     if level == 0:
+        p = grid.points(points, id)
         cand = p.join(grid.on_level(sites, 0) if bound is not None else sites, grid.open_keys)
     else:
-        boxes = grid.boxes(sites, level, F.lit(1))
-        mine = Window.partitionBy(*keys, id)
-
-        def narrowed(df: DataFrame) -> DataFrame:
+        def narrowed(df: DataFrame, of: list[str]) -> DataFrame:
             """Drop cells that lie beyond ``need`` sites already sure to be nearer."""
-            df = grid.with_reach(df)
+            mine = Window.partitionBy(*of)
             if limit2 is not None:
                 df = df.where(F.col("_near") <= limit2)
             df = df.withColumn("_got", F.sum("_n").over(mine.orderBy("_far")))
@@ -224,11 +273,10 @@ def k_nearest(points: DataFrame, refs: DataFrame, keys: list[str], *, k: int = 1
             # a hair of slack keeps exact ties through rounding
             return (df.where(F.col("_reach").isNull() | (F.col("_near") <= F.col("_reach") * 1.000000001))
                     .drop("_near", "_far", "_got", "_reach"))
-        levels = list(boxes)
-        front = narrowed(p.join(boxes[0], grid.open_keys))
-        for up, lv in zip(levels, levels[1:]):
-            front = narrowed(grid.children(front, boxes[lv], up, lv))
-        cand = front.drop(*grid.stats).join(grid.on_level(sites, level), keys + grid.cells)
+        front = _cell_pairs(grid, spots, sites, level, narrowed)
+        opened = grid.asked(grid.on_level(points, level), id).join(front, keys + grid.asking)
+        front = narrowed(grid.with_reach(opened), [*keys, id])
+        cand = front.drop(*grid.stats, *grid.asking).join(grid.on_level(sites, level), keys + grid.cells)
 
     cand = cand.withColumn("_d2", grid.squared())
     if limit2 is not None:

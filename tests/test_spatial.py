@@ -39,10 +39,12 @@ def test_pairs_within(spark, monkeypatch, hot):
     assert got == sorted(zip(j.image, j.id, j.id_r))
 
 
+@pytest.mark.parametrize("points", [4096, 8])
 @pytest.mark.parametrize("k,bound,skip,grid,crowd", [
     (1, 6.0, False, 30, 0), (1, 6.0, False, 30, 150), (1, None, False, None, 200), (1, None, False, 30, 0),
     (4, None, True, 25, 150), (3, 5.0, False, 30, 150), (5, None, True, None, 200)])
-def test_k_nearest(spark, k, bound, skip, grid, crowd):
+def test_k_nearest(spark, monkeypatch, points, k, bound, skip, grid, crowd):
+    monkeypatch.setattr(spatial, "LEAF_POINTS", points)
     a = field(3, 250, grid=grid, crowd=crowd)
     b = a if skip else field(4, 300, grid=grid, crowd=crowd)
     got = spatial.k_nearest(spark.createDataFrame(a), spark.createDataFrame(b), ["image"], k=k,
@@ -56,6 +58,22 @@ def test_k_nearest(spark, k, bound, skip, grid, crowd):
     assert rows(got, "id", "place", "ref_id") == sorted(zip(j.id, j.place, j.id_r))
 
 
+def test_an_image_of_many_points_meets_nowhere(spark, monkeypatch):
+    """All points of one image lie in one top cell; pairs of cells and points of a finest cell stay few."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(spatial, "LEAF_POINTS", 64)
+    seen = []
+    real = spatial._cell_pairs
+    monkeypatch.setattr(spatial, "_cell_pairs", lambda *a: seen.append((a, real(*a))) or seen[-1][1])
+    a, b = field(41, 6000, images=1, span=5.0), field(42, 900, images=1, span=5.0)
+    got = spatial.k_nearest(spark.createDataFrame(a), spark.createDataFrame(b), ["image"], bound=50.0)
+    d = ((a[["centroid_x", "centroid_y"]].to_numpy()[:, None] - b[["centroid_x", "centroid_y"]].to_numpy()[None]) ** 2).sum(2)
+    assert rows(got, "id", "ref_id") == sorted(zip(a.id, b.id.to_numpy()[d.argmin(1)]))
+    (grid, spots, _, level, _), front = seen[0]
+    assert front.groupBy(*grid.asking).count().agg(F.max("count")).first()[0] <= 40
+    assert grid.crowd(spots, level) <= 64
+
+
 @pytest.mark.parametrize("grid,crowd", [(40, 0), (25, 150), (None, 200)])
 def test_counts_within(spark, grid, crowd):
     a, b = field(31, 200, grid=grid, crowd=crowd), field(32, 260, grid=grid, crowd=crowd)
