@@ -252,7 +252,9 @@ def k_nearest(points: DataFrame, refs: DataFrame, keys: list[str], *, k: int = 1
     sites = present(refs).select(*keys, *coords, F.col(id).alias("_rid"))
     spots = present(points).select(*keys, *coords)
     grid, level = _Grid(sites.select(*coords).union(spots.select(*coords)), keys, coords, bound), 0
-    if grid.crowd(sites, 0) > leaf or grid.crowd(spots, 0) > LEAF_POINTS:
+    both = grid.on_level(sites.select(*keys, *coords, F.lit(1).alias("_s")).union(spots.select("*", F.lit(0))), 0)
+    most = both.groupBy(*keys, *grid.cells).agg(F.sum("_s").alias("s"), F.count("*").alias("n")).agg(F.max("s"), F.max(F.col("n") - F.col("s"))).first()
+    if (most[0] or 0) > leaf or (most[1] or 0) > LEAF_POINTS:
         sites = _sites(sites, keys, coords, need)
         level = max(1, grid.depth(sites, leaf))
         if grid.crowd(spots, level) > LEAF_POINTS:
