@@ -229,3 +229,56 @@ def step_counts(log: DataFrame) -> DataFrame:
 
 def images_by_status(df: DataFrame) -> DataFrame:
     return small_side(df.groupBy("status").agg(F.count("*").alias("count")))
+
+
+# -- answers and patches as JSON -------------------------------------------------
+
+def _members(df: DataFrame, value: str, name: str, member: str) -> DataFrame:
+    """A row per member of the JSON objects in ``value`` (VARIANT); rows without any are left out."""
+    each = df.sparkSession.tvf.variant_explode(F.col(value).outer())
+    return df.lateralJoin(each.select(F.col("key").alias(name), F.col("value").alias(member))).where(F.col(name).isNotNull())
+
+
+def _is_object(v: str) -> Column:
+    return F.coalesce(F.schema_of_variant(F.col(v)).startswith("OBJECT"), F.lit(False))
+
+
+def json_parameters(answers: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Parameters of answers given as JSON objects: keys, ``name`` and ``value`` (JSON text).
+
+    ``recommended_parameters`` counts first: a parameter that is an object with a ``value`` stands for
+    it, any other for itself.  Without it, ``parameters`` is taken as it is.  Texts that are no JSON
+    object give no rows; :func:`text_parameters` reads those.
+    """
+    v = answers.select(*keys, F.try_parse_json(text).alias("_v")).where(_is_object("_v"))
+    both = v.select(*keys, F.try_variant_get("_v", "$.recommended_parameters", "variant").alias("_r"),
+                    F.try_variant_get("_v", "$.parameters", "variant").alias("_p"))
+    m = _members(both.where(_is_object("_r")), "_r", "name", "_m")
+    inner = F.try_variant_get("_m", "$.value", "variant")
+    first = m.select(*keys, "name", F.to_json(F.when(_is_object("_m") & inner.isNotNull(), inner).otherwise(F.col("_m"))).alias("value"))
+    rest = _members(both.where(F.col("_r").isNull() & _is_object("_p")), "_p", "name", "_m")
+    return first.unionByName(rest.select(*keys, "name", F.to_json("_m").alias("value")))
+
+
+def folded_patches(patches: DataFrame, keys: list[str], order: str, patch: str = "patch") -> DataFrame:
+    """State after all JSON patches of a key, in ``order``: keys, ``name``, ``member`` and ``value`` (JSON text).
+
+    Later values replace earlier ones, but an object patched onto an object is merged one level
+    deep.  A member of such an object is a row of its own, a plain value has no member, and an empty
+    object has neither member nor value.  The fold is two aggregations, which combine map-side: the
+    last plain value of a name, then the last value of each member patched after it.
+    """
+    v = patches.select(*keys, order, F.try_parse_json(patch).alias("_v")).where(_is_object("_v"))
+    top = _members(v, "_v", "name", "_m").withColumn("_obj", _is_object("_m"))
+    at = F.col(order)
+    last = top.groupBy(*keys, "name").agg(
+        F.max(F.when(~F.col("_obj"), at)).alias("_plain"), F.max(F.when(F.col("_obj"), at)).alias("_deep"),
+        F.max_by(F.when(~F.col("_obj"), F.to_json("_m")), F.when(~F.col("_obj"), at)).alias("value"))
+    deep = F.col("_deep").isNotNull() & (F.col("_plain").isNull() | (F.col("_deep") > F.col("_plain")))
+    plain = last.where(~deep).select(*keys, "name", F.lit(None).cast("string").alias("member"), "value")
+    later = top.where("_obj").join(last.where(deep).select(*keys, "name", "_plain"), [*keys, "name"]).where(
+        F.col("_plain").isNull() | (at > F.col("_plain")))
+    inside = _members(later, "_m", "member", "_x").groupBy(*keys, "name", "member").agg(F.max_by(F.to_json("_x"), at).alias("value"))
+    bare = last.where(deep).join(inside.select(*keys, "name").distinct(), [*keys, "name"], "left_anti").select(
+        *keys, "name", F.lit(None).cast("string").alias("member"), F.lit(None).cast("string").alias("value"))
+    return plain.unionByName(inside).unionByName(bare)
