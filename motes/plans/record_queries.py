@@ -446,33 +446,43 @@ def dtype_scaling(spark, sf):
 
 # -- export views ----------------------------------------------------------------
 
-@query(f"""with {DETECTIONS}, c as (select image, channel, count(*) n, avg(mean_intensity) mi from marks group by 1, 2)
-select r.id as object_id, r.image::varchar as sample, coalesce(a.n > 8, false)::int as "CD_positive", coalesce(b.n > 8, false)::int as "CD_positive_2",
-  round(case when a.n > 8 then greatest(a.mi - 5, 0) else 0 end, 5) as "CD", round(case when b.n > 8 then greatest(b.mi - 5, 0) else 0 end, 5) as "CD_2"
-from refs r left join c a on a.image = r.image and a.channel = 'click' left join c b on b.image = r.image and b.channel = 'view'""")
+#: Marker channel -> (cycle, marker, its column in the views); two channels share a marker name.
+VIEWS = {"click": ("C1", "CD", "CD"), "view": ("C2", "CD", "CD_2"), "error": ("C3", "CE", "CE"), "purchase": ("C4", "CF", "CF")}
+
+
+def _views_sql() -> str:
+    flag = ", ".join(f"""coalesce({c}.n > 8, false)::int as "{v[2].replace('_2', '')}_positive{'_2' * v[2].endswith('_2')}\"""" for c, v in VIEWS.items())
+    value = ", ".join(f'round(case when {c}.n > 8 then greatest({c}.mi - 5, 0) else 0 end, 5) as "{v[2]}"' for c, v in VIEWS.items())
+    joins = " ".join(f"left join (select * from c where channel = '{c}') {c} on {c}.image = r.image" for c in VIEWS)
+    return f"""with {DETECTIONS}, c as (select image, channel, count(*) n, avg(mean_intensity) mi from marks group by 1, 2)
+select r.id as object_id, r.image::varchar as sample, {flag}, {value} from refs r {joins}"""
+
+
+@query(_views_sql())
 def export_views(spark, sf):
-    """Full and background-subtracted views of the reference objects; two channels share one marker name."""
+    """Full and background-subtracted views of the reference objects over all marker channels."""
     refs, marks = references(spark, sf), marker_detections(spark, sf)
-    dim = spark.createDataFrame([("C1", "CH1", "CD"), ("C2", "CH1", "CD"), ("C0", "CH1", "anchor")], "cycle string, channel string, marker string")
-    c = marks.where("channel in ('click', 'view')").groupBy("image", "channel").agg(F.count("*").alias("n"), F.avg("mean_intensity").alias("mi"))
+    dim = spark.createDataFrame([(v[0], "CH1", v[1]) for v in VIEWS.values()] + [("C0", "CH1", "anchor")], "cycle string, channel string, marker string")
+    c = marks.groupBy("image", "channel").agg(F.count("*").alias("n"), F.avg("mean_intensity").alias("mi"))
+    names = F.create_map(*[F.lit(x) for k, v in VIEWS.items() for x in (k, f"{v[0]}_CH1")])
     long = refs.select("image", F.col("id").alias("object_id")).join(c, "image").select(
-        "object_id", F.when(F.col("channel") == "click", "C1_CH1").otherwise("C2_CH1").alias("channel"), (F.col("n") > 8).alias("positive"),
+        "object_id", names[F.col("channel")].alias("channel"), (F.col("n") > 8).alias("positive"),
         F.col("mi").alias("mean_intensity"), F.greatest(F.col("mi") - 5, F.lit(0.0)).alias("intensity_bg_subtracted"), F.col("mi").alias("raw_mean"))
     obj = refs.select(F.col("id").alias("object_id"), F.col("image").cast("string").alias("sample"), F.lit("P1").alias("position"),
                       "centroid_x", "centroid_y", "area", F.lit(1.0).alias("perimeter"), F.lit(1.0).alias("circularity"), F.lit(1.0).alias("score"))
     v = export.export_views(obj, long, dim)
-    flags = [F.coalesce(F.col(c), F.lit(False)).cast("int").alias(c) for c in ("CD_positive", "CD_positive_2")]
+    flags = [F.coalesce(F.col(c), F.lit(False)).cast("int").alias(c) for c in ("CD_positive", "CD_positive_2", "CE_positive", "CF_positive")]
     full = v["full"].select("object_id", "sample", *flags)
-    return full.join(v["bg_subtracted"].select("object_id", F.round("CD", 5).alias("CD"), F.round("CD_2", 5).alias("CD_2")), "object_id")
+    return full.join(v["bg_subtracted"].select("object_id", *[F.round(v[2], 5).alias(v[2]) for v in VIEWS.values()]), "object_id")
 
 
-@query(f"""with {DETECTIONS} select r.id as object_id, round(avg(m.mean_intensity) filter (m.channel = 'click'), 5) as click,
-  round(avg(m.mean_intensity) filter (m.channel = 'view'), 5) as view from refs r left join marks m on m.image = r.image group by r.id""")
+@query(f"""with {DETECTIONS} select r.id as object_id, {", ".join(f"round(avg(m.mean_intensity) filter (m.channel = '{c}'), 5) as {c}" for c in VIEWS)}
+from refs r left join marks m on m.image = r.image group by r.id""")
 def intensity_export(spark, sf):
     refs, marks = references(spark, sf), marker_detections(spark, sf)
     per = marks.groupBy("image", F.col("channel").alias("marker")).agg(F.round(F.avg("mean_intensity"), 5).alias("mean_intensity"))
     i = refs.select("image", F.col("id").alias("object_id")).join(per, "image").select("object_id", "marker", "mean_intensity")
-    return export.intensity_export(refs.select(F.col("id").alias("object_id")), i, ["click", "view"])
+    return export.intensity_export(refs.select(F.col("id").alias("object_id")), i, list(VIEWS))
 
 
 @query("""with c as (select 'C' || (event_id % 12) as name from events group by 1) select name, (row_number() over (order by substr(name, 2)::int))::int as place from c""")
@@ -482,4 +492,33 @@ def natural_order(spark, sf):
     return names.withColumn("place", F.row_number().over(w))
 
 
-
+# -- answers and patches as JSON -------------------------------------------------
+
+@query("""with ev as (select user_id as image, event_id as t, event_type as e, (event_id % 10)::varchar as k from events),
+m as (select image, t, 'view' as name, 'zoom' as member, k as value, true as obj from ev where e in ('signup', 'view')
+  union all select image, t, 'view', 'mode', '"m"', true from ev where e = 'view' union all select image, t, 'tab', null, '"x"', false from ev where e = 'signup'
+  union all select image, t, 'view', 'pan', k, true from ev where e = 'click' union all select image, t, 'view', null, k, false from ev where e = 'purchase'
+  union all select image, t, 'tab', 'id', k, true from ev where e = 'error'),
+w as (select *, coalesce(max(t) filter (not obj) over (partition by image, name), -1) as plain, max(t) over (partition by image, name) as last from m)
+select image, name, member, arg_max(value, t) as value from w where (last = plain and t = last) or (last > plain and obj and t > plain) group by 1, 2, 3""")
+def folded_patches(spark, sf):
+    """State of each image after its patches: plain values replace, objects merge one level deep."""
+    e = table(spark, sf, "events").selectExpr("user_id as image", "event_id as t", """case event_type
+      when 'signup' then concat('{"view":{"zoom":', event_id % 10, '},"tab":"x"}') when 'click' then concat('{"view":{"pan":', event_id % 10, '}}')
+      when 'view' then concat('{"view":{"zoom":', event_id % 10, ',"mode":"m"}}') when 'purchase' then concat('{"view":', event_id % 10, '}')
+      else concat('{"tab":{"id":', event_id % 10, '}}') end as patch""")
+    return manifest.folded_patches(e, ["image"], "t")
+
+
+@query("""with ev as (select event_id as id, event_type as e, event_id % 10 as k from events)
+select id, 'sigma' as name, k::varchar as value from ev where e in ('signup', 'click') union all select id, 'low', k::varchar from ev where e = 'signup'
+union all select id, 'sharpening_blur_sigma', k::double::varchar from ev where e = 'view'""")
+def answer_parameters(spark, sf):
+    """Parameters of mixed answers: JSON objects first, the text format where there is none."""
+    a = table(spark, sf, "events").selectExpr("event_id as id", r"""case event_type
+      when 'signup' then concat('{"recommended_parameters":{"sigma":{"value":', event_id % 10, ',"why":"n"},"low":', event_id % 10, '}}')
+      when 'click' then concat('{"parameters":{"sigma":', event_id % 10, '}}')
+      when 'view' then concat('[RECOMMENDED_PREPROCESSING_PARAMETERS]\nBlur sigma: ', event_id % 10) else '{"other":1}' end as text""")
+    text = manifest.text_parameters(a, ["id"]).where("sharpening_blur_sigma is not null").select(
+        "id", F.lit("sharpening_blur_sigma").alias("name"), F.col("sharpening_blur_sigma").cast("string").alias("value"))
+    return manifest.json_parameters(a, ["id"]).unionByName(text)
