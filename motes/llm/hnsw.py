@@ -10,6 +10,10 @@ vectors the same norm (queries have 0 there); the index is exact about this.  Eq
 shard are one node with a list of ids, so copies neither crowd a graph nor hide each other.  The
 found vectors are measured again in double precision on the original values.
 
+How wide a beam a graph needs depends on its vectors.  Each shard asks ``PROBES`` of its own nodes after
+the build, compares with all its nodes, and doubles the beam until the recall asked for is reached; a
+sample of that size decides on nothing but the beam.
+
 Null vectors, and vectors that are zero or hold null or non-finite components, take no part, nor do
 rows without id or of another length than most.  Rows that share an id are one (the smallest
 vector).  Ties go to the smaller id; a query with fewer candidates gets them all.
@@ -23,7 +27,11 @@ from pyspark.sql import functions as F
 
 from motes.llm.common import written
 
-INDEX = "shard int, nodes int, dims int, layers array<int>, vectors binary, owners binary, ids binary, links array<binary>"
+INDEX = "shard int, nodes int, dims int, width int, layers array<int>, vectors binary, owners binary, ids binary, links array<binary>"
+#: Nodes of a shard that are asked to choose its beam.
+PROBES = 128
+#: Beam of the upper layers: wide enough to enter clusters that lie far from the entry point.
+UPPER = 32
 
 
 class Graph:
@@ -62,7 +70,7 @@ class Graph:
     def _select(self, base: np.ndarray, near: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
         """For every row of ``base`` up to ``most`` of its candidates: first those nearer to it than to
         any chosen one, then the nearest of the others."""
-        order = np.argsort(-np.where(near >= 0, sims, -np.inf), axis=1, kind="stable")[:, :max(3 * most, 48)]
+        order = np.argsort(-np.where(near >= 0, sims, -np.inf), axis=1, kind="stable")[:, :max(3 * most // 2, 48)]
         near, sims = np.take_along_axis(near, order, 1), np.take_along_axis(sims, order, 1)
         n, k = near.shape
         # A candidate that is listed twice counts once.
@@ -114,9 +122,29 @@ class Graph:
         at = np.zeros((len(q), 1), np.int64)
         sims = q @ self.x[0][:, None]
         for k in range(last + 1):
-            at, sims = self._beam(q, at, sims, self.links[k], width if k == last else 4, steps if k == last else 1)
+            at, sims = self._beam(q, at, sims, self.links[k], width if k == last else UPPER, steps)
         return at, sims
 
+    def fitting_width(self, queries: np.ndarray, own: np.ndarray, k: int, width: int, recall: float) -> int:
+        """The first of ``width``, 2 ``width``, ... at which the queries (without their ``own`` nodes) find that
+        share of their ``k`` nearest nodes, and none finds nothing; the number of nodes at most."""
+        n = len(self.x)
+        k = min(k, n - 1)
+        if k < 1:
+            return width
+        sims = queries @ self.x.T
+        sims[np.arange(len(own)), own] = -np.inf
+        worst = np.partition(sims, n - k, axis=1)[:, n - k]
+        # The beam sums in another order, so equal similarities may differ in the last digits.
+        worst = worst - 1e-5 * np.abs(worst)
+        while width < n:
+            at, got = self.search(queries, width)
+            hits = ((at >= 0) & (at != own[:, None]) & (got >= worst[:, None])).sum(1).clip(max=k)
+            if hits.mean() >= recall * k and hits.min() > 0:
+                break
+            width *= 2
+        return min(width, max(n, 1))
+
     def _beam(self, q, at, sims, links, width, steps):
         n = len(q)
         pad = max(0, width - at.shape[1])
@@ -170,8 +198,9 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.size("embedding") == (size["n"] if size else 0)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def indexed(vectors: DataFrame, shards: int, degree: int, width: int) -> DataFrame:
-    """A row per shard: its distinct vectors, the ids of each, and the layers of neighbours."""
+def indexed(vectors: DataFrame, shards: int, degree: int, build_width: int, k: int, width: int, recall: float) -> DataFrame:
+    """A row per shard: its distinct vectors, the ids of each, the layers of neighbours and the beam that finds
+    ``recall`` of the ``k`` nearest nodes."""
     most = vectors.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
 
     def build(pdf):
@@ -187,10 +216,12 @@ def indexed(vectors: DataFrame, shards: int, degree: int, width: int) -> DataFra
         ids = pdf.vec_id.to_numpy()
         by = np.lexsort((ids, owner))
         sizes = level_sizes(len(x), degree)
-        links = Graph.build(augmented(x, most), degree, width, sizes).links
-        return pd.DataFrame([{"shard": int(pdf.shard.iloc[0]), "nodes": len(x), "dims": x.shape[1], "layers": sizes, "vectors": x.tobytes(),
+        graph = Graph.build(augmented(x, most), degree, build_width, sizes)
+        own = np.unique(np.linspace(0, len(x) - 1, PROBES).astype(np.int64))
+        beam = graph.fitting_width(np.concatenate([x[own], np.zeros((len(own), 1))], 1).astype(np.float32), own, k, width, recall)
+        return pd.DataFrame([{"shard": int(pdf.shard.iloc[0]), "nodes": len(x), "dims": x.shape[1], "width": beam, "layers": sizes, "vectors": x.tobytes(),
                               "owners": owner[by].astype("<i8").tobytes(), "ids": ids[by].astype("<i8").tobytes(),
-                              "links": [a.tobytes() for a in links]}])
+                              "links": [a.tobytes() for a in graph.links]}])
 
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard")
     return written(vectors.select(shard, "vec_id", "embedding").groupBy("shard").applyInPandas(build, INDEX)).withColumn("most", F.lit(most))
@@ -209,19 +240,20 @@ def loaded(row) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     return Graph(augmented(x, row.most), list(row.layers), links), x, np.searchsorted(owners, np.arange(row.nodes + 1)), ids
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, min_shards: int = 8, shard_rows: int = 200_000, degree: int = 16,
-            build_width: int = 64, width: int = 96, block: int = 8192) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, min_shards: int = 8, shard_rows: int = 20_000, degree: int = 32,
+            build_width: int = 128, width: int = 96, recall: float = 0.95, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every row whose id is divisible by ``every``.
 
     Shards hold about ``shard_rows`` rows (at least ``min_shards`` of them), queries go in blocks of
-    about ``block``; a task searches one block in one shard.
+    about ``block``; a task searches one block in one shard, with the beam (``width`` or wider) that found
+    ``recall`` of the nearest of the shard's probes.
     """
     rows = written(usable(vectors))
     n = rows.count()
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     shards = max(min_shards, -(-n // shard_rows))
     blocks = max(1, -(-asked.count() // block))
-    index = indexed(rows, shards, degree, build_width).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    index = indexed(rows, shards, degree, build_width, k + 1, width, recall).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     spread = asked.select("vec_id", "embedding", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int").alias("block"),
                           F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
@@ -230,12 +262,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, min_shards: int =
         out = [], [], []
         if len(index) and len(queries):
             graph, x, first, ids = loaded(index.iloc[0])
+            beam = int(index.width.iloc[0])
+            step = max(16, 512 * width // beam)
             q, owner = np.unique(np.stack(queries.embedding.to_numpy()), axis=0, return_inverse=True)
             asks = np.split(np.argsort(owner.reshape(-1), kind="stable"), np.cumsum(np.bincount(owner.reshape(-1)))[:-1])
             names = queries.vec_id.to_numpy()
-            for at in range(0, len(q), 512):
-                part = q[at:at + 512]
-                found, _ = graph.search(np.concatenate([part, np.zeros((len(part), 1))], 1).astype(np.float32), width)
+            for at in range(0, len(q), step):
+                part = q[at:at + step]
+                found, _ = graph.search(np.concatenate([part, np.zeros((len(part), 1))], 1).astype(np.float32), beam)
                 for row, near in enumerate(found):
                     near = near[near >= 0]
                     exact = (x[near] * part[row]).sum(axis=1)
