@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import json
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,6 +129,9 @@ def first_matching(candidates: list[DataFrame], test) -> DataFrame:
 
 # Directory layout .../<sample>/<position>/<channel>/<name>_<yyyymmdd>_<hhmmss>.csv
 DETECTION_PATH = r"([^/]+)/([^/]+)/([^/]+)/([^/]*?(\d{8}_\d{6})[^/]*)$"
+# Columns of a detection file.
+DETECTION_COLUMNS = ("id", "area", "perimeter", "circularity", "centroid_x", "centroid_y", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2",
+                     "score", "mean_intensity")
 
 
 def path_keys(path: Column) -> dict[str, Column]:
@@ -145,14 +151,69 @@ def latest(df: DataFrame, keys: list[str], newest: list[Column | str]) -> DataFr
     return df.withColumn("_newest", F.row_number().over(w)).where(F.col("_newest") == 1).drop("_newest")
 
 
+def plain_path(path: Column) -> Column:
+    """A file path of the scan's metadata without escapes, in the form a listing has."""
+    # url_decode reads '+' as a blank, file paths mean it.
+    text = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(text, "^([A-Za-z][A-Za-z0-9+.-]*:)//(?=/)", "$1")
+
+
+def folder_keys(path: Column) -> dict[str, Column]:
+    """sample, position, channel (the three folders) and file of a detection file path."""
+    part = F.split(path, "/")
+    return {n: F.element_at(part, -4 + i) for i, n in enumerate(("sample", "position", "channel", "file"))}
+
+
+def newest_paths(spark: SparkSession, root: str, pattern: str = "*_results_*.csv") -> DataFrame:
+    """sample, position, channel, file, path: the file that comes last by name in every channel folder.
+
+    Lists names only and opens no file.  A file that does not lie three folders below ``root`` is none of these.
+    """
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    top = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/")
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+              .load(root).select("path"))
+    below = F.substring(F.col("path"), F.lit(len(top) + 2), F.length("path"))
+    listed = listed.where(F.size(F.split(below, "/")) == 4).withColumns(folder_keys(F.col("path")))
+    best = F.max(F.struct("file", "path")).alias("_b")
+    return listed.groupBy("sample", "position", "channel").agg(best).select("sample", "position", "channel", "_b.file", "_b.path")
+
+
+def header_of(line: str) -> list[str]:
+    """Column names of a CSV header line; unnamed and repeated ones get names of their own."""
+    names: list[str] = []
+    for i, c in enumerate(next(csv.reader([line.lstrip("\ufeff")]))):
+        names.append(c if c and c not in names else f"_c{i}")
+    return names
+
+
 def latest_files(spark: SparkSession, root: str) -> DataFrame:
-    """Detections from the newest file of every (sample, position, channel) under ``root``."""
-    raw = (spark.read.option("header", True).option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "*_results_*.csv").format("csv").load(root))
-    keyed = raw.withColumns(path_keys(F.col("_metadata.file_path")))
-    keys = ["sample", "position", "channel"]
-    newest = small_side(keyed.groupBy(*keys).agg(F.max("stamp").alias("stamp")))
-    return detections(keyed.join(newest, [*keys, "stamp"], "left_semi"))
+    """Detections from the newest file of every (sample, position, channel) under ``root``.
+
+    A listing chooses the files, older ones are never opened.  The header of each chosen file counts, whatever
+    the others have: files are read in groups of equal headers, each with its own schema, and joined by name.
+    The list of chosen paths (one per channel) is held by the driver, as by every scan.
+    """
+    chosen = [r.path for r in newest_paths(spark, root).select("path").collect()]
+    # A reader takes these characters of a path for patterns.
+    chosen = [re.sub(r"([{}\[\]*?\\])", r"\\\1", p) for p in chosen]
+    blank = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in ("sample", "position", "channel", *DETECTION_COLUMNS)))
+    if not chosen:
+        return detections(blank)
+    # The header is the line with a column name for a cell: cells of data are numbers.
+    cell = r'(^|,)\s*"?(' + "|".join(DETECTION_COLUMNS) + r')"?\s*(,|$)'
+    path = F.col("_metadata.file_path")
+    lines = spark.read.text(chosen).where(F.col("value").rlike(cell))
+    heads = lines.select(F.rtrim("value").alias("head"), path.alias("path")).groupBy("head").agg(F.collect_set("path").alias("paths")).collect()
+    parts = [blank]
+    for h in heads:
+        names = header_of(h.head)
+        part = (spark.read.schema(", ".join(f"`{n.replace('`', '``')}` string" for n in names)).option("header", True)
+                .csv([re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(p)) for p in h.paths]))
+        keys = folder_keys(plain_path(path))
+        parts.append(part.select(*[keys[k].alias(k) for k in ("sample", "position", "channel")],
+                                 *[q(c) for c in names if c in DETECTION_COLUMNS]))
+    return detections(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
 
 
 def detections(df: DataFrame) -> DataFrame:

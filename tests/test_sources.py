@@ -141,6 +141,69 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "ls")).collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_only_the_newest_files_are_opened_and_each_header_counts(spark, tmp_path):
+    root = tmp_path / "in put+x"
+    def put(where, name, rows, drop=()):
+        (root / where).mkdir(parents=True, exist_ok=True)
+        rows.drop(columns=list(drop)).to_csv(root / where / name, index=False)
+    put("S 1/P+1/C0", "a_results_20240101_000000.csv", detection_rows(9))
+    put("S 1/P+1/C0", "a_results_20240202_000000.csv", detection_rows(3), ["mean_intensity"])
+    put("S 1/P+1/C1", "a_results_20240101_000000.csv", detection_rows(4)[detection_rows(4).columns[::-1]])
+    put("S 1/P+1/C2", "a_results_last.csv", detection_rows(2).assign(extra="x"))
+    put("S 1/P+1/C[3]", "a_results_20240101_000000.csv", detection_rows(1))
+    put("S 1/P+1/C4", "a_results_20240101_000000.csv", detection_rows(0))
+    put("S 1/P+1", "a_results_20240101_000000.csv", detection_rows(7))
+    d = tables.latest_files(spark, str(root))
+    opened = [f for f in d.inputFiles()]
+    assert len(opened) == 5 and not any("C0/a_results_20240101" in f for f in opened)
+    rows = d.collect()
+    assert {(r.sample, r.position) for r in rows} == {("S 1", "P+1")}
+    by = {c: [r for r in rows if r.channel == c] for c in ("C0", "C1", "C2", "C[3]", "C4")}
+    assert {c: len(v) for c, v in by.items()} == {"C0": 3, "C1": 4, "C2": 2, "C[3]": 1, "C4": 0}
+    assert {r.mean_intensity for r in by["C0"]} == {None}
+    assert sorted(r.mean_intensity for r in by["C1"] if r.mean_intensity is not None) == [1.123456789, 2.123456789]
+    assert sorted(r.centroid_x for r in by["C1"]) == [0, 5, 10, 15] and {r.score for r in rows} == {.8}
+    (tmp_path / "none").mkdir()
+    assert tables.latest_files(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_upserts_hold_one_row_a_key_and_equal_batch(spark, tmp_path):
+    root = tmp_path / "in"
+    def put(ch, stamp, n):
+        (root / "S1" / "P1" / ch).mkdir(parents=True, exist_ok=True)
+        detection_rows(n).to_csv(root / "S1" / "P1" / ch / f"det_results_{stamp:08d}_000000.csv", index=False)
+    def run(files):
+        q = streams.upsert_newest_counts(streams.detection_stream(spark, str(root), files), str(tmp_path / "t"), str(tmp_path / "c"))
+        assert q.awaitTermination(120) and q.exception() is None
+        table = {(r.channel, r.file): r.detections for r in streams.state_table(spark, str(tmp_path / "t")).collect()}
+        newest = {(r.channel, r.file) for r in tables.newest_paths(spark, str(root)).collect()}
+        counts = {r.channel: r["count"] for r in tables.latest_files(spark, str(root)).groupBy("channel").count().collect()}
+        assert set(table) == newest and {c: n for (c, _), n in table.items()} == counts
+    for stamp in range(30):
+        for ch in ("C0", "C1"):
+            put(ch, stamp, 1 + (stamp * 7) % 5)
+    run(15)
+    put("C0", 40, 8)
+    put("C1", 3, 2)
+    put("C2", 1, 6)
+    run(15)
+    assert len([p for p in (tmp_path / "t").iterdir()]) <= 2
+
+    from motes.operators.manifest import LOG_SCHEMA, log_state
+    logs = tmp_path / "log"
+    logs.mkdir()
+    for i in range(4):
+        lines = [{"time": f"2024-01-0{i + 1}T00:00:0{j}", "user_action": "add_step", "step_name": f"step{j}", "params": {"a": str(j)},
+                  "input_stage": "raw", "output_stage": f"s{i}{j}", "version_hash": "h", "sample": f"S{i + j % 2}", "position": "P1"} for j in range(5)]
+        (logs / f"{i}.json").write_text("\n".join(json.dumps(x) for x in lines))
+    state = streams.running_log_state(streams.log_stream(spark, str(logs), 1))
+    q = streams.upsert_state(state, ["sample", "position"], str(tmp_path / "lt"), str(tmp_path / "lc"))
+    assert q.awaitTermination(120) and q.exception() is None
+    batch = log_state(spark.read.schema(LOG_SCHEMA).json(str(logs)))
+    got = streams.state_table(spark, str(tmp_path / "lt")).select(*batch.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+
+
 def test_saved_filter_states():
     assert tables.saved_id_filter('{"enabled": true, "objectIds": [3, "4"]}') == [3, 4]
     assert tables.saved_id_filter('{"enabled": true, "objectIds": []}') == []
