@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motes.functions.scalars import neg_log10, significance_label
 from motes.functions.tails import chi2_sf, mann_whitney_p
-from motes.operators.ordering import average_ranks, exact_quantiles, running_total, value_counts, with_pieces
-from motes.session import small_side
+from motes.operators.ordering import average_ranks, exact_quantiles, value_counts, with_pieces
+from motes.session import saved, small_side
 
 
 def describe(long: DataFrame, keys: list[str] = ["marker", "sample"]) -> DataFrame:
@@ -82,29 +84,71 @@ def kruskal(long: DataFrame, group: str = "sample") -> DataFrame:
         "marker", "groups", "n", "h_statistic", "pvalue")
 
 
+#: Cells (values x samples) of one dense block of counts in a piece.
+BLOCK_CELLS = 2_000_000
+
+
+def _piece_sums(group: str):
+    """Per piece of values: what it adds to U and to the tie term of every sample pair.
+
+    Samples that meet a value here are the columns of a count matrix with a row per value; the weight of a
+    partner's smaller values starts from its running total before the piece.
+    """
+    def add(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        names = np.sort(before[group].to_numpy(dtype=object).astype(str))
+        col = np.searchsorted(names, rows[group].to_numpy(dtype=object).astype(str))
+        here = np.unique(col)  # samples with rows in this piece; all others add no U of their own
+        upto = np.zeros(len(names))
+        upto[np.searchsorted(names, before[group].to_numpy(dtype=object).astype(str))] = before["_before"].to_numpy(float)
+        level, value = np.unique(rows["value"].to_numpy(), return_inverse=True)
+        order = np.argsort(value, kind="stable")
+        value, slot, n = value[order], np.searchsorted(here, col[order]), rows["n"].to_numpy(float)[order]
+        u = np.zeros((len(here), len(names)))
+        ties = np.zeros((len(here), len(here)))
+        step = max(1, BLOCK_CELLS // max(1, len(here)))
+        for lo in range(0, len(level), step):
+            i, j = np.searchsorted(value, [lo, lo + step])
+            x = np.zeros((min(step, len(level) - lo), len(here)))
+            np.add.at(x, (value[i:j] - lo, slot[i:j]), n[i:j])
+            total = x.sum(0)
+            u += np.outer(total, upto)
+            u[:, here] += x.T @ (np.cumsum(x, 0) - x / 2)
+            upto[here] += total
+            cross = (x * x).T @ x
+            ties += 3 * (cross + cross.T)
+        one, two = np.nonzero((here[:, None] < np.arange(len(names))[None, :]) & (u != 0))
+        t = np.zeros(len(one))
+        both = np.isin(names[two], names[here])
+        t[both] = ties[one[both], np.searchsorted(here, two[both])]
+        return pd.DataFrame({"marker": rows["marker"].iloc[0] if len(rows) else None, "sample_1": names[here[one]], "sample_2": names[two],
+                             "_u": u[one, two], "_t": t})
+    return add
+
+
 def mann_whitney(long: DataFrame, group: str = "sample") -> DataFrame:
     """Mann-Whitney U of every unordered sample pair per marker, with p and rank-biserial effect.
 
-    Equal values are collapsed first.  A value takes part once per partner sample;
-    its count of smaller partner values comes from a running total of pieces.
+    Equal values are collapsed first and shuffled once, whatever the number of samples: values are opened
+    piece by piece, and a piece knows the running totals of all samples before it, so it adds to all pairs at once.
     """
-    counts = value_counts(long, ["marker", group], "value")
-    samples = small_side(counts.select("marker", F.col(group).alias("_g")).distinct())
+    counts = value_counts(long, ["marker", group], "value").where(F.col("marker").isNotNull() & F.col(group).isNotNull())
+    counts = saved(counts.withColumn(group, F.col(group).cast("string")))
     cut = with_pieces(counts, ["marker"], "value")
-    pairs = cut.join(samples, "marker").where(F.col(group) != F.col("_g"))
-    pairs = pairs.select("marker", F.least(group, "_g").alias("sample_1"), F.greatest(group, "_g").alias("sample_2"),
-                         (F.col(group) < F.col("_g")).alias("_first"), "value", "n", "_piece")
-    keys = ["marker", "sample_1", "sample_2"]
-    per = pairs.groupBy(*keys, "_piece", "value").agg(
-        F.sum(F.when(F.col("_first"), F.col("n")).otherwise(0)).alias("c1"),
-        F.sum(F.when(~F.col("_first"), F.col("n")).otherwise(0)).alias("c2"))
-    low = running_total(per, keys, "value", "c2", "_upto2")
-    t = (F.col("c1") + F.col("c2")).cast("double")
-    u = low.groupBy(*keys).agg(
-        F.sum("c1").alias("n_1"), F.sum("c2").alias("n_2"),
-        F.sum(F.col("c1") * (F.col("_upto2") - F.col("c2") / 2)).alias("u_statistic"),
-        F.sum(t * t * t - t).alias("_ties"))
-    u = u.where((F.col("n_1") > 0) & (F.col("n_2") > 0))
+    totals = saved(cut.groupBy("marker", "_piece", group).agg(F.sum("n").alias("_in"), F.sum(F.pow("n", F.lit(3))).alias("_cube")))
+    sizes = totals.groupBy("marker", group).agg(F.sum("_in").alias("_n"), F.sum("_cube").alias("_cube"))
+    grid = totals.select("marker", "_piece").distinct().join(sizes.select("marker", group), "marker")
+    earlier = Window.partitionBy("marker", group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = (grid.join(totals, ["marker", "_piece", group], "left")
+              .select("marker", "_piece", group, F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before")))
+    kind = long.schema["marker"].dataType.simpleString()
+    added = cut.select("marker", "_piece", group, "value", "n").groupBy("marker", "_piece").cogroup(before.groupBy("marker", "_piece")).applyInPandas(
+        _piece_sums(group), f"marker {kind}, sample_1 string, sample_2 string, _u double, _t double")
+    sums = added.groupBy("marker", "sample_1", "sample_2").agg(F.sum("_u").alias("_u"), F.sum("_t").alias("_t"))
+    one = sizes.select("marker", F.col(group).alias("sample_1"), F.col("_n").alias("n_1"), F.col("_cube").alias("_c1"))
+    two = sizes.select("marker", F.col(group).alias("sample_2"), F.col("_n").alias("n_2"), F.col("_cube").alias("_c2"))
+    u = one.join(two, "marker").where(F.col("sample_1") < F.col("sample_2")).join(sums, ["marker", "sample_1", "sample_2"], "left")
+    u = u.select("marker", "sample_1", "sample_2", "n_1", "n_2", F.coalesce("_u", F.lit(0.0)).alias("u_statistic"),
+                 (F.coalesce("_t", F.lit(0.0)) + F.col("_c1") + F.col("_c2") - F.col("n_1") - F.col("n_2")).alias("_ties"))
     effect = 2 * F.col("u_statistic") / (F.col("n_1").cast("double") * F.col("n_2")) - 1
     return (u.withColumn("pvalue", mann_whitney_p("u_statistic", "n_1", "n_2", "_ties"))
             .withColumn("effect_size_rbc", effect).drop("_ties"))

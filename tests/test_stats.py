@@ -162,3 +162,36 @@ def test_regions_of_one_line_and_one_pixel(spark):
     got = {r.label: r.elongation for r in p.collect()}
     assert abs(got[1] - 12.0) < 1e-9 and got[2] == 1.0
     assert [r.label for r in qc.blob_filter(p, area=(1, 50), circularity=(0, 2), min_inertia=0).collect()] == [1]
+
+
+def test_pairwise_ranks_of_many_samples_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(m, f"s{s}", float(v)) for m in ("a", "b") for s in range(12)
+            for v in (rng.integers(0, 40, 30) if s % 3 else rng.normal(20, 9, 25))]
+    rows += [("a", "hot", 7.0)] * 500 + [("a", "low", -100.0), ("a", "high", 1e9), ("a", "none", None), ("b", "nan", float("nan")), ("b", None, 1.0)]
+    df = spark.createDataFrame(rows, "marker string, sample string, value double")
+    got = {(r.marker, r.sample_1, r.sample_2): r for r in compare.mann_whitney(df).collect()}
+    values = {}
+    for m, s, v in rows:
+        if v is not None and s is not None:
+            values.setdefault((m, s), []).append(float("inf") if v != v else v)
+    keys = {(m, s, t) for m, s in values for n, t in values if m == n and s < t}
+    assert set(got) == keys
+    for m, s, t in keys:
+        a, b = np.array(values[m, s]), np.array(values[m, t])
+        u = (a[:, None] > b).sum() + (a[:, None] == b).sum() / 2
+        r = got[m, s, t]
+        assert (r.n_1, r.n_2, r.u_statistic) == (len(a), len(b), u)
+        c = np.unique(np.concatenate([a, b]), return_counts=True)[1].astype(float)
+        assert r.pvalue == pytest.approx(tails.mwu_p(float(u), len(a), len(b), float((c ** 3 - c).sum())), rel=1e-9, nan_ok=True)
+
+
+def test_pairwise_ranks_shuffle_values_once(spark, monkeypatch):
+    monkeypatch.setattr(compare, "BLOCK_CELLS", 50)
+    rows = [("a", f"s{s}", float((v * 7 + s) % 31)) for s in range(9) for v in range(60)]
+    df = spark.createDataFrame(rows, "marker string, sample string, value double")
+    got = {(r.sample_1, r.sample_2): r.u_statistic for r in compare.mann_whitney(df).collect()}
+    for (s, t), u in got.items():
+        a, b = (np.array([v for _, k, v in rows if k == x]) for x in (s, t))
+        assert u == (a[:, None] > b).sum() + (a[:, None] == b).sum() / 2
+    assert len(got) == 36
