@@ -93,3 +93,23 @@ def test_few_vectors(spark):
     got = hnsw.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0]), (40, [-1.0, 0.0])], schema)).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [
         (0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 40, -1.0), (40, 1, 1, -0.5), (40, 2, 2, -0.5), (40, 3, 0, -1.0)]
+
+
+def test_beam_widens_until_the_probes_are_found():
+    rng = np.random.default_rng(5)
+    n, d = 2500, 48
+    centers = rng.normal(size=(60, d))
+    for x in (rng.normal(size=(n, d)), centers[rng.integers(0, 60, n)] + .05 * rng.normal(size=(n, d))):
+        g = hnsw.Graph.build(hnsw.augmented(x, (x * x).sum(1).max()), 8, 24, hnsw.level_sizes(n, 8))
+        own = np.arange(0, n, 20)
+        q = np.concatenate([x, np.zeros((n, 1))], 1).astype(np.float32)
+        width = g.fitting_width(q[own], own, 21, 24, .95)
+        other = np.arange(7, n, 25)
+        found, _ = g.search(q[other], width)
+        sims = x[other] @ x.T
+        sims[np.arange(len(other)), other] = -np.inf
+        best = np.argsort(-sims, axis=1)[:, :20]
+        recall = np.array([len(set(b) & set(f)) / 20 for b, f in zip(best, found)])
+        assert recall.mean() >= .9 and recall.min() > 0
+    one = hnsw.Graph.build(np.ones((1, 3), np.float32), 8, 24, [1])
+    assert one.fitting_width(np.ones((1, 3), np.float32), np.array([0]), 21, 24, .95) == 24
