@@ -1,16 +1,21 @@
 """The two end-to-end analyses: object-table statistics and spatial colocalisation.
 
-Both return named lazy tables; the export sink writes the ones a user wants.
+Both return named lazy tables; the export sink writes the ones a user wants.  What several of them share
+(typed rows, component coordinates, matches, the long reference table) is written once to the checkpoint
+folder, so the input is read and matched once for all sinks.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motes.operators import coloc, compare, cooccur, learn, matrix, profile, qc, spatial
 from motes.plans.fixtures import MARKERS, objects
-from motes.schema import BG_PREFIX, RAW_PREFIX, default_reference
+from motes.schema import BG_PREFIX, RAW_PREFIX, default_reference, requested_markers
+from motes.session import saved
 from motes.sources import export, tables
 
 
@@ -24,14 +29,17 @@ def describe_normalized(spark: SparkSession, sf: str) -> DataFrame:
 
 def object_statistics(raw: DataFrame, *, nan_threshold: float = 0.5, use_filtered: bool = False,
                       binarize: str = "auto", percentile: float = 95.0, reference: str | None = None,
-                      draws: int = 1000, clusters: int = 5) -> dict[str, DataFrame]:
+                      draws: int = 1000, clusters: int = 5, markers: list[str] | None = None,
+                      space: str = "pca") -> dict[str, DataFrame]:
     """Load, QC, normalise, scale, binarise, co-occurrence, PCA, k-means, comparison, position QC.
 
     ``binarize`` = ``auto`` thresholds the loaded marker values at 0.5, as the load
     marks them as positives already; ``matrix`` takes a percentile of the normalised
     values.  The QC result is reported but, unless asked for, not used further on.
+    ``markers`` narrows the valid markers; ``space`` is where k-means runs: ``pca`` or ``scaled`` features.
     """
-    df, schema = tables.load_objects(raw, nan_threshold)
+    df, schema = tables.load_objects(raw, nan_threshold, write_once=True)
+    schema = replace(schema, valid=tuple(requested_markers(markers, list(schema.valid), df.columns)))
     valid = list(schema.valid)
     preds = qc.qc_predicates(df.columns)
     filtered = qc.qc_filter(df, preds)
@@ -47,7 +55,9 @@ def object_statistics(raw: DataFrame, *, nan_threshold: float = 0.5, use_filtere
     ref = reference or default_reference(valid)
     feats = learn.features(work, learn.feature_source(schema))
     coords, variance = learn.pca(feats, valid, min(2, len(valid)))
-    labels, _ = learn.kmeans(coords, [c for c in coords.columns if c.startswith("pc")], clusters)
+    coords = saved(coords)
+    where = (coords, [f"pc{i + 1}" for i in range(min(2, len(valid)))]) if space == "pca" else learn.space(feats, valid, space)
+    labels, _ = learn.kmeans(*where, clusters)
     compared = compare.compare_samples(matrix.long_form(normalized, list(source)))
     out = {
         "cleaned": df, "qc_filtered": filtered, "qc_summary": qc.qc_summary(df, preds),
@@ -75,6 +85,7 @@ def colocalization(dets: DataFrame, reference: str, channels: list[str], keys: l
 
     ``mode``: nearest_centroid, or overlap by label masks (keys, channel, y, x, label) or boxes.
     """
+    dets = saved(dets.where(F.col("channel").isin(reference, *channels)))
     refs = qc.restrict_to(dets.where(F.col("channel") == reference), only_ids, [*keys, "id"])
     marks = dets.where(F.col("channel").isin(channels))
     if mode == "nearest_centroid":
@@ -90,8 +101,9 @@ def colocalization(dets: DataFrame, reference: str, channels: list[str], keys: l
             ref_px = own.withColumn("channel", F.explode(F.array(*[F.lit(c) for c in channels])))
             mark_px = labels.where(F.col("channel").isin(channels))
         matches = spatial.overlap_matches(each, marks, by, ref_px, mark_px)
+    matches = saved(matches)
     hits = coloc.channel_hits(matches, keys, marks if "mean_intensity" in dets.columns else None)
-    long = coloc.reference_long(refs, hits, channels, keys, background)
+    long = saved(coloc.reference_long(refs, hits, channels, keys, background))
     status = coloc.reference_status(long, keys)
     return {
         "matches": matches, "reference_long": long,

@@ -47,15 +47,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` as a plain table in the checkpoint folder: read back in stages of its own, so AQE may split a
-    key that many rows share, and a count of it is read off the files."""
-    sc = df.sparkSession.sparkContext
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder, which all executors share; removed when the session ends."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        checkpoint(df.limit(0))
+        checkpoint(spark.range(0))
     path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
     folder = sc._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` as a plain table in the checkpoint folder: read back in stages of its own, so AQE may split a
+    key that many rows share, and a count of it is read off the files."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

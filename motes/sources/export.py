@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motes.functions.scalars import natural_number, q
@@ -10,12 +15,76 @@ from motes.operators.ordering import row_numbers
 from motes.operators.profile import score_report
 
 
-def write_bundle(tables: dict[str, DataFrame], root: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Every named table to ``root/<name>``; nested cells become JSON text in CSV."""
-    for name, df in tables.items():
-        w = json_cells(df) if fmt == "csv" else df
-        writer = w.write.mode(mode)
-        (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(f"{root}/{name}")
+#: Written last into a bundle: one line of JSON, table name -> format.
+COMMITTED = "_COMMITTED"
+
+
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path`` and its path class."""
+    kind = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return kind(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), kind
+
+
+def bundle_tables(spark: SparkSession, root: str) -> dict[str, str]:
+    """Names and formats of a committed bundle's tables; an error if the bundle is missing or was broken off."""
+    fs, path = _folder(spark, root)
+    marker = path(f"{root}/{COMMITTED}")
+    if not fs.exists(marker):
+        raise ValueError(f"no committed bundle in {root}")
+    stream = fs.open(marker)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def read_bundle(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of a committed bundle; cells of CSV tables are text."""
+    return {name: (spark.read.option("header", True) if fmt == "csv" else spark.read).format(fmt).load(f"{root}/{name}")
+            for name, fmt in bundle_tables(spark, root).items()}
+
+
+def write_bundle(tables: dict[str, DataFrame], root: str, fmt: str = "parquet", mode: str = "overwrite", sinks: int = 4) -> None:
+    """Every named table to ``root/<name>``; nested cells become JSON text in CSV.
+
+    All tables are written into a staging folder first; a failure there leaves the bundle as it was.  Then
+    the marker goes, the tables take their places, and a marker that lists all tables of the bundle
+    comes last.  A reader that finds no marker knows that the bundle is not whole.  Other tables of the
+    bundle stay.  ``mode`` is ``overwrite``, or ``error`` to refuse names the bundle already has.
+    ``sinks`` tables are written at a time, so small ones do not wait for the last task of a large one.
+    """
+    if mode not in ("overwrite", "error"):
+        raise ValueError("mode must be overwrite or error")
+    for name in tables:
+        if not name or name.startswith(("_", ".")) or "/" in name:
+            raise ValueError(f"not a table name: {name!r}")
+    if not tables:
+        return
+    spark = next(iter(tables.values())).sparkSession
+    fs, path = _folder(spark, root)
+    if mode == "error" and (there := sorted(n for n in tables if fs.exists(path(f"{root}/{n}")))):
+        raise ValueError(f"{root} already holds {there}")
+    staging = f"{root}/_staging-{uuid.uuid4().hex}"
+
+    def write(item: tuple[str, DataFrame]) -> None:
+        w = json_cells(item[1]) if fmt == "csv" else item[1]
+        (w.write.option("header", True) if fmt == "csv" else w.write).format(fmt).save(f"{staging}/{item[0]}")
+
+    try:
+        with ThreadPoolExecutor(sinks) as pool:
+            list(pool.map(inheritable_thread_target(spark)(write), tables.items()))
+        marker = path(f"{root}/{COMMITTED}")
+        listed = (bundle_tables(spark, root) if fs.exists(marker) else {}) | {name: fmt for name in tables}
+        fs.delete(marker, False)
+        for name in tables:
+            fs.delete(path(f"{root}/{name}"), True)
+            if not fs.rename(path(f"{staging}/{name}"), path(f"{root}/{name}")):
+                raise OSError(f"cannot move {name} into {root}")
+        out = fs.create(marker, True)
+        out.write(bytearray(json.dumps(listed, sort_keys=True).encode()))
+        out.close()
+    finally:
+        fs.delete(path(staging), True)
 
 
 def json_cells(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from motes.functions.scalars import lenient_double, natural_number, q
 from motes.schema import BG_PREFIX, BG_SUB, FIXED, POSITIVE, RAW_MEAN, RAW_PREFIX, MarkerSchema, column_difference
-from motes.session import checkpoint, small_side
+from motes.session import checkpoint, saved, small_side
 
 
 def read_table(spark: SparkSession, path, fmt: str | None = None) -> DataFrame:
@@ -62,10 +62,16 @@ def valid_markers(shares: dict[str, float], threshold: float = 0.5) -> list[str]
     return [m for m, s in shares.items() if s == low]
 
 
-def load_objects(df: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, MarkerSchema]:
-    """Typed object table with one value column per marker, and its schema with the valid markers."""
+def load_objects(df: DataFrame, threshold: float = 0.5, write_once: bool = False) -> tuple[DataFrame, MarkerSchema]:
+    """Typed object table with one value column per marker, and its schema with the valid markers.
+
+    ``write_once`` keeps the typed table in the checkpoint folder: text is parsed once, whatever
+    number of tables is derived, and each reads only its own columns.
+    """
     schema = MarkerSchema.infer(df.columns)
     typed = typed_objects(df, schema)
+    if write_once:
+        typed = saved(typed)
     valid = valid_markers(missing_shares(typed, schema), threshold)
     typed = typed.na.fill(0.0, [m + POSITIVE for m in schema.markers])
     typed = typed.withColumns({m: q(schema.value_column(m)) for m in schema.markers})

@@ -45,6 +45,69 @@ def test_object_table_end_to_end(spark, tmp_path):
     assert doc["total_objects"] == 240 and doc["samples"] == ["A", "B", "C"]
 
 
+def counted(df, acc):
+    """``df`` with every row that passes added to an accumulator."""
+    def each(parts):
+        for p in parts:
+            acc.add(len(p))
+            yield p
+    return df.mapInPandas(each, df.schema)
+
+
+def test_a_bundle_reads_its_input_once_and_matches_once(spark, tmp_path, monkeypatch):
+    object_csv(tmp_path / "o.csv", n=90)
+    rows, dets, pairs = (spark.sparkContext.accumulator(0) for _ in range(3))
+    raw = counted(tables.read_table(spark, str(tmp_path / "o.csv")), rows)
+    out = workflows.object_statistics(raw, binarize="matrix", percentile=60.0, draws=5, clusters=2, markers=["CD81", "CD9", "other"])
+    export.write_bundle(out, str(tmp_path / "bundle"), "json")
+    assert rows.value == 90
+    assert set(export.bundle_tables(spark, str(tmp_path / "bundle"))) == set(out)
+    assert out["combinations"].select("combination").first()[0] == "CD81+CD9"  # schema order
+    near = workflows.coloc.nearest_by_channel
+    monkeypatch.setattr(workflows.coloc, "nearest_by_channel", lambda *a, **kw: counted(near(*a, **kw), pairs))
+    detection_folder(tmp_path / "in")
+    d = counted(tables.latest_files(spark, str(tmp_path / "in")), dets)
+    res = workflows.colocalization(d, "C0", ["C1_ch1"], limit=2.0)
+    export.write_bundle(res, str(tmp_path / "coloc"), "csv")
+    assert (dets.value, pairs.value) == (11, res["matches"].count())
+    back = export.read_bundle(spark, str(tmp_path / "coloc"))
+    assert {k: v.count() for k, v in back.items()} == {k: v.count() for k, v in res.items()}
+
+
+def test_clusters_in_the_chosen_space(spark, tmp_path):
+    object_csv(tmp_path / "o.csv", n=60)
+    raw = tables.read_table(spark, str(tmp_path / "o.csv"))
+    for space in ("pca", "scaled"):
+        assert workflows.object_statistics(raw, draws=5, clusters=2, space=space)["clusters"].count() == 60
+    with pytest.raises(ValueError, match="space"):
+        workflows.object_statistics(raw, draws=5, clusters=2, space="other")
+
+
+def test_bundles_are_whole_or_as_they_were(spark, tmp_path):
+    root = str(tmp_path / "b")
+    a, b = spark.range(3), spark.range(5)
+    broken = b.withColumn("x", F.expr("cast(raise_error('lost') as int)"))
+    with pytest.raises(ValueError, match="no committed bundle"):
+        export.read_bundle(spark, root)
+    export.write_bundle({"a": a, "b": a}, root)
+    with pytest.raises(Exception, match="lost"):
+        export.write_bundle({"a": b, "b": broken}, root)
+    assert {k: v.count() for k, v in export.read_bundle(spark, root).items()} == {"a": 3, "b": 3}
+    export.write_bundle({"b": b, "c": b.withColumn("l", F.array("id"))}, root, "csv")
+    back = export.read_bundle(spark, root)
+    assert {k: v.count() for k, v in back.items()} == {"a": 3, "b": 5, "c": 5}
+    assert sorted(r.l for r in back["c"].collect()) == [f"[{i}]" for i in range(5)]
+    with pytest.raises(ValueError, match="already holds \\['a'\\]"):
+        export.write_bundle({"a": b, "d": b}, root, mode="error")
+    assert sorted(p.name for p in (tmp_path / "b").iterdir() if not p.name.startswith(".")) == ["_COMMITTED", "a", "b", "c"]
+    for name in ("_x", "a/b", ""):
+        with pytest.raises(ValueError, match="not a table name"):
+            export.write_bundle({name: a}, root)
+    # tables that come from the bundle itself are read before anything of it is replaced
+    export.write_bundle({"a": export.read_bundle(spark, root)["a"].union(a)}, root)
+    assert export.read_bundle(spark, root)["a"].count() == 6
+
+
 def test_labels_come_from_all_restarts_and_iterations(spark, sf, tmp_path, monkeypatch):
     from motes.operators import graph
     from motes.plans import spatial_queries
