@@ -121,9 +121,5 @@ def between_open(c: Column, low: float | None, high: float | None) -> Column:
 
 
 def epoch_or_zero(text: Column) -> Column:
-    """Seconds since epoch of an ISO time text; anything else is 0."""
-    return F.coalesce(F.unix_timestamp(F.try_to_timestamp(text)), F.lit(0))
-
-
-def safe_name(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "_")
+    """Seconds since epoch of an ISO time text, with their fraction; anything else is 0."""
+    return F.coalesce(F.unix_micros(F.try_to_timestamp(text)) / 1e6, F.lit(0.0))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from motes.functions.scalars import clip, lenient_double, short_hash
 from motes.operators.ordering import carried
-from motes.session import small_side
 
 # Statuses of a manifest record, and those that are processed by default.
 STATUSES = ["recommended", "approved", "edited", "applied", "failed", "cancelled"]
@@ -55,9 +54,6 @@ def clamped_params(params: DataFrame, keys: list[str], ranges: DataFrame | None
                     F.when(F.col("type").isin("int", "float"), bound).alias("number"))
 
 
-def params_long(df: DataFrame, keys: list[str], params: str = "params") -> DataFrame:
-    return df.select(*keys, F.explode(params).alias("name", "value"))
-
 
 def clamped_maps(df: DataFrame, params: str = "params") -> DataFrame:
     """The map column with every known number clamped; done in place, without a join."""
@@ -159,11 +155,6 @@ def version_hash(params: Column) -> Column:
     return short_hash(F.to_json(F.map_from_entries(ordered)))
 
 
-def merged_params(base: Column, patch: Column) -> Column:
-    """Patch over base; patched keys win."""
-    left = F.map_filter(base, lambda k, v: ~F.map_contains_key(patch, k))
-    return F.when(base.isNull(), patch).when(patch.isNull(), base).otherwise(F.map_concat(left, patch))
-
 
 # -- parameter texts -----------------------------------------------------------
 
@@ -223,13 +214,6 @@ def log_state(log: DataFrame, keys: list[str] = ["sample", "position"]) -> DataF
         *keys, "steps", "updated_at", "_l.*")
 
 
-def step_counts(log: DataFrame) -> DataFrame:
-    return log.groupBy("step_name").agg(F.count("*").alias("count"))
-
-
-def images_by_status(df: DataFrame) -> DataFrame:
-    return small_side(df.groupBy("status").agg(F.count("*").alias("count")))
-
 
 # -- answers and patches as JSON -------------------------------------------------
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motes.functions.scalars import significance_label
 from motes.operators import compare, cooccur, learn, matrix, profile, qc
 from motes.plans.fixtures import LONG, MARKERS, OBJECTS, SPARSE, objects, sparse, table
-from motes.schema import MarkerSchema
+from motes.schema import MarkerSchema, requested_markers
 from motes.sources import export, tables
 
 QUERIES: dict = {}
@@ -34,6 +36,12 @@ def long(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.long_form(objects(spark, sf), MARKERS)
 
 
+BIN = """b as (select object_id, m1 > 25 as b0, m2 > 0.05 as b1, m3 > 0.04 as b2, m4 > 950 as b3 from objects)"""
+COMBOS = """k as (select m, list_filter([0, 1, 2, 3], lambda i: (m >> i) & 1 = 1) as idx from range(16) t(m)),
+n as (select count(*)::double n, [avg(b0::int), avg(b1::int), avg(b2::int), avg(b3::int)] f from b),
+x as (select b0::int + 2 * b1::int + 4 * b2::int + 8 * b3::int as mask, count(*) c from b group by 1),
+o as (select k.m, any_value(idx) idx, coalesce(sum(c) filter ((mask & k.m) = k.m), 0) obs from k, x group by k.m)"""
+
 PREDS = dict(area_range=(5, 45), circularity_range=(0.15, 0.85), min_score=1500.0, score_column="pan_score",
              min_marker={"m1": 3.0})
 PREDS_SQL = """area > 0 and perimeter > 0 and circularity is not null and area between 5 and 45
@@ -291,6 +299,24 @@ def score_report(spark, sf):
     return rounded(profile.score_report(objects(spark, sf), "pan_score"), ["mean_score"])
 
 
+@query(f"""with {OBJECTS}, {BIN}, {COMBOS}, c as (select count(*) n, count(*) filter (pan_score < 2000) low, count(*) filter ({PREDS_SQL}) k,
+  min(pan_score) a, max(pan_score) z from objects),
+t as (select array_to_string(list_transform(idx, lambda i: 'm' || (i + 1)), '+') as combination, obs from o where len(idx) >= 2)
+select 'score' as section, 'range' as item, printf('%.2f to %.2f', a, z) as text from c
+union all select 'low_anchor', 'sentence', case when low / n > 0.05 then 'Warning: ' else '' end || printf('%.1f', low * 100.0 / n) || '% of objects have a low anchor score' from c
+union all select 'qc', 'sentence', 'Objects before filtering: ' || n || ' | After: ' || k || ' | Removed: ' || (n - k) || ' (' || printf('%.1f', (n - k) * 100.0 / n) || '%)' from c
+union all select 'top_combinations', combination, obs::bigint::varchar from (select * from t order by obs desc, combination limit 20)""")
+def report_sections(spark, sf):
+    """The tables of the report as one long table of texts."""
+    o = objects(spark, sf)
+    combos = cooccur.combinations(binary(spark, sf), MARKERS).withColumn("fdr_pvalue", F.lit(1.0))
+    t = export.report_tables(o, "pan_score", combos, matrix.low_anchor_fraction(o, "pan_score", 2000.0),
+                             qc.qc_summary(o, qc.qc_predicates(o.columns, **PREDS)))
+    rows = {"score": (F.lit("range"), F.format_string("%.2f to %.2f", "min_score", "max_score")), "low_anchor": (F.lit("sentence"), F.col("sentence")),
+            "qc": (F.lit("sentence"), F.col("sentence")), "top_combinations": (F.col("combination"), F.col("observed_count").cast("string"))}
+    return reduce(DataFrame.union, [t[k].select(F.lit(k).alias("section"), item.alias("item"), text.alias("text")) for k, (item, text) in rows.items()])
+
+
 @query(f"with {OBJECTS} select object_id, sample, position, pan_score from objects order by pan_score desc, object_id limit 30")
 def report_preview(spark, sf):
     o = objects(spark, sf).select("object_id", "sample", "position", "pan_score")
@@ -391,7 +417,6 @@ def bh_adjust(spark, sf):
 
 # -- combinations --------------------------------------------------------------
 
-BIN = """b as (select object_id, m1 > 25 as b0, m2 > 0.05 as b1, m3 > 0.04 as b2, m4 > 950 as b3 from objects)"""
 
 
 def binary(spark, sf) -> DataFrame:
@@ -399,10 +424,6 @@ def binary(spark, sf) -> DataFrame:
     return matrix.binarize(objects(spark, sf), MARKERS, t)
 
 
-COMBOS = """k as (select m, list_filter([0, 1, 2, 3], lambda i: (m >> i) & 1 = 1) as idx from range(16) t(m)),
-n as (select count(*)::double n, [avg(b0::int), avg(b1::int), avg(b2::int), avg(b3::int)] f from b),
-x as (select b0::int + 2 * b1::int + 4 * b2::int + 8 * b3::int as mask, count(*) c from b group by 1),
-o as (select k.m, any_value(idx) idx, coalesce(sum(c) filter ((mask & k.m) = k.m), 0) obs from k, x group by k.m)"""
 
 
 @query(f"""with {OBJECTS}, {BIN}, {COMBOS}
@@ -511,6 +532,16 @@ def pca_variance(spark, sf):
                  F.round(F.sum(e * e), 8).alias("sum_squared_ratio"))
 
 
+@query(f"""with {OBJECTS}, s as (select avg(m1) a1, avg(m2) a2, avg(m4) a4, stddev_pop(m1) s1, stddev_pop(m2) s2, stddev_pop(m4) s4 from objects)
+select object_id, round(((m1 - a1) / s1) ** 2 + ((m2 - a2) / s2) ** 2 + ((m4 - a4) / s4) ** 2, 4) as squared_norm from objects, s""")
+def pca_norms(spark, sf):
+    """All components of the requested markers keep the length of every object's scaled vector."""
+    f = _features(spark, sf)
+    chosen = requested_markers(["m4", "m2", "none", "m1"], MARKERS, f.columns)
+    coords, names = learn.space(f, chosen, "pca", len(chosen))
+    return coords.select("object_id", F.round(reduce(lambda a, b: a + b, [F.col(c) * F.col(c) for c in names]), 4).alias("squared_norm"))
+
+
 @query()
 def kmeans_labels(spark, sf):
     labels, cost = learn.kmeans(_features(spark, sf), MARKERS, k=5)

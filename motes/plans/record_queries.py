@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from motes.functions import scalars
 from motes.operators import geometry, manifest
-from motes.plans.fixtures import DETECTIONS, detections, marker_detections, objects, OBJECTS, references, table
+from motes.plans.fixtures import DETECTIONS, MARKERS, detections, marker_detections, objects, OBJECTS, references, table
 from motes.plans.objects import rounded
+from motes.session import shared_path, small_side
 from motes.sources import export, tables
 
 QUERIES: dict = {}
@@ -200,6 +201,81 @@ def source_priority(spark, sf):
     return tables.preferred_source(files(spark, sf).withColumn("priority", p), ["sample", "channel"])
 
 
+@query(f"""with {FILES.replace("event_type as channel", "case when event_type = 'error' then 'C0' else 'C' || (user_id % 3) || '_ch' || (length(event_type) % 4) end as channel")},
+dim as (select 'C' || c as cycle, 'CH' || h as ch, 'M' || c || h as marker from range(2) a(c), range(3) b(h)),
+w as (select sample, channel, max(path) filter (path like 'det_results_%.csv') p from files group by 1, 2)
+select sample, channel, p as csv_path, coalesce(marker, '') as biomarker, (p is not null)::int as included
+from w left join dim on channel like '%\\_ch%' escape '\\' and cycle = split_part(channel, '_', 1) and ch = upper(split_part(channel, '_', 2))""")
+def artefact_biomarkers(spark, sf):
+    """The artefact inventory with marker names; some channels are not in the dimension, some have no number."""
+    f = files(spark, sf)
+    name = F.concat(F.lit("C"), F.col("sample") % 3, F.lit("_ch"), F.length("channel") % 4)
+    f = f.withColumn("channel", F.when(F.col("channel") == "error", "C0").otherwise(name))
+    dim = spark.createDataFrame([(f"c{c}", f"Ch{h}", f"M{c}{h}") for c in range(2) for h in range(3)], "cycle string, channel string, marker string")
+    i = tables.artefact_inventory(f, ["sample", "channel"], dim=dim)
+    return i.select("sample", "channel", "csv_path", "biomarker", F.col("included").cast("int").alias("included"))
+
+
+IMAGES = f"""images as (select event_id // 4 as sample, user_id % 2 as position, case (event_id * 7 + user_id) % 9 {' '.join(f"when {i} then '{s}'" for i, s in enumerate(tables.IMAGE_STAGES))} end as stage,
+  (event_id * 7 + user_id) % 9 as place, event_type || '_' || event_id || '.tif' as path, event_id % 3 <> 0 as there from events)"""
+
+
+@query(f"""with {IMAGES}, first as (select *, row_number() over (partition by sample, position order by place, path) k from images where place between 1 and 7),
+tries as (select sample, position, 0 as step, path, stage from images where place = 0 and there
+  union all select sample, position, 1, path, stage from first where k = 1 and there
+  union all select sample, position, 2, path, stage from images where place = 8 and there),
+best as (select *, row_number() over (partition by sample, position order by step, path) k from tries)
+select i.sample, i.position, b.path, b.stage from (select distinct sample, position from images) i
+left join (select * from best where k = 1) b on i.sample = b.sample and i.position = b.position""")
+def preferred_image(spark, sf):
+    place = ((F.col("event_id") * 7 + F.col("user_id")) % 9).cast("int")
+    c = table(spark, sf, "events").select(
+        F.expr("event_id div 4").alias("sample"), (F.col("user_id") % 2).alias("position"),
+        F.get(F.array(*[F.lit(s) for s in tables.IMAGE_STAGES]), place).alias("stage"),
+        F.concat_ws("", "event_type", F.lit("_"), "event_id", F.lit(".tif")).alias("path"), (F.col("event_id") % 3 != 0).alias("exists"))
+    return tables.preferred_image(c, ["sample", "position"])
+
+
+@query("select event_id, case event_id % 4 when 0 then 0.0::double when 1 then 0.0::double when 2 then date_diff('second', timestamp '1970-01-01', date_trunc('second', ts::timestamp)) + 0.25::double else date_diff('second', timestamp '1970-01-01', date_trunc('second', ts::timestamp))::double end as seconds from events")
+def log_seconds(spark, sf):
+    """Times of a log given as texts: with a zone, with a fraction, blank, or no time at all."""
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    n = F.col("event_id") % 4
+    text = F.when(n == 0, "yesterday").when(n == 1, "").when(n == 2, F.concat(iso, F.lit(".250Z"))).otherwise(F.concat(iso, F.lit("+00:00")))
+    return table(spark, sf, "events").select("event_id", scalars.epoch_or_zero(text).alias("seconds"))
+
+
+@query(f"with {TRANSFORMS} select frame, round(sqrt(dx * dx + dy * dy), 6) as magnitude from mv where type <> 'identity'")
+def sorted_movements(spark, sf):
+    m = geometry.movements(transforms(spark, sf).where("type <> 'identity'"), kind="type")
+    return rounded(geometry.sorted_movements(m, "magnitude", False).select("frame", "magnitude"), ["magnitude"])
+
+
+@query("""with p as (select event_id, unnest(['gamma_correction', 'clahe_grid_size', 'threshold_method', 'other']) as name, value from events)
+select event_id, name, case name when 'gamma_correction' then round(least(greatest(value, 0.1), 5.0), 6) when 'clahe_grid_size' then trunc(least(greatest(value, 2), 32)) end as number,
+  case name when 'threshold_method' then 'otsu' when 'other' then 'kept' end as words from p""")
+def clamped_maps(spark, sf):
+    """Parameter maps clamped in place; texts and unknown names stay."""
+    v = F.col("value").cast("string")
+    m = F.create_map(F.lit("gamma_correction"), v, F.lit("clahe_grid_size"), v, F.lit("threshold_method"), F.lit("otsu"), F.lit("other"), F.lit("kept"))
+    c = manifest.clamped_maps(table(spark, sf, "events").select("event_id", "value", m.alias("params")))
+    text = F.col("name").isin("threshold_method", "other")
+    return c.select("event_id", F.explode("params").alias("name", "v")).select(
+        "event_id", "name", F.when(~text, F.round(F.col("v").try_cast("double"), 6)).alias("number"), F.when(text, F.col("v")).alias("words"))
+
+
+@query(f"""with {OBJECTS} select object_id, sample, position, m1, m2, m3, m4, pan_score as anchor, count(*) over (partition by sample) as sample_objects from objects""")
+def bundle_roundtrip(spark, sf):
+    """The object table and its counts by sample as one committed CSV bundle, read back and typed."""
+    o = objects(spark, sf).withColumnsRenamed({m: f"{m}_positive" for m in MARKERS})
+    root = shared_path(spark)
+    export.write_bundle({"objects": o, "samples": o.groupBy("sample").agg(F.count("*").alias("n"))}, root, "csv")
+    back = export.read_bundle(spark, root)
+    typed, schema = tables.load_objects(back["objects"])
+    n = small_side(back["samples"].select("sample", F.col("n").cast("long").alias("sample_objects")))
+    return typed.join(n, "sample").select("object_id", "sample", "position", *schema.markers, F.col(schema.score).alias("anchor"), "sample_objects")
+
+
 @query("""with k as (select user_id as position, ts as saved_at, event_type || '_' || event_id as path, row_number() over (partition by user_id order by date_trunc('day', ts) desc, event_type || '_' || event_id desc) k from events)
 select position, path, date_trunc('day', saved_at)::timestamp as saved_at from k where k = 1""")
 def model_catalogue(spark, sf):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motes.functions.scalars import natural_number, q
+from motes.operators.cooccur import top_combinations
 from motes.operators.ordering import row_numbers
 from motes.operators.profile import score_report
 
@@ -183,14 +184,19 @@ def intensity_export(objects: DataFrame, intensities: DataFrame, markers: list[s
 LOW_ANCHOR_WARNING = 0.05
 
 
-def report_tables(df: DataFrame, score: str, combos: DataFrame, low: DataFrame) -> dict[str, DataFrame]:
-    """Tables of the report: score range, low-anchor share with a sentence, top combinations."""
+def report_tables(df: DataFrame, score: str, combos: DataFrame, low: DataFrame, kept: DataFrame) -> dict[str, DataFrame]:
+    """Tables of the report: score range, low-anchor share and QC result with their sentences, top combinations.
+
+    ``low`` is the share of objects with a low anchor, ``kept`` the summary of the QC filter.
+    """
     share = F.col("low_fraction")
     pct = F.format_number(share * 100.0, 1)
     sentence = F.when(share > LOW_ANCHOR_WARNING, F.concat(F.lit("Warning: "), pct, F.lit("% of objects have a low anchor score"))
                       ).otherwise(F.concat(pct, F.lit("% of objects have a low anchor score")))
-    top = combos.orderBy("fdr_pvalue", F.desc("observed_count"), "combination").limit(20)
-    return {"score": score_report(df, score), "low_anchor": low.withColumn("sentence", sentence), "top_combinations": top}
+    counts = F.format_string("Objects before filtering: %d | After: %d | Removed: %d (%.1f%%)",
+                             "n_before", "n_after", "n_removed", "removed_pct")
+    return {"score": score_report(df, score), "low_anchor": low.withColumn("sentence", sentence),
+            "qc": kept.withColumn("sentence", counts), "top_combinations": top_combinations(combos)}
 
 
 def legacy_rows(dets: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:

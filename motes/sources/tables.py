@@ -371,18 +371,58 @@ def sample_positions(df: DataFrame, name: str = "name") -> DataFrame:
 ARTEFACTS = {"csv": r"_results_[^/]*\.csv$", "masks": r"_masks_[^/]*\.npz$", "overlay": r"_overlay_[^/]*\.png$", "run": r"_run_[^/]*\.json$"}
 
 
-def artefact_inventory(files: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
-    """Newest artefact of each kind per key; a key counts only when it has a csv."""
+def with_biomarker(df: DataFrame, dim: DataFrame, channel: str = "channel") -> DataFrame:
+    """Adds ``biomarker``: the marker of channel keys such as ``C1_ch2``; '' for other keys and unknown channels.
+
+    ``dim`` has cycle, channel and marker, and may have ``sample``, when each sample has names of its own.
+    Of repeated names the largest counts.
+    """
+    by = [c for c in ("sample",) if c in dim.columns and c in df.columns]
+    names = dim.groupBy(*by, F.upper("cycle").alias("_cycle"), F.upper("channel").alias("_number")).agg(
+        F.max("marker").alias("biomarker"))
+    parts, plain = F.split(F.upper(q(channel)), "_"), q(channel).contains("_ch")
+    keyed = df.withColumns({"_cycle": F.when(plain, F.get(parts, F.lit(0))), "_number": F.when(plain, F.get(parts, F.lit(1)))})
+    return (keyed.join(small_side(names), [*by, "_cycle", "_number"], "left").drop("_cycle", "_number")
+            .withColumn("biomarker", F.coalesce("biomarker", F.lit(""))))
+
+
+def artefact_inventory(files: DataFrame, keys: list[str], path: str = "path", dim: DataFrame | None = None) -> DataFrame:
+    """Newest artefact of each kind per key; a key counts only when it has a csv.
+
+    With the marker dimension ``dim``, and ``channel`` among the keys, also the ``biomarker`` of each channel.
+    """
     kind = reduce(lambda acc, kv: acc.when(F.col(path).rlike(kv[1]), kv[0]),
                   list(ARTEFACTS.items())[1:], F.when(F.col(path).rlike(ARTEFACTS["csv"]), "csv"))
     wide = files.withColumn("_kind", kind).groupBy(*keys).agg(
         *[F.max(F.when(F.col("_kind") == k, F.col(path))).alias(f"{k}_path") for k in ARTEFACTS])
     out = wide.withColumns({f"has_{k}": F.col(f"{k}_path").isNotNull() for k in ARTEFACTS})
-    return out.withColumns({"included": F.col("has_csv"),
-                            "skip_reason": F.when(~F.col("has_csv"), "missing_results_csv")})
+    out = out.withColumns({"included": F.col("has_csv"),
+                           "skip_reason": F.when(~F.col("has_csv"), "missing_results_csv")})
+    return out if dim is None else with_biomarker(out, dim)
 
 
 def preferred_source(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Path with the lowest ``priority`` per key, ties to the smaller path."""
     best = F.min(F.struct("priority", "path")).alias("_b")
     return candidates.groupBy(*keys).agg(best).select(*keys, "_b.path", "_b.priority")
+
+
+# Where a detection image is looked for, in this order; the stages between are cached ones.
+IMAGE_STAGES = ["aligned", "raw", "processed", "contrast_enhance", "step1", "step2", "step3", "step4", "folder"]
+
+
+def preferred_image(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """Image path and its stage per key; both NULL where nothing is found.
+
+    Candidates have ``stage``, ``path`` and ``exists``.  An aligned file comes first if it exists.  Then the
+    first cached stage counts, and only that one: if its file is gone the folder is next, not a later stage.
+    """
+    stage, path, there = F.col("stage"), F.col("path"), F.col("exists")
+    place = F.array_position(F.array(*[F.lit(s) for s in IMAGE_STAGES]), stage)
+    found = {s: F.min(F.when((stage == s) & there, path)).alias(f"_{s}") for s in ("aligned", "folder")}
+    cached = F.min(F.when(stage.isin(IMAGE_STAGES[1:-1]), F.struct(place.alias("place"), "path", "stage", "exists"))).alias("_cached")
+    best = candidates.groupBy(*keys).agg(*found.values(), cached)
+    hit = lambda name: F.when(F.col("_cached.exists"), F.col(f"_cached.{name}"))
+    label = F.when(F.col("_aligned").isNotNull(), "aligned").otherwise(
+        F.coalesce(hit("stage"), F.when(F.col("_folder").isNotNull(), "folder")))
+    return best.select(*keys, F.coalesce("_aligned", hit("path"), "_folder").alias("path"), label.alias("stage"))
