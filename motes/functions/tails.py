@@ -249,10 +249,10 @@ def overlap_draws(n: int, counts: list[int], draws: int, seed: int) -> np.ndarra
 
 def exact_overlap_p(n: int, counts: list[int], observed: int) -> float:
     """P(overlap >= observed) by chaining the hypergeometric laws in logs; for tables of moderate size."""
-    fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    fact = np.vectorize(lambda k: math.lgamma(k + 1.0), otypes=[float])
 
     def choose(a, b):
-        return np.where((b >= 0) & (b <= a), fact[a] - fact[np.clip(b, 0, n)] - fact[np.clip(a - b, 0, n)], -np.inf)
+        return np.where((b >= 0) & (b <= a), fact(a) - fact(np.clip(b, 0, n)) - fact(np.clip(a - b, 0, n)), -np.inf)
 
     h, log_w = np.array([counts[0]]), np.zeros(1)
     for c in counts[1:]:

@@ -151,9 +151,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         hit = (first >= F.col(f"_u{i}")) & (last < F.col(f"_u{i}") + F.col(f"_i{i}"))
         return F.struct(
             F.lit(i).alias("i"), pos.alias("pos"), F.when(hit, low[i]).alias("low"), F.when(hit, high[i]).alias("high"),
-            F.when(hit, F.col(f"_u{i}")).otherwise(F.lit(0)).alias("under"))
-    most = F.greatest(*[F.col(f"_i{i}") for i in range(len(ps))]) if len(ps) > 1 else F.col("_i0")
-    table = small_side(counted.select(*key, F.array(*[bracket(i) for i in range(len(ps))]).alias("_k"), most.alias("_most")))
+            F.when(hit, F.col(f"_u{i}")).otherwise(F.lit(0)).alias("under"),
+            F.when(hit, F.col(f"_i{i}")).otherwise(n).alias("opened"))
+    # rows of the fullest bracket, all of a group where one misses
+    most = F.array_max(F.transform("_k", lambda k: k["opened"]))
+    table = small_side(counted.select(*key, F.array(*[bracket(i) for i in range(len(ps))]).alias("_k")).withColumn("_most", most))
 
     # a row goes to every bracket it lies in; almost all rows lie in none
     inside = F.filter("_k", lambda k: k["low"].isNull() | v.between(k["low"], k["high"]))

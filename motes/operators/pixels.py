@@ -12,11 +12,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from motes.functions.scalars import clip
+from motes.functions.scalars import clip, q
 from motes.operators.matrix import histogram, otsu
 from motes.operators.ordering import exact_quantiles
 from motes.operators.runs import component_runs, moments, pixels_of, runs_of
@@ -235,33 +236,38 @@ def tiled(px: DataFrame, image: list[str], radius: int, kernels: dict[str, Calla
         near = F.array(F.when(at < radius, own - 1), own, F.when(at >= tile - radius, own + 1))
         return F.filter(near, lambda t: (t >= 0) & (t * tile < F.col(size)))
 
-    cut = (px.select(*image, F.col("y").cast("long"), F.col("x").cast("long"), F.col(value).cast("double").alias("_v"))
+    # the caller's other columns travel with the pixel into its own tile only
+    rest = [c for c in px.columns if c not in (*image, "y", "x")]
+    home = (F.col("_ty") == F.floor(F.col("y") / tile)) & (F.col("_tx") == F.floor(F.col("x") / tile))
+    held = [F.struct(*[q(c) for c in rest]).alias("_rest")] if rest else []
+    cut = (px.select(*image, F.col("y").cast("long"), F.col("x").cast("long"), F.col(value).cast("double").alias("_v"), *held)
            .join(ends, image)
            .withColumn("_ty", F.explode(targets("y", "_h"))).withColumn("_tx", F.explode(targets("x", "_w"))))
+    if rest:
+        cut = cut.withColumn("_rest", F.when(home, F.col("_rest")))
+    carried = [*image, "y", "x", *(["_rest"] if rest else [])]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        h, w, ty, tx = int(first["_h"]), int(first["_w"]), int(first["_ty"]), int(first["_tx"])
+    def run(t: pa.Table) -> pa.Table:
+        h, w, ty, tx = (t.column(c)[0].as_py() for c in ("_h", "_w", "_ty", "_tx"))
         y0, y1 = max(0, ty * tile - radius), min(h, (ty + 1) * tile + radius)
         x0, x1 = max(0, tx * tile - radius), min(w, (tx + 1) * tile + radius)
         a = np.zeros((y1 - y0, x1 - x0))
-        ys, xs = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        a[ys - y0, xs - x0] = pdf["_v"].to_numpy()
+        ys, xs = t.column("y").to_numpy(), t.column("x").to_numpy()
+        a[ys - y0, xs - x0] = t.column("_v").to_numpy()
         rim = ((radius - (ty * tile - y0), radius - (y1 - min(h, (ty + 1) * tile))),
                (radius - (tx * tile - x0), radius - (x1 - min(w, (tx + 1) * tile))))
         own = (ys // tile == ty) & (xs // tile == tx)
-        res = pdf.loc[own, [*image, "y", "x"]].copy()
+        res = t.filter(pa.array(own)).select(carried)
         py, pxx = ys[own] - y0 + rim[0][0], xs[own] - x0 + rim[1][0]
         for name, k in kernels.items():
             how = {"mode": "constant", "constant_values": np.nan} if pads[name] == "nan" else {"mode": pads[name]}
-            res[name] = k(np.pad(a, rim, **how))[py, pxx]
+            res = res.append_column(name, pa.array(k(np.pad(a, rim, **how))[py, pxx], pa.float64()))
         return res
 
-    fields = [px.schema[c] for c in image]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
-                       + ["y long", "x long"] + [f"`{k}` double" for k in kernels])
-    out = cut.groupBy(*image, "_ty", "_tx").applyInPandas(run, schema)
-    return px.join(out, [*image, "y", "x"])
+    schema = StructType([cut.schema[c] for c in carried] + [StructField(k, DoubleType()) for k in kernels])
+    out = cut.groupBy(*image, "_ty", "_tx").applyInArrow(run, schema)
+    return out.select(*image, *[F.col(c).cast(px.schema[c].dataType).alias(c) for c in ("y", "x")],
+                      *[F.col("_rest").getField(c).alias(c) for c in rest], *[q(k) for k in kernels])
 
 
 def _along(a: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:

@@ -1,7 +1,6 @@
 """Scans, sinks, streams, saved models and the two end-to-end analyses."""
 
 import json
-import os
 
 import numpy as np
 import pandas as pd
@@ -354,9 +353,46 @@ def test_unknown_marker_filter_is_an_error():
         qc.qc_predicates(["area"], min_marker={"zz": 1.0})
 
 
-def test_no_query_without_tables():
-    """Every registered query takes its rows from the given folder."""
+def test_no_query_without_tables(spark):
+    """Every registered query asks for tables of the given folder: none works where there are none."""
+    from pyspark.errors import AnalysisException
+
     from motes.plans import catalog
     qs, sql = catalog.queries(), catalog.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) > 120
-    assert os.path.isdir("/root/testdata")
+    for name, fn in qs.items():
+        with pytest.raises(AnalysisException, match="PATH_NOT_FOUND.*no-such-folder"):
+            fn(spark, "/tmp/no-such-folder")
+            pytest.fail(f"{name} runs without tables")
+
+
+def test_preferred_image_takes_one_cached_stage_only(spark):
+    rows = [("a", "aligned", "a0", True), ("a", "raw", "a1", True), ("b", "aligned", "b0", False), ("b", "step1", "b5", True),
+            ("b", "processed", "b3", True), ("c", "raw", "c1", False), ("c", "processed", "c3", True), ("c", "folder", "c9", True),
+            ("d", "raw", "d1", False), ("d", "step4", "d7", True), ("e", "folder", "e9", True), ("f", "elsewhere", "f", True)]
+    got = tables.preferred_image(spark.createDataFrame(rows, "k string, stage string, path string, exists boolean"), ["k"]).collect()
+    assert {r.k: (r.path, r.stage) for r in got} == {
+        "a": ("a0", "aligned"), "b": ("b3", "processed"), "c": ("c9", "folder"), "d": (None, None), "e": ("e9", "folder"), "f": (None, None)}
+
+
+def test_biomarkers_by_sample(spark):
+    f = spark.createDataFrame([("s", "C1_ch2", "a_results_1.csv"), ("t", "C1_ch2", "a_run_1.json"), ("s", "c2_ch1", "x"), ("s", "C1", "x"), ("s", "C9_ch9", "x")],
+                              "sample string, channel string, path string")
+    dim = spark.createDataFrame([("s", "c1", "Ch2", "CD9"), ("t", "C1", "CH2", "CD63"), ("s", "C2", "CH1", "A"), ("s", "C2", "CH1", "B"), ("s", "C1", "", "Z")],
+                                "sample string, cycle string, channel string, marker string")
+    got = tables.artefact_inventory(f, ["sample", "channel"], dim=dim).collect()
+    assert {(r.sample, r.channel): r.biomarker for r in got} == {
+        ("s", "C1_ch2"): "CD9", ("t", "C1_ch2"): "CD63", ("s", "c2_ch1"): "B", ("s", "C1"): "", ("s", "C9_ch9"): ""}
+
+
+def test_tiles_carry_all_columns_as_they_are(spark):
+    """Columns beside the value come back untouched, repeated pixels each with their own."""
+    px = spark.sql("select 1 as image, cast(id div 6 as int) as y, id % 6 as x, cast(id as float) as value, "
+                   "if(id % 2 = 0, 9007199254740993 + id, null) as big, array(id) as l, timestamp'2024-01-01 00:00:00' as at from range(30)")
+    px = px.union(px.where("x = 5 and y = 4"))
+    out = pixels.tiled(px, ["image"], 1, {"same": lambda a: a}, "edge", tile=4)
+    assert out.columns == ["image", "y", "x", "value", "big", "l", "at", "same"]
+    assert [f.dataType for f in out.schema][:7] == [f.dataType for f in px.select("image", "y", "x", "value", "big", "l", "at").schema]
+    assert sorted(map(str, out.drop("same").collect())) == sorted(map(str, px.select("image", "y", "x", "value", "big", "l", "at").collect()))
+    assert out.where("same <> value").count() == 0
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Join") <= 1  # with the sizes of the images
