@@ -448,10 +448,10 @@ def latest_per_channel(spark, sf):
 
 
 @query(f"""with {DETECTIONS} select image, channel, row_number() over (partition by image, channel order by id) as id,
-  centroid_x, area from detections""")
+  centroid_x, area, coalesce(case when isfinite(mean_intensity) then printf('%.6g', mean_intensity) end, '') as mean_intensity from detections""")
 def detection_export_rows(spark, sf):
     d = export.detection_rows(detections(spark, sf), ["image", "channel"])
-    return d.select("image", "channel", "id", "centroid_x", "area")
+    return d.select("image", "channel", "id", "centroid_x", "area", "mean_intensity")
 
 
 @query(f"""with {DETECTIONS}, k as (select image, id, channel, centroid_x, row_number() over (order by area desc, id) k from refs)
